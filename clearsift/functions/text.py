@@ -32,19 +32,20 @@ def chunk_windows(
         raise ValueError(f"overlap ({overlap}) must be smaller than max_chars ({max_chars})")
     text = _col(text)
     step = max_chars - overlap
-    tail_blocks = ceil(overlap / step)
     blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    join = lambda left, right: F.concat(left, F.coalesce(right, F.lit("")))
+    following = F.slice(blocks, F.lit(2), F.size(blocks))
+    for further in range(3, ceil(overlap / step) + 2):
+        following = F.zip_with(following, F.slice(blocks, F.lit(further), F.size(blocks)), join)
     windows_needed = (
         F.ceil((F.length(text) - F.lit(max_chars)) / F.lit(step)).cast("int") + F.lit(1)
     )
-    windows = F.transform(
-        F.slice(blocks, F.lit(1), windows_needed),
-        lambda block, i: F.concat(
-            block,
-            F.substring(
-                F.array_join(F.slice(blocks, i + F.lit(2), F.lit(tail_blocks)), ""), 1, overlap
-            ),
-        ),
+    # Arrays are paired, never looked up inside a lambda: a lambda would cut the
+    # text again for every window.
+    windows = F.slice(
+        F.zip_with(blocks, following, lambda block, rest: join(block, F.substring(rest, 1, overlap))),
+        F.lit(1),
+        windows_needed,
     )
     return (
         F.when(F.length(strip(text)) == 0, F.array().cast("array<string>"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from clearsift import constants as C
 from clearsift.functions.text import chunk_windows, clean_private_glyphs, strip
 
-CLAUSE_TYPE = "array<struct<pos:int,code:string,title:string,text:string>>"
-
 
 class ParseError(Exception):
     """Some input documents cannot be read; carries a few of their paths."""
@@ -86,30 +84,36 @@ def with_clauses(
     text = F.col(text_col)
     pattern = C.PAGED_CLAUSE if paged else C.MARKDOWN_CLAUSE
     codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    titles = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    pieces = F.split(text, pattern, -1)
+    found = documents.select(
+        "*",
+        codes.alias("__code"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("__title"),
+        F.slice(F.split(text, pattern, -1), F.lit(2), F.size(codes)).alias("__text"),
+        F.slice(codes, F.lit(2), F.size(codes)).alias("__next"),
+    )
 
-    def clause(code, i):
-        raw = F.get(F.col("__pieces"), i + F.lit(1))
+    def clause(c, i):
+        raw = c["__text"]
         if paged:
-            last = i == F.size("__codes") - F.lit(1)
-            raw = F.when(last, F.substring_index(raw, tail_marker, 1)).otherwise(raw)
+            is_last = c["__next"].isNull()
+            raw = F.when(is_last, F.substring_index(raw, tail_marker, 1)).otherwise(raw)
         return F.struct(
             i.cast("int").alias("pos"),
-            code.alias("code"),
-            strip(F.get(F.col("__titles"), i)).alias("title"),
+            c["__code"].alias("code"),
+            strip(c["__title"]).alias("title"),
             strip(raw).alias("text"),
         )
 
-    split = documents.select(
-        "*", codes.alias("__codes"), titles.alias("__titles"), pieces.alias("__pieces")
-    ).withColumn("clauses", F.transform("__codes", clause))
+    # Arrays are paired before the lambda runs; looking one up inside it would
+    # search the whole text again for every clause.
+    clauses = F.transform(F.arrays_zip("__code", "__title", "__text", "__next"), clause)
+    split = found.withColumn("clauses", clauses)
     if paged:
-        split = split.withColumn("clauses", _longest_per_code(F.col("clauses")))
-    return split.drop("__codes", "__titles", "__pieces")
+        split = split.withColumn("clauses", _longest_per_code("clauses"))
+    return split.drop("__code", "__title", "__text", "__next")
 
 
-def _longest_per_code(clauses: Column) -> Column:
+def _longest_per_code(clauses: str) -> Column:
     """Per code the longest text (the first on ties), by first appearance."""
     by_length = F.array_sort(
         F.transform(
@@ -118,6 +122,7 @@ def _longest_per_code(clauses: Column) -> Column:
                 c["code"].alias("code"),
                 (-F.length(c["text"])).alias("shorter"),
                 c["pos"].alias("pos"),
+                c.alias("clause"),
             ),
         )
     )
@@ -126,19 +131,24 @@ def _longest_per_code(clauses: Column) -> Column:
     )
 
     def heads(ordered):
-        return F.filter(
+        """The first of each run of equal codes."""
+        before = F.concat(
+            F.array(F.lit(None).cast("string")), F.transform(ordered, lambda c: c["code"])
+        )
+        marked = F.zip_with(
             ordered,
-            lambda c, i: (i == 0)
-            | (F.coalesce(F.get(ordered, i - F.lit(1))["code"], F.lit("")) != c["code"]),
+            F.slice(before, F.lit(1), F.size(ordered)),
+            lambda c, code: F.struct(c.alias("c"), (~c["code"].eqNullSafe(code)).alias("first")),
         )
+        return F.transform(F.filter(marked, lambda m: m["first"]), lambda m: m["c"])
 
     # Both lists hold each code once, in code order, so they pair up.
     pairs = F.zip_with(
         heads(by_place),
         heads(by_length),
-        lambda first, best: F.struct(first["pos"].alias("first"), best["pos"].alias("best")),
+        lambda first, best: F.struct(first["pos"].alias("first"), best["clause"].alias("clause")),
     )
-    return F.transform(F.array_sort(pairs), lambda p: F.get(clauses, p["best"]))
+    return F.transform(F.array_sort(pairs), lambda p: p["clause"])
 
 
 def clause_rows(documents: DataFrame, id_col: str = "document_id") -> DataFrame:
@@ -180,21 +190,39 @@ def parse_files(files: DataFrame) -> DataFrame:
     Markdown brings its own permissions; paged text takes those already on the
     row.  Any other extension is an error, never skipped.
     """
+    for name, kind in (
+        ("title", "string"),
+        ("required_clearance", "int"),
+        ("allowed_departments", "array<string>"),
+    ):
+        if name not in files.columns:
+            files = files.withColumn(name, F.lit(None).cast(kind))
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))
     typed = files.withColumn("__ext", extension)
-    unsupported = typed.where(~F.col("__ext").isin(".md", ".pdf")).select("path").limit(5).collect()
-    if unsupported:
-        raise ParseError("unsupported format", [r.path for r in unsupported])
-    markdown, rejected = split_front_matter(typed.where(F.col("__ext") == ".md").select("path", "content"))
-    missing = rejected.select("path").limit(5).collect()
-    if missing:
-        raise ParseError("no readable front matter", [r.path for r in missing])
+    markdown, rejected = split_front_matter(
+        typed.where(F.col("__ext") == ".md").select("path", "content")
+    )
+    paged = typed.where(F.col("__ext") == ".pdf")
+    refused = (
+        typed.where(~F.col("__ext").isin(".md", ".pdf"))
+        .select("path", F.lit("unsupported format").alias("reason"))
+        .unionByName(rejected.select("path", F.lit("no readable front matter").alias("reason")))
+        .unionByName(
+            paged.where(F.col("required_clearance").isNull() | F.col("title").isNull()).select(
+                "path", F.lit("no permissions given").alias("reason")
+            )
+        )
+        .limit(5)
+        .collect()
+    )
+    if refused:
+        raise ParseError(refused[0].reason, [r.path for r in refused])
     permissions = ["path", "title", "doc_type", "required_clearance", "allowed_departments"]
     from_markdown = with_clauses(markdown.withColumn("doc_type", F.lit("md")), "body")
-    paged = typed.where(F.col("__ext") == ".pdf").withColumn("doc_type", F.lit("pdf"))
-    from_paged = with_clauses(
-        paged.withColumn("content", clean_private_glyphs("content")), "content", paged=True
+    cleaned = paged.withColumn("doc_type", F.lit("pdf")).withColumn(
+        "content", clean_private_glyphs("content")
     )
+    from_paged = with_clauses(cleaned, "content", paged=True)
     return from_markdown.select(*permissions, "clauses").unionByName(
         from_paged.select(*permissions, "clauses")
     )

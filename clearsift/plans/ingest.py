@@ -41,6 +41,7 @@ def ingest(
             "doc_type",
             "required_clearance",
             "allowed_departments",
+            F.current_timestamp().alias("ingested_at"),
             "loaded",
         ),
         "loaded",

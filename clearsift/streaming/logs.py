@@ -25,7 +25,12 @@ EVENT_SCHEMA = (
 
 
 def load_logs(
-    lines: DataFrame, hosts: DataFrame, year: int, out: str, checkpoint: str
+    lines: DataFrame,
+    hosts: DataFrame,
+    year: int,
+    out: str,
+    checkpoint: str,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Load every file that has arrived under ``(file, value)`` lines.
 
@@ -33,7 +38,9 @@ def load_logs(
     to ``<out>/refused``.  Repeats are dropped inside the batch and against what
     ``<out>/events`` already holds for the same days, so a file delivered again
     adds nothing however late it comes.  Each batch writes its own folder and
-    overwrites it when run again, which makes a retry harmless.
+    overwrites it when run again, which makes a retry harmless.  A query started
+    with a new ``checkpoint`` over an existing ``out`` needs a ``first_batch``
+    above the batches already there.
     """
     spark = lines.sparkSession
     spark.createDataFrame([], EVENT_SCHEMA).write.mode("overwrite").parquet(
@@ -41,6 +48,7 @@ def load_logs(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        batch_id += first_batch
         parsed = cut(parse_syslog(batch, year))
         days = parsed.agg(
             F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")
