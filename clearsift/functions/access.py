@@ -24,7 +24,7 @@ def access_keys(allowed_departments) -> Column:
     """The department list as join keys: ``*`` when open, else ``d:<name>``."""
     allowed = F.array_compact(_col(allowed_departments))
     is_open = _col(allowed_departments).isNull() | (F.size(_col(allowed_departments)) == 0)
-    keys = F.array_sort(F.array_distinct(F.transform(allowed, lambda d: F.concat(F.lit("d:"), d))))
+    keys = F.sort_array(F.array_distinct(F.transform(allowed, lambda d: F.concat(F.lit("d:"), d))))
     return F.when(is_open, F.array(F.lit("*"))).otherwise(keys)
 
 

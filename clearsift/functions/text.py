@@ -30,22 +30,11 @@ def chunk_windows(
     """
     if overlap >= max_chars:
         raise ValueError(f"overlap ({overlap}) must be smaller than max_chars ({max_chars})")
-    text = _col(text)
     step = max_chars - overlap
-    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
-    join = lambda left, right: F.concat(left, F.coalesce(right, F.lit("")))
-    following = F.slice(blocks, F.lit(2), F.size(blocks))
-    for further in range(3, ceil(overlap / step) + 2):
-        following = F.zip_with(following, F.slice(blocks, F.lit(further), F.size(blocks)), join)
-    windows_needed = (
-        F.ceil((F.length(text) - F.lit(max_chars)) / F.lit(step)).cast("int") + F.lit(1)
-    )
-    # Arrays are paired, never looked up inside a lambda: a lambda would cut the
-    # text again for every window.
-    windows = F.slice(
-        F.zip_with(blocks, following, lambda block, rest: join(block, F.substring(rest, 1, overlap))),
-        F.lit(1),
-        windows_needed,
+    text = _col(text)
+    windows = let(
+        F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0)),
+        lambda blocks: _overlapping(blocks, max_chars, step, overlap),
     )
     return (
         F.when(F.length(strip(text)) == 0, F.array().cast("array<string>"))
@@ -54,6 +43,29 @@ def chunk_windows(
     )
 
 
+def _overlapping(blocks: Column, max_chars: int, step: int, overlap: int) -> Column:
+    join = lambda left, right: F.concat(left, F.coalesce(right, F.lit("")))
+    following = F.slice(blocks, F.lit(2), F.size(blocks))
+    for further in range(3, ceil(overlap / step) + 2):
+        following = F.zip_with(following, F.slice(blocks, F.lit(further), F.size(blocks)), join)
+    windows = F.zip_with(
+        blocks, following, lambda block, rest: join(block, F.substring(rest, 1, overlap))
+    )
+    # Blocks are full but for the last; the first window to reach the end is the last.
+    length = (F.size(blocks) - F.lit(1)) * F.lit(step) + F.length(F.element_at(blocks, -1))
+    needed = F.ceil((length - F.lit(max_chars)) / F.lit(step)).cast("int") + F.lit(1)
+    return F.slice(windows, F.lit(1), needed)
+
+
+def let(value: Column, body) -> Column:
+    """Bind a computed value that ``body`` uses more than once.
+
+    Written out, the value would be computed once per use, and once per element
+    inside a lambda.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lexemes(text, pattern: str = C.LEXEME) -> Column:
     """Lower-cased words, neither stemmed nor filtered; codes like 2.11.3 stay whole."""
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(pattern), F.lit(0))

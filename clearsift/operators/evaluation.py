@@ -37,7 +37,7 @@ def query_metrics(
     judged = unique_top(retrieved, k).join(relevant, ["request_id", "code"], "left_semi")
     # Places are added in order, so a score never depends on how rows were split.
     gains = F.aggregate(
-        F.array_sort(F.collect_list("place")),
+        F.sort_array(F.collect_list("place")),
         F.lit(0.0),
         lambda total, place: total + F.lit(1.0) / F.log2(place + 1.0),
     )

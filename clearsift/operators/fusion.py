@@ -28,7 +28,7 @@ def rrf_scores(
             .agg(F.min("pos").alias("pos"))
             .withColumn("place", F.row_number().over(by_position) - 1)
         )
-    parts = F.array_sort(
+    parts = F.sort_array(
         F.collect_list(F.struct("list_no", (F.lit(1.0) / (F.lit(k) + F.col("place"))).alias("s")))
     )
     return ranked.groupBy(*keys, id_col).agg(

@@ -4,13 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
-from clearsift.functions.scale import broadcast_if_small, settle, top_k
+from clearsift.functions.scale import broadcast_if_small, cut, settle, top_k
 from clearsift.functions.text import indexed_text, lexemes, query_terms
 from clearsift.operators.entitlements import class_sets, principal_classes
 from clearsift.functions.access import access_keys
 
-MATCH_ROWS = 1_000_000
-
 
 def postings(chunks: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
     """(chunk_id, lexeme, tf, weight) from chunk_id, clause_code, doc_title, text.
@@ -33,49 +31,40 @@ def postings(chunks: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
     return counted.withColumn("weight", weight)
 
 
-def vocabulary(posting: DataFrame) -> DataFrame:
-    return posting.select("lexeme").distinct()
-
-
-def request_terms(requests: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
+def request_terms(queries: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
     """(query_id, term, n_terms), one row per distinct term of each query."""
     return (
-        requests.groupBy("query_id")
-        .agg(F.any_value("query").alias("query"))
-        .select("query_id", query_terms("query", pattern).alias("terms"))
+        queries.select("query_id", query_terms("query", pattern).alias("terms"))
         .select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     )
 
 
-def matching_lexemes(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, lexeme, share): lexemes that some term of the query begins.
+def keyword_scores(posting: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) for every chunk with a word some term begins.
 
-    Lexemes are expanded to those of their prefixes whose length some term has,
-    which turns the prefix test into an equi-join.  ``share`` is the number of
-    terms matched over the number of terms asked.
+    Words are expanded to their prefixes, which turns the prefix test into an
+    equi-join on terms.  Weights are added per (chunk, term) before queries come
+    in, so a term many queries share is matched once.  Only matched words are
+    shuffled, by chunk, and both sums then stay where they are.
     """
-    lengths = terms.agg(F.collect_set(F.length("term"))).first()[0]
-    if not lengths:
-        lengths = [0]
-    wanted = F.array(*[F.lit(n) for n in sorted(lengths)])
-    expanded = words.select(
-        "lexeme",
-        F.explode(F.filter(wanted, lambda n: n <= F.length("lexeme"))).alias("prefix_length"),
-    ).select("lexeme", F.expr("substring(lexeme, 1, prefix_length)").alias("term"))
-    return (
-        expanded.join(broadcast_if_small(terms), "term")
-        .groupBy("query_id", "lexeme")
-        .agg((F.count("*") / F.first("n_terms")).alias("share"))
+    longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
+    ends = F.sequence(F.lit(2), F.least(F.length("lexeme"), F.lit(max(2, longest))))
+    prefixes = (
+        posting.where(F.length("lexeme") >= 2)
+        .select("chunk_id", "weight", "lexeme", F.explode(ends).alias("end"))
+        .select("chunk_id", "weight", F.expr("substring(lexeme, 1, end)").alias("term"))
+    )
+    asked = broadcast_if_small(terms.select("term").distinct())
+    held = (
+        prefixes.join(asked, "term", "left_semi")
+        .repartition("chunk_id")
+        .groupBy("chunk_id", "term")
+        .agg(F.sum("weight").alias("weight"))
     )
-
-
-def keyword_scores(posting: DataFrame, matches: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) for every chunk holding a matched lexeme."""
     return (
-        posting.select("chunk_id", "lexeme", "weight")
-        .join(settle(matches, MATCH_ROWS), "lexeme")
+        held.join(broadcast_if_small(terms), "term")
         .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("share")), 9).alias("score"))
+        .agg(F.round(F.sum(F.col("weight") / F.col("n_terms")), 9).alias("score"))
     )
 
 
@@ -83,20 +72,18 @@ def search_keyword(
     posting: DataFrame,
     chunks: DataFrame,
     requests: DataFrame,
+    queries: DataFrame,
     k: int,
-    words: DataFrame | None = None,
     permissions: DataFrame | None = None,
     pattern: str = C.LEXEME,
 ) -> DataFrame:
     """Best ``k`` visible chunks per distinct (query, class) by term score.
 
-    ``chunks`` supplies chunk_id and the permission columns; ``words`` the
-    stored vocabulary, taken from the postings when absent.  Queries without a
+    ``chunks`` supplies chunk_id and the permission columns, ``queries`` the
+    query_id and text.  Queries without a
     term of two characters match nothing.
     """
-    terms = request_terms(requests, pattern)
-    matches = matching_lexemes(vocabulary(posting) if words is None else words, terms)
-    scores = keyword_scores(posting, matches)
+    scores = keyword_scores(posting, cut(request_terms(queries, pattern)))
     sets = class_sets(chunks if permissions is None else permissions, principal_classes(requests))
     keyed = chunks.select(
         "chunk_id", "required_clearance", access_keys("allowed_departments").alias("access_keys")
@@ -122,13 +109,15 @@ def keyword_topk(
     posting: DataFrame,
     chunks: DataFrame,
     requests: DataFrame,
+    queries: DataFrame,
     k: int,
-    words: DataFrame | None = None,
     permissions: DataFrame | None = None,
     pattern: str = C.LEXEME,
 ) -> DataFrame:
     """As ``search_keyword``, handed back to every request."""
-    ranked = search_keyword(posting, chunks, requests, k, words, permissions, pattern)
+    ranked = search_keyword(
+        posting, chunks, requests, queries, k, permissions, pattern
+    )
     return requests.select("request_id", "query_id", "class_key").join(
         settle(ranked), ["query_id", "class_key"]
     ).select("request_id", "rank", "chunk_id", "score")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
-from clearsift.functions.text import chunk_windows, clean_private_glyphs, strip
+from clearsift.functions.text import chunk_windows, clean_private_glyphs, let, strip
 
 
 class ParseError(Exception):
@@ -83,39 +83,38 @@ def with_clauses(
     """
     text = F.col(text_col)
     pattern = C.PAGED_CLAUSE if paged else C.MARKDOWN_CLAUSE
-    codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    found = documents.select(
-        "*",
-        codes.alias("__code"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("__title"),
-        F.slice(F.split(text, pattern, -1), F.lit(2), F.size(codes)).alias("__text"),
-        F.slice(codes, F.lit(2), F.size(codes)).alias("__next"),
-    )
+    group = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
 
-    def clause(c, i):
-        raw = c["__text"]
+    def clause(code, i, title, raw, following):
         if paged:
-            is_last = c["__next"].isNull()
-            raw = F.when(is_last, F.substring_index(raw, tail_marker, 1)).otherwise(raw)
+            raw = F.when(following.isNull(), F.substring_index(raw, tail_marker, 1)).otherwise(raw)
         return F.struct(
             i.cast("int").alias("pos"),
-            c["__code"].alias("code"),
-            strip(c["__title"]).alias("title"),
+            code.alias("code"),
+            strip(title).alias("title"),
             strip(raw).alias("text"),
         )
 
-    # Arrays are paired before the lambda runs; looking one up inside it would
-    # search the whole text again for every clause.
-    clauses = F.transform(F.arrays_zip("__code", "__title", "__text", "__next"), clause)
-    split = found.withColumn("clauses", clauses)
+    def aligned(codes):
+        zipped = F.arrays_zip(
+            codes.alias("code"),
+            group(2).alias("title"),
+            F.slice(F.split(text, pattern, -1), F.lit(2), F.size(codes)).alias("raw"),
+            F.slice(codes, F.lit(2), F.size(codes)).alias("following"),
+        )
+        return F.transform(
+            zipped, lambda c, i: clause(c["code"], i, c["title"], c["raw"], c["following"])
+        )
+
+    clauses = let(group(1), aligned)
     if paged:
-        split = split.withColumn("clauses", _longest_per_code("clauses"))
-    return split.drop("__code", "__title", "__text", "__next")
+        clauses = let(clauses, _longest_per_code)
+    return documents.withColumn("clauses", clauses)
 
 
-def _longest_per_code(clauses: str) -> Column:
+def _longest_per_code(clauses: Column) -> Column:
     """Per code the longest text (the first on ties), by first appearance."""
-    by_length = F.array_sort(
+    by_length = F.sort_array(
         F.transform(
             clauses,
             lambda c: F.struct(
@@ -126,29 +125,29 @@ def _longest_per_code(clauses: str) -> Column:
             ),
         )
     )
-    by_place = F.array_sort(
+    by_place = F.sort_array(
         F.transform(clauses, lambda c: F.struct(c["code"].alias("code"), c["pos"].alias("pos")))
     )
-
-    def heads(ordered):
-        """The first of each run of equal codes."""
-        before = F.concat(
-            F.array(F.lit(None).cast("string")), F.transform(ordered, lambda c: c["code"])
-        )
-        marked = F.zip_with(
-            ordered,
-            F.slice(before, F.lit(1), F.size(ordered)),
-            lambda c, code: F.struct(c.alias("c"), (~c["code"].eqNullSafe(code)).alias("first")),
-        )
-        return F.transform(F.filter(marked, lambda m: m["first"]), lambda m: m["c"])
-
     # Both lists hold each code once, in code order, so they pair up.
     pairs = F.zip_with(
-        heads(by_place),
-        heads(by_length),
+        let(by_place, _first_of_runs),
+        let(by_length, _first_of_runs),
         lambda first, best: F.struct(first["pos"].alias("first"), best["clause"].alias("clause")),
     )
-    return F.transform(F.array_sort(pairs), lambda p: p["clause"])
+    return F.transform(F.sort_array(pairs), lambda p: p["clause"])
+
+
+def _first_of_runs(ordered: Column) -> Column:
+    """The first of each run of structs with equal ``code``."""
+    before = F.concat(
+        F.array(F.lit(None).cast("string")), F.transform(ordered, lambda c: c["code"])
+    )
+    marked = F.zip_with(
+        ordered,
+        F.slice(before, F.lit(1), F.size(ordered)),
+        lambda c, code: F.struct(c.alias("c"), (~c["code"].eqNullSafe(code)).alias("first")),
+    )
+    return F.transform(F.filter(marked, lambda m: m["first"]), lambda m: m["c"])
 
 
 def clause_rows(documents: DataFrame, id_col: str = "document_id") -> DataFrame:
@@ -179,7 +178,7 @@ def chunk_rows(
 
 def join_pages(pages: DataFrame, id_col: str = "document_id") -> DataFrame:
     """Paged text to one cleaned text per document, pages in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
+    ordered = F.sort_array(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
     joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")
     return pages.groupBy(id_col).agg(clean_private_glyphs(joined).alias("content"))
 

@@ -17,19 +17,22 @@ def hybrid_search(
     chunks: DataFrame,
     posting: DataFrame,
     requests: DataFrame,
+    queries: DataFrame,
     k: int = C.DEFAULT_K,
-    words: DataFrame | None = None,
     permissions: DataFrame | None = None,
 ) -> DataFrame:
     """Vector and keyword candidates, each under the same entitlements, fused.
 
     Every retriever hands over ``5 k`` candidates per distinct (query, class);
-    requests only join the fused lists.  ``k`` is held within 1..20.
+    requests only join the fused lists.  ``queries`` has query_id, query and
+    vector.  ``k`` is held within 1..20.
     """
     k = max(1, min(k, C.MAX_K))
     candidates = k * C.CANDIDATE_MULTIPLIER
-    nearest, _ = search_topk(chunks, requests, candidates, permissions)
-    worded = search_keyword(posting, chunks, requests, candidates, words, permissions)
+    nearest, _ = search_topk(chunks, requests, queries, candidates, permissions)
+    worded = search_keyword(
+        posting, chunks, requests, queries, candidates, permissions
+    )
     columns = ["query_id", "class_key", "chunk_id", (F.col("rank") - 1).alias("pos")]
     lists = nearest.select(*columns, F.lit(0).alias("list_no")).unionByName(
         worded.select(*columns, F.lit(1).alias("list_no"))
@@ -54,14 +57,14 @@ def policy_search(
     documents: DataFrame,
     clauses: DataFrame,
     requests: DataFrame,
+    queries: DataFrame,
     k: int = C.DEFAULT_K,
-    words: DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid search, hydrated under a second permission check, then rechecked.
 
     The hits are written once so the recheck and the caller read the same rows.
     """
-    ranked = hybrid_search(chunks, posting, requests, k, words, documents)
+    ranked = hybrid_search(chunks, posting, requests, queries, k, documents)
     scoped = ranked.join(
         requests.select("request_id", "department", "clearance"), "request_id"
     )
@@ -111,7 +114,7 @@ def compare_paths(entitled: DataFrame, naive: DataFrame, requests: DataFrame) ->
     """
 
     def folded(hits, prefix):
-        ordered = F.array_sort(F.collect_list(F.struct("rank", "clause_code")))
+        ordered = F.sort_array(F.collect_list(F.struct("rank", "clause_code")))
         return hits.groupBy("request_id").agg(
             F.count("*").alias(f"{prefix}_count"),
             F.array_join(F.transform(ordered, lambda h: h["clause_code"]), ",").alias(
@@ -178,7 +181,7 @@ def record_blocks(events: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _blocks(rows, requests, entry, separator, label, nothing) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("rank", "entry")))
+    parts = F.sort_array(F.collect_list(F.struct("rank", "entry")))
     body = F.array_join(F.transform(parts, lambda p: p["entry"]), separator)
     blocks = (
         rows.select("request_id", "rank", entry.alias("entry"))

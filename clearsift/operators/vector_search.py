@@ -28,17 +28,19 @@ EVERYONE = "*"
 def vector_topk(
     chunks: DataFrame,
     requests: DataFrame,
+    queries: DataFrame,
     k: int,
     permissions: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` nearest visible chunks of every request.
 
     ``chunks``: chunk_id, embedding, required_clearance, allowed_departments.
-    ``requests``: request_id, query_id, vector, department, clearance,
-    class_key.  Requests sharing a query and a class are searched once.
+    ``requests``: request_id, query_id, department, clearance, class_key.
+    ``queries``: query_id, vector.  Requests sharing a query and a class are
+    searched once.
     Returns request_id, rank, chunk_id, distance.
     """
-    ranked, bound = search_topk(chunks, requests, k, permissions)
+    ranked, bound = search_topk(chunks, requests, queries, k, permissions)
     return requests.select("request_id", "query_id", "class_key").join(
         hinted(ranked, bound), ["query_id", "class_key"]
     ).select("request_id", "rank", "chunk_id", "distance")
@@ -47,16 +49,19 @@ def vector_topk(
 def search_topk(
     chunks: DataFrame,
     requests: DataFrame,
+    queries: DataFrame,
     k: int,
     permissions: DataFrame | None = None,
 ) -> tuple[DataFrame, int | None]:
     """As ``vector_topk`` but one result list per distinct (query, class), and
     a bound on its rows when one is known."""
     seen = with_class_sets(chunks, principal_classes(requests), permissions)
-    return _ranked(seen.select("chunk_id", "embedding", "class_keys"), requests, k)
+    return _ranked(seen.select("chunk_id", "embedding", "class_keys"), requests, queries, k)
 
 
-def naive_topk(chunks: DataFrame, requests: DataFrame, k: int) -> DataFrame:
+def naive_topk(
+    chunks: DataFrame, requests: DataFrame, queries: DataFrame, k: int
+) -> DataFrame:
     """The leaky order of work, for audits only: rank everything, then filter.
 
     Lost rows shrink the result, which tells a principal that hidden chunks
@@ -66,7 +71,7 @@ def naive_topk(chunks: DataFrame, requests: DataFrame, k: int) -> DataFrame:
         "chunk_id", "embedding", F.array(F.lit(EVERYONE)).alias("class_keys")
     )
     searches = requests.withColumn("class_key", F.lit(EVERYONE))
-    ranked = _ranked(everyone, searches, k)[0].drop("class_key")
+    ranked = _ranked(everyone, searches, queries, k)[0].drop("class_key")
     permitted = chunks.select("chunk_id", "required_clearance", "allowed_departments")
     held = settle(ranked).join(permitted, "chunk_id")
     return (
@@ -77,9 +82,13 @@ def naive_topk(chunks: DataFrame, requests: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _ranked(seen: DataFrame, requests: DataFrame, k: int) -> tuple[DataFrame, int | None]:
-    searches = requests.groupBy("query_id").agg(
-        F.any_value("vector").alias("vector"), F.collect_set("class_key").alias("class_keys")
+def _ranked(
+    seen: DataFrame, requests: DataFrame, queries: DataFrame, k: int
+) -> tuple[DataFrame, int | None]:
+    searches = (
+        requests.groupBy("query_id")
+        .agg(F.collect_set("class_key").alias("class_keys"))
+        .join(queries.select("query_id", "vector"), "query_id")
     )
     schema = T.StructType(
         [

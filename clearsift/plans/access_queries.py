@@ -288,7 +288,6 @@ def _golden(spark, folder):
         .agg(
             F.any_value("department").alias("department"),
             F.any_value("clearance").alias("clearance"),
-            F.any_value("vector").alias("vector"),
             F.min("request_id").alias("request_id"),
         )
     )
@@ -332,7 +331,9 @@ _GOLDEN = {
 
 def _retrieved(spark, folder, golden):
     chunks = corpus.vector_chunks(spark, folder)
-    hits = vector_topk(chunks, golden, K, corpus.documents(spark, folder))
+    hits = vector_topk(
+        chunks, golden, corpus.topics(spark, folder), K, corpus.documents(spark, folder)
+    )
     return _with_codes(spark, folder, hits).select(
         "request_id", "rank", F.col("clause_code").alias("code")
     )

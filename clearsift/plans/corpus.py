@@ -140,7 +140,7 @@ def encoded_chunks(spark, folder) -> DataFrame:
 
 
 def stored_postings(spark, folder) -> DataFrame:
-    """The inverted table, written once: the vocabulary and the scores read it."""
+    """The inverted table, written once: every search reads it."""
     return cut(
         postings(
             spread(
@@ -178,7 +178,7 @@ def topics(spark, folder) -> DataFrame:
         .groupBy("query_id", "pos")
         .agg(F.avg(F.col("col").cast("double")).alias("value"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "value")))
     return parts.groupBy("query_id").agg(
         F.transform(ordered, lambda p: p["value"]).alias("vector")
     )
@@ -209,8 +209,7 @@ def topic_requests(spark, folder) -> DataFrame:
             "session_id"
         ),
     )
-    people = principals(spark, folder)
-    return with_classes(asked, people).join(F.broadcast(topics(spark, folder)), "query_id")
+    return with_classes(asked, principals(spark, folder))
 
 
 def session_requests(spark, folder) -> DataFrame:
@@ -226,8 +225,7 @@ def session_requests(spark, folder) -> DataFrame:
             ((F.col("conv_id") + F.col("turn")) % TOPICS).alias("query_id"),
         )
     )
-    people = principals(spark, folder)
-    return with_classes(asked, people).join(F.broadcast(topics(spark, folder)), "query_id")
+    return with_classes(asked, principals(spark, folder))
 
 
 def text_queries(spark, folder) -> DataFrame:
@@ -245,23 +243,25 @@ def text_personas(spark, folder) -> DataFrame:
     )
 
 
-def text_requests(spark, folder, with_vectors: bool = True) -> DataFrame:
+def text_requests(spark, folder) -> DataFrame:
     """Benchmark passages as questions of several personas each."""
-    queries = text_queries(spark, folder)
-    if with_vectors:
-        vectors = encode(queries, "query", "query", hash_encoder, HASH_DIM)
-        queries = queries.join(
-            vectors.withColumnRenamed("embedding", "vector"), "query_id"
-        )
     asked = text_personas(spark, folder).select(
         "query_id", F.posexplode("names").alias("persona_no", "persona")
     )
-    requests = queries.join(asked, "query_id").withColumn(
+    requests = text_queries(spark, folder).join(asked, "query_id").withColumn(
         "request_id", F.col("query_id") * 10 + F.col("persona_no")
     )
     return with_classes(requests, principals(spark, folder))
 
 
+def encoded_queries(spark, folder) -> DataFrame:
+    """query_id, query and vector of every benchmark passage."""
+    queries = text_queries(spark, folder)
+    return encode(
+        queries.withColumn("asked", F.col("query")), "asked", "query", hash_encoder, HASH_DIM
+    ).withColumnRenamed("embedding", "vector")
+
+
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
@@ -345,7 +345,7 @@ def syslog_lines(spark, folder) -> DataFrame:
         message,
     )
     broken = F.when(event % 31 == 0, F.concat(F.lit("Feb 30"), F.substring(line, 7, 200)))
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events"), "event_id").select(
         "event_id",
         F.date_format("ts", "yyyy-MM-dd").alias("file"),
         F.coalesce(broken, line).alias("value"),

@@ -16,7 +16,9 @@ K = 10
 def _vector_hits(spark, folder, requests=None, k=K):
     requests = corpus.topic_requests(spark, folder) if requests is None else requests
     chunks = corpus.vector_chunks(spark, folder)
-    return requests, vector_topk(chunks, requests, k, corpus.documents(spark, folder))
+    return requests, vector_topk(
+        chunks, requests, corpus.topics(spark, folder), k, corpus.documents(spark, folder)
+    )
 
 
 def _scoped(hits, requests):
@@ -96,7 +98,7 @@ def _unfiltered_hits(spark, folder):
         F.lit(1).alias("required_clearance"),
         F.lit(None).cast("array<string>").alias("allowed_departments"),
     )
-    hits = vector_topk(open_chunks, everyone, K)
+    hits = vector_topk(open_chunks, everyone, corpus.topics(spark, folder), K)
     permissions = chunks.select("chunk_id", "required_clearance", "allowed_departments")
     return _scoped(hits, requests).join(permissions, "chunk_id")
 
@@ -231,7 +233,10 @@ def vector_topk_query(spark, folder):
 def naive_topk_query(spark, folder):
     """The leaky order of work, kept to show what it loses."""
     hits = naive_topk(
-        corpus.vector_chunks(spark, folder), corpus.topic_requests(spark, folder), K
+        corpus.vector_chunks(spark, folder),
+        corpus.topic_requests(spark, folder),
+        corpus.topics(spark, folder),
+        K,
     )
     return hits.withColumn("distance", F.round("distance", 6))
 
@@ -267,8 +272,7 @@ def keyword_matches(spark, folder):
     """Chunks holding a word that some term of the question begins."""
     posting = corpus.stored_postings(spark, folder)
     terms = keyword_search.request_terms(corpus.text_queries(spark, folder))
-    matches = keyword_search.matching_lexemes(keyword_search.vocabulary(posting), terms)
-    return keyword_search.keyword_scores(posting, matches).groupBy("query_id").agg(
+    return keyword_search.keyword_scores(posting, terms).groupBy("query_id").agg(
         F.count("*").alias("chunks"), F.round(F.sum("score"), 4).alias("total_score")
     )
 
@@ -282,7 +286,7 @@ def _text_permissions(spark, folder):
 @query(
     "keyword_topk",
     with_("treqs", "kranked")
-    + "SELECT r.request_id, k.rank, k.chunk_id, round(k.score, 6) AS score FROM treqs r"
+    + "SELECT r.request_id, k.rank, k.chunk_id, k.score FROM treqs r"
     " JOIN kranked k USING (query_id, department, clearance) WHERE k.rank <= 50",
 )
 def keyword_topk(spark, folder):
@@ -290,11 +294,12 @@ def keyword_topk(spark, folder):
     hits = keyword_search.keyword_topk(
         corpus.stored_postings(spark, folder),
         _text_permissions(spark, folder),
-        corpus.text_requests(spark, folder, with_vectors=False),
+        corpus.text_requests(spark, folder),
+        corpus.text_queries(spark, folder),
         50,
         permissions=corpus.documents(spark, folder),
     )
-    return hits.withColumn("score", F.round("score", 6))
+    return hits
 
 
 @query(
@@ -374,6 +379,7 @@ def _hybrid(spark, folder, requests=None):
         corpus.encoded_chunks(spark, folder),
         corpus.stored_postings(spark, folder),
         requests,
+        corpus.encoded_queries(spark, folder),
         K,
         permissions=corpus.documents(spark, folder),
     )
@@ -490,7 +496,9 @@ _COMPARED = {
 
 def _compared(spark, folder):
     requests, entitled = _vector_hits(spark, folder)
-    naive = naive_topk(corpus.vector_chunks(spark, folder), requests, K)
+    naive = naive_topk(
+        corpus.vector_chunks(spark, folder), requests, corpus.topics(spark, folder), K
+    )
     return requests, retrieval.compare_paths(
         _coded(spark, folder, entitled, requests),
         _coded(spark, folder, naive.withColumnRenamed("naive_rank", "rank"), requests),
@@ -521,10 +529,7 @@ def persona_searches(spark, folder):
     ).withColumn("request_id", F.col("query_id") * 10 + F.col("persona_no"))
     known, rejected = entitlements.resolve_personas(asked, corpus.principals(spark, folder))
     entitlements.require_known(rejected)
-    vectors = corpus.encode(
-        corpus.text_queries(spark, folder), "query", "query", corpus.hash_encoder, corpus.HASH_DIM
-    ).withColumnRenamed("embedding", "vector")
-    requests, hits = _hybrid(spark, folder, known.join(vectors, "query_id"))
+    requests, hits = _hybrid(spark, folder, known)
     scoped = hits.join(
         requests.select(
             "request_id", "query_id", "persona_no", "persona", "department", "clearance"

@@ -334,7 +334,7 @@ def read_golden(spark, folder):
     """Golden questions through a JSON lines file; relevant codes form a set."""
     path = scratch_path(spark, "golden")
     code = F.concat(F.lit("1."), F.col("query_id") % 20 + 1, F.lit(".1"))
-    corpus.text_requests(spark, folder, with_vectors=False).select(
+    corpus.text_requests(spark, folder).select(
         "query",
         "department",
         F.col("clearance").cast("string").alias("clearance"),
