@@ -14,8 +14,8 @@ def visible(required_clearance, allowed_departments, clearance, department) -> C
     """
     allowed = _col(allowed_departments)
     is_open = allowed.isNull() | (F.size(allowed) == 0)
-    verdict = (_col(required_clearance) <= _col(clearance)) & (
-        is_open | F.array_contains(allowed, _col(department))
+    verdict = (_col(required_clearance) <= _col(clearance).cast("int")) & (
+        is_open | F.array_contains(allowed, _col(department).cast("string"))
     )
     return F.coalesce(verdict, F.lit(False))
 

@@ -55,6 +55,16 @@ def _bytes(text: str) -> int:
     return int(text)
 
 
+def with_fields(df: DataFrame, *fields) -> DataFrame:
+    """Add costly columns that are computed once per row, where they stand.
+
+    As plain columns they would be computed again in every filter that uses
+    them, and such filters could move below a repartition meant to spread the
+    work.  Rows pass through a one-element generator, which stops both.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*fields))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 

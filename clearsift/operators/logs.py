@@ -55,7 +55,7 @@ def accepted_events(
     """Rows to insert: files naming an unregistered host are refused whole."""
     events = parsed.where(F.col("ts").isNotNull())
     refused = unregistered_hosts(events, hosts, file_col).select(file_col).distinct()
-    clean = events.join(broadcast_if_small(refused), file_col, "left_anti")
+    clean = events.join(settle(refused), file_col, "left_anti")
     return new_events(clean, existing, file_col)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
+from clearsift.functions.scale import with_fields
 from clearsift.functions.text import chunk_windows, clean_private_glyphs, let, strip
 
 
@@ -26,21 +27,20 @@ def split_front_matter(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = F.regexp_extract("content", C.FRONT_MATTER, 1)
     has_header = F.regexp_like("content", F.lit(C.FRONT_MATTER))
     body = F.regexp_replace("content", C.FRONT_MATTER, "")
-    parsed = files.select(
-        "*",
+    parsed = with_fields(
+        files,
         _header_value(head, "title").alias("title"),
-        F.expr("try_cast(NULL AS INT)").alias("required_clearance"),
+        _header_value(head, "clearance").try_cast("int").alias("required_clearance"),
         _header_list(head, "departments").alias("allowed_departments"),
         body.alias("body"),
-        _header_value(head, "clearance").alias("__clearance"),
         has_header.alias("__has_header"),
-    ).withColumn("required_clearance", F.expr("try_cast(__clearance AS INT)"))
+    )
     good = (
         F.col("__has_header")
         & F.col("title").isNotNull()
         & F.col("required_clearance").isNotNull()
     )
-    accepted = parsed.where(good).drop("__clearance", "__has_header")
+    accepted = parsed.where(good).drop("__has_header")
     return accepted, parsed.where(~good).select(*files.columns)
 
 
@@ -49,10 +49,9 @@ def _header_value(head: Column, key: str) -> Column:
     raw = F.regexp_extract(head, rf"(?dm)^{key}[ \t]*:[ \t]*(.*?)[ \t\r]*$", 1)
     quoted = F.regexp_extract(raw, r"""\A(?:"([^"]*)"|'([^']*)')""", 0)
     plain = F.regexp_replace(raw, r"(?:\A|[ \t]+)#.*\z", "")
-    value = F.when(quoted != "", F.expr("''")).otherwise(plain)
     value = F.when(
         quoted != "", F.substring(quoted, F.lit(2), F.length(quoted) - F.lit(2))
-    ).otherwise(value)
+    ).otherwise(plain)
     return F.nullif(value, F.lit(""))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
+from clearsift.functions.scale import with_fields
 
 
 def parse_syslog(lines: DataFrame, year, line_col: str = "value") -> DataFrame:
@@ -15,40 +16,40 @@ def parse_syslog(lines: DataFrame, year, line_col: str = "value") -> DataFrame:
     year = F.lit(year) if isinstance(year, int) else year
     group = lambda n: F.regexp_extract("raw", C.SYSLOG_LINE, n)
     stamp = F.concat_ws(" ", year.cast("string"), group(1), group(2), group(3))
-    # Each step reads the one before it; in one step every pattern would parse
-    # the line again to reach the message.
-    split = lines.withColumn("raw", F.regexp_replace(line_col, r"\n+\z", "")).select(
-        "*",
+    split = with_fields(
+        lines.withColumn("raw", F.regexp_replace(line_col, r"\n+\z", "")),
         F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).alias("ts"),
         group(4).alias("host"),
         group(5).alias("process"),
         group(7).alias("__message"),
     )
-    return (
-        split.withColumn("__found", classify("__message"))
-        .withColumn("event_type", F.col("__found.event_type"))
-        .withColumn("principal_name", F.col("__found.principal_name"))
-        .withColumn("severity", F.lit(None).cast("string"))
-        .drop("__message", "__found")
+    event_type, who = classify("__message")
+    return with_fields(
+        split, event_type.alias("event_type"), who.alias("principal_name")
+    ).select(
+        *lines.columns,
+        "ts",
+        "host",
+        "process",
+        "event_type",
+        "principal_name",
+        "raw",
+        F.lit(None).cast("string").alias("severity"),
     )
 
 
-def classify(message) -> Column:
-    """(event_type, principal_name) by the first pattern the message holds."""
+def classify(message) -> tuple[Column, Column]:
+    """Event type and user by the first pattern the message holds."""
     message = F.col(message) if isinstance(message, str) else message
-    verdict = None
+    event_type = who = None
     for name, pattern in C.EVENT_PATTERNS:
-        result = F.struct(
-            F.lit(name).alias("event_type"),
-            F.regexp_extract(message, pattern, 1).alias("principal_name"),
-        )
         found = message.rlike(pattern)
-        verdict = F.when(found, result) if verdict is None else verdict.when(found, result)
-    nothing = F.struct(
-        F.lit(C.DEFAULT_EVENT_TYPE).alias("event_type"),
-        F.lit(None).cast("string").alias("principal_name"),
-    )
-    return verdict.otherwise(nothing)
+        user = F.regexp_extract(message, pattern, 1)
+        if event_type is None:
+            event_type, who = F.when(found, name), F.when(found, user)
+        else:
+            event_type, who = event_type.when(found, name), who.when(found, user)
+    return event_type.otherwise(C.DEFAULT_EVENT_TYPE), who
 
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

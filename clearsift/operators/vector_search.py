@@ -229,4 +229,4 @@ def _lengths(lists) -> np.ndarray:
 
 def _matrix(lists, rows: int) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(rows, -1)
+    return flat.reshape(rows, -1) if rows else flat.reshape(0, 1)
