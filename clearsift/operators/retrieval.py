@@ -1,6 +1,6 @@
 """Hybrid entitled search and what is done with its hits."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
@@ -72,20 +72,20 @@ def policy_search(
 
 
 def session_evidence(hits: DataFrame) -> DataFrame:
-    """First occurrence of each chunk over a session's searches, order kept.
+    """First occurrence of each chunk over a session's searches.
 
-    ``hits`` has session_id, call_no, rank, chunk_id.
+    ``hits`` has session_id, call_no, rank, chunk_id.  The evidence of a session
+    is ordered by (call_no, rank); it is not numbered, which would gather a busy
+    session in one task.
     """
     first = hits.groupBy("session_id", "chunk_id").agg(
         F.min(F.struct("call_no", "rank")).alias("first")
     )
-    in_order = Window.partitionBy("session_id").orderBy("first")
     return first.select(
         "session_id",
         "chunk_id",
         F.col("first.call_no").alias("call_no"),
         F.col("first.rank").alias("rank"),
-        F.row_number().over(in_order).alias("evidence_no"),
     )
 
 

@@ -7,7 +7,7 @@ from clearsift.functions.scale import cut, scratch_path
 from clearsift.operators import access_log, audits, citations, entitlements, evaluation
 from clearsift.operators.vector_search import vector_topk
 from clearsift.plans import corpus
-from clearsift.plans.registry import query
+from clearsift.plans.registry import ints, query
 from clearsift.plans.search_queries import _hybrid, _unfiltered_hits, _vector_hits
 from clearsift.plans.sql import customer, vis, with_
 from clearsift.sources import tables
@@ -361,6 +361,7 @@ def _metrics(spark, folder):
     )
 
 
+@ints("place")
 @query(
     "unique_top_codes",
     with_("uniq", extra=_GOLDEN) + "SELECT request_id, code, place FROM uniq",

@@ -6,7 +6,7 @@ from clearsift.constants import EVENT_TYPES
 from clearsift.functions.scale import cut, scratch_path
 from clearsift.operators import audits, entitlements, logs, retrieval, syslog
 from clearsift.plans import corpus
-from clearsift.plans.registry import query
+from clearsift.plans.registry import ints, query
 from clearsift.plans.sql import vis, with_
 from clearsift.sources import readers
 from clearsift.streaming import access as access_stream
@@ -116,6 +116,7 @@ def new_events(spark, folder):
     return fresh.groupBy("host").agg(F.count("*").alias("n"), F.count("ts").alias("timed"))
 
 
+@ints("rank")
 @query(
     "query_logs",
     with_("lhits")
@@ -355,6 +356,7 @@ _QUOTA = (
 )
 
 
+@ints("remaining")
 @query("daily_quota", _QUOTA)
 def daily_quota(spark, folder):
     """Which requests a user's daily quota lets through, and what remains."""
@@ -364,6 +366,7 @@ def daily_quota(spark, folder):
     return verdicts.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@ints("remaining")
 @query("stream_quota", _QUOTA)
 def stream_quota(spark, folder):
     """The same verdicts over arriving requests, with one counter per user and day."""

@@ -23,3 +23,14 @@ def query(name: str, sql: str | None = None):
         return run
 
     return register
+
+
+def ints(*columns: str):
+    """Columns the SQL of a query must give as 32-bit integers, as Spark does."""
+    casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+
+    def narrow(run):
+        SQL[run.__name__] = f"SELECT * REPLACE ({casts}) FROM ({SQL[run.__name__]})"
+        return run
+
+    return narrow

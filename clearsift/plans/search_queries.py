@@ -7,7 +7,7 @@ from clearsift.functions.scale import cut
 from clearsift.operators import audits, entitlements, fusion, keyword_search, retrieval
 from clearsift.operators.vector_search import naive_topk, vector_topk
 from clearsift.plans import corpus
-from clearsift.plans.registry import query
+from clearsift.plans.registry import ints, query
 from clearsift.plans.sql import customer, vis, with_
 
 K = 10
@@ -133,6 +133,7 @@ def event_violations(spark, folder):
     return entitlements.violations(rows, "log_event", "event_id")
 
 
+@ints("rank", "text_length")
 @query(
     "hydrate_hits",
     with_("vhits", "docs", "clauses", "chunks")
@@ -174,6 +175,7 @@ def _vector_texts(spark, folder):
     ).join(first.select("document_id", "text"), "document_id")
 
 
+@ints("rank")
 @query(
     "clause_codes",
     with_("vhits", "clauses")
@@ -215,6 +217,7 @@ def visible_document_counts(spark, folder):
 # --------------------------------------------------------------- retrieval
 
 
+@ints("rank")
 @query(
     "vector_topk",
     with_("vhits") + "SELECT request_id, rank, chunk_id, round(distance, 6) AS distance FROM vhits",
@@ -225,6 +228,7 @@ def vector_topk_query(spark, folder):
     return hits.select("request_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+@ints("naive_rank")
 @query(
     "naive_topk",
     with_("nhits")
@@ -283,6 +287,7 @@ def _text_permissions(spark, folder):
     )
 
 
+@ints("rank")
 @query(
     "keyword_topk",
     with_("treqs", "kranked")
@@ -302,6 +307,7 @@ def keyword_topk(spark, folder):
     return hits
 
 
+@ints("rank")
 @query(
     "asked_k",
     with_("reqs", "vranked")
@@ -361,6 +367,7 @@ def rrf_scores(spark, folder):
     return scores.select("group_id", "candidate", F.round("score", 12).alias("score"))
 
 
+@ints("rank")
 @query(
     "rrf_order",
     with_("scored", extra=_LISTS)
@@ -385,6 +392,7 @@ def _hybrid(spark, folder, requests=None):
     )
 
 
+@ints("rank")
 @query(
     "hybrid_search",
     with_("hybrid") + "SELECT request_id, rank, chunk_id, round(score, 9) AS score FROM hybrid",
@@ -412,6 +420,7 @@ def _policy_hits(spark, folder):
     return requests, entitlements.enforce(shown)
 
 
+@ints("rank")
 @query(
     "policy_search",
     with_("hybrid", "chunks")
@@ -441,11 +450,11 @@ def evidence_blocks(spark, folder):
     return retrieval.evidence_blocks(hits, requests)
 
 
+@ints("rank")
 @query(
     "session_evidence",
     with_("sreqs", "vranked")
-    + "SELECT session_id, chunk_id, call_no, rank, row_number() OVER (PARTITION BY session_id ORDER BY call_no, rank)"
-    " AS evidence_no FROM (SELECT r.session_id, v.chunk_id, r.call_no, v.rank FROM sreqs r JOIN vranked v"
+    + "SELECT session_id, chunk_id, call_no, rank FROM (SELECT r.session_id, v.chunk_id, r.call_no, v.rank FROM sreqs r JOIN vranked v"
     " USING (query_id, department, clearance) WHERE v.rank <= 10 QUALIFY row_number() OVER"
     " (PARTITION BY r.session_id, v.chunk_id ORDER BY r.call_no, v.rank) = 1)",
 )
@@ -457,6 +466,7 @@ def session_evidence(spark, folder):
     return retrieval.session_evidence(hits.join(calls, "request_id"))
 
 
+@ints("rank")
 @query(
     "fold_by_clause",
     with_("vhits", "clauses")
@@ -516,6 +526,7 @@ def compare_paths(spark, folder):
     return _compared(spark, folder)[1]
 
 
+@ints("persona_no", "rank")
 @query(
     "persona_searches",
     with_("hybrid", "chunks")

@@ -386,12 +386,12 @@ def _vector_sums(vectors, id_col):
     "encode_worklist",
     with_("chunks")
     + "SELECT sha256(text) AS text_hash, length(any_value(text)) AS n FROM chunks GROUP BY sha256(text)"
-    " HAVING bool_and(document_id % 2 = 1)",
+    " HAVING bool_and(clause_code IS NULL)",
 )
 def encode_worklist(spark, folder):
     """Distinct chunk texts that have no stored vector yet."""
     chunks = corpus.text_chunks(spark, folder)
-    stored = chunks.where(F.col("document_id") % 2 == 0).select(
+    stored = chunks.where(F.col("clause_code").isNotNull()).select(
         F.sha2("text", 256).alias("text_hash")
     )
     return embedding.pending(chunks, stored, "text").select(
@@ -422,7 +422,7 @@ def vector_dimension_check(spark, folder):
 def _document_batches(spark, folder):
     """What is stored, and a later load: known paths reclassified twice, and new ones."""
     docs = corpus.documents(spark, folder).withColumn("ingested_at", F.lit(None).cast("timestamp"))
-    stored = docs.where(F.col("document_id") % 3 != 0)
+    stored = docs.where(F.col("doc_type") == "md")
     first = docs.withColumn("batch", F.lit(1)).withColumn("title", F.concat(F.lit("old "), "title"))
     second = docs.withColumn("batch", F.lit(2)).withColumn(
         "required_clearance", F.col("required_clearance") % 3 + 1
@@ -435,7 +435,7 @@ def _document_batches(spark, folder):
     with_("docs")
     + "SELECT source_path, title, required_clearance % 3 + 1 AS required_clearance,"
     " CASE WHEN len(allowed_departments) > 0 THEN array_to_string(allowed_departments, ',') END AS departments,"
-    " CASE WHEN document_id % 3 <> 0 THEN document_id END AS kept_id FROM docs",
+    " CASE WHEN doc_type = 'md' THEN document_id END AS kept_id FROM docs",
 )
 def upsert_documents(spark, folder):
     """Loading again keeps ids and overwrites permissions; the last batch wins."""
@@ -455,7 +455,7 @@ def upsert_documents(spark, folder):
 def _clause_batches(spark, folder):
     rows = corpus.clauses(spark, folder).withColumn("text", F.concat(F.lit("text of "), "title"))
     stored = rows
-    incoming = rows.where(F.col("clause_id") % 2 == 0).select(
+    incoming = rows.select(
         "document_id",
         F.when(F.col("document_id") % 4 == 0, F.concat("code", F.lit("9"))).otherwise(F.col("code")).alias("code"),
         F.concat(F.lit("new "), "title").alias("title"),
@@ -468,7 +468,7 @@ def _clause_batches(spark, folder):
 @query(
     "upsert_clauses",
     with_("clauses")
-    + "SELECT document_id, code, CASE WHEN document_id % 4 = 2 THEN 'new ' || title ELSE title END AS title, clause_id AS kept_id"
+    + "SELECT document_id, code, CASE WHEN document_id % 4 <> 0 THEN 'new ' || title ELSE title END AS title, clause_id AS kept_id"
     " FROM clauses UNION ALL SELECT document_id, code || '9', 'new ' || title, NULL FROM clauses WHERE document_id % 4 = 0",
 )
 def upsert_clauses(spark, folder):
@@ -480,7 +480,7 @@ def upsert_clauses(spark, folder):
 @query(
     "prune_clauses",
     with_("clauses")
-    + "SELECT document_id, code, CASE WHEN document_id % 4 = 2 THEN 'new ' || title ELSE title END AS title, clause_id AS kept_id"
+    + "SELECT document_id, code, 'new ' || title AS title, clause_id AS kept_id"
     " FROM clauses WHERE document_id % 4 <> 0 UNION ALL SELECT document_id, code || '9', 'new ' || title, NULL FROM clauses"
     " WHERE document_id % 4 = 0",
 )
@@ -497,14 +497,17 @@ def _with_kept_ids(merged, stored):
 
 @query(
     "replace_chunks",
-    with_("chunks")
-    + "SELECT chunk_id, document_id, CASE WHEN document_id % 2 = 0 THEN md5('new ' || text) ELSE md5(text) END AS text_md5 FROM chunks",
+    with_("chunks", "docs")
+    + "SELECT chunk_id, document_id, CASE WHEN doc_type = 'md' THEN md5('new ' || c.text) ELSE md5(c.text) END AS text_md5"
+    " FROM chunks c JOIN docs USING (document_id)",
 )
 def replace_chunks(spark, folder):
     """Chunks of reloaded documents are exchanged at once."""
     stored = corpus.text_chunks(spark, folder).select("chunk_id", "document_id", "text")
-    reloaded = corpus.documents(spark, folder).where(F.col("document_id") % 2 == 0)
-    fresh = stored.where(F.col("document_id") % 2 == 0).withColumn("text", F.concat(F.lit("new "), "text"))
+    reloaded = corpus.documents(spark, folder).where(F.col("doc_type") == "md")
+    fresh = stored.join(reloaded.select("document_id"), "document_id", "left_semi").withColumn(
+        "text", F.concat(F.lit("new "), "text")
+    )
     return tables.replace_chunks(stored, fresh, reloaded).select(
         "chunk_id", "document_id", F.md5("text").alias("text_md5")
     )
@@ -525,15 +528,14 @@ def unpaired_chunks(spark, folder):
 @query(
     "upsert_hosts",
     with_("hosts")
-    + "SELECT name, department, CASE WHEN CAST(substr(name, 6) AS INTEGER) % 2 = 0 THEN 3 ELSE required_clearance END AS required_clearance,"
-    " CASE WHEN CAST(substr(name, 6) AS INTEGER) % 2 = 1 AND len(allowed_departments) = 0 THEN '' WHEN len(allowed_departments) > 0"
+    + "SELECT name, department, CASE WHEN required_clearance = 1 THEN 3 ELSE required_clearance END AS required_clearance,"
+    " CASE WHEN required_clearance <> 1 AND len(allowed_departments) = 0 THEN '' WHEN len(allowed_departments) > 0"
     " THEN array_to_string(allowed_departments, ',') END AS departments FROM hosts",
 )
 def upsert_hosts(spark, folder):
     """Hosts by name; an empty department list is stored as null."""
     stored = corpus.hosts(spark, folder)
-    number = F.substring("name", 6, 9).cast("int")
-    changed = stored.where(number % 2 == 0).withColumn("required_clearance", F.lit(3))
+    changed = stored.where(F.col("required_clearance") == 1).withColumn("required_clearance", F.lit(3))
     merged = tables.upsert_hosts(stored, changed.withColumn("batch", F.lit(1)), "batch")
     names = tables.host_names(merged)
     return merged.join(names, "name").select(

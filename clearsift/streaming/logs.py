@@ -43,9 +43,8 @@ def load_logs(
     above the batches already there.
     """
     spark = lines.sparkSession
-    spark.createDataFrame([], EVENT_SCHEMA).write.mode("overwrite").parquet(
-        f"{out}/events/batch=-1"
-    )
+    nothing = spark.createDataFrame([], EVENT_SCHEMA)
+    nothing.write.mode("overwrite").partitionBy("dt").parquet(f"{out}/events/batch=-1")
 
     def load(batch: DataFrame, batch_id: int) -> None:
         batch_id += first_batch
@@ -61,7 +60,9 @@ def load_logs(
         accepted = accepted_events(parsed, hosts, held).select(
             *EVENT_COLUMNS, F.to_date("ts").alias("dt")
         )
-        accepted.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
+        accepted.write.mode("overwrite").partitionBy("dt").parquet(
+            f"{out}/events/batch={batch_id}"
+        )
         stored = batch.sparkSession.read.schema(EVENT_SCHEMA).parquet(
             f"{out}/events/batch={batch_id}"
         )

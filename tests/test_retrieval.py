@@ -208,7 +208,7 @@ def test_session_evidence_and_folding(spark):
     hits = spark.createDataFrame(
         [(1, 1, 1, 7), (1, 1, 2, 8), (1, 2, 1, 8), (1, 2, 2, 9)], "session_id int, call_no int, rank int, chunk_id long"
     )
-    got = retrieval.session_evidence(hits).orderBy("evidence_no").collect()
+    got = retrieval.session_evidence(hits).orderBy("call_no", "rank").collect()
     assert [(r.chunk_id, r.call_no) for r in got] == [(7, 1), (8, 1), (9, 2)]
     coded = spark.createDataFrame(
         [(1, 1, 7, "1.1.1"), (1, 2, 8, None), (1, 3, 9, "1.1.1"), (1, 4, 10, None)],
