@@ -92,7 +92,7 @@ def search_keyword(
         F.collect_set("class_key").alias("asking_classes")
     )
     visible_scores = (
-        scores.join(keyed.select("chunk_id", "class_keys"), "chunk_id")
+        scores.join(broadcast_if_small(keyed.select("chunk_id", "class_keys")), "chunk_id")
         .join(broadcast_if_small(searches), "query_id")
         .select(
             "query_id",

@@ -199,7 +199,7 @@ def with_classes(requests: DataFrame, people: DataFrame) -> DataFrame:
 
 def topic_requests(spark, folder) -> DataFrame:
     """Every event is a search of its user for a topic."""
-    asked = table(spark, folder, "events").select(
+    asked = spread(table(spark, folder, "events"), "event_id").select(
         F.col("event_id").alias("request_id"),
         customer_name(F.col("user_id") % USERS).alias("persona"),
         (F.col("event_id") % TOPICS).alias("query_id"),
@@ -307,7 +307,7 @@ def log_requests(spark, folder) -> DataFrame:
     """Every event is also a log question: a type or any, a start or none."""
     kinds = F.array(*[F.lit(k) for k in ("signup", "error", "click", "view", "purchase")])
     event = F.col("event_id")
-    asked = table(spark, folder, "events").select(
+    asked = spread(table(spark, folder, "events"), "event_id").select(
         event.alias("request_id"),
         customer_name(F.col("user_id") % USERS).alias("persona"),
         F.when(event % 6 != 5, F.element_at(kinds, (event % 6 + 1).cast("int"))).alias(
