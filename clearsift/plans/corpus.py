@@ -132,13 +132,20 @@ def text_chunks(spark, folder) -> DataFrame:
     return chunk_rows(rows).withColumn("chunk_id", doc * 1000 + F.col("ordinal"))
 
 
-def encoded_chunks(spark, folder) -> DataFrame:
-    keep = ["chunk_id", "document_id", "clause_id", "required_clearance", "allowed_departments"]
+CHUNK_KEYS = ["chunk_id", "document_id", "clause_id", "required_clearance", "allowed_departments"]
+
+
+def encoded_chunks(spark, folder, keep=CHUNK_KEYS) -> DataFrame:
     return encode(
         text_chunks(spark, folder), "text", "passage", hash_encoder, HASH_DIM, keep=keep
     )
 
 
+def stored_chunks(spark, folder) -> DataFrame:
+    """Chunks with text and vector, written once: search and hydration read them."""
+    return cut(encoded_chunks(spark, folder, [*CHUNK_KEYS, "text"]))
+
+
 def stored_postings(spark, folder) -> DataFrame:
     """The inverted table, written once: every search reads it."""
     return cut(

@@ -405,19 +405,16 @@ def hybrid_search(spark, folder):
 
 def _policy_hits(spark, folder):
     requests = corpus.text_requests(spark, folder)
-    chunks = corpus.text_chunks(spark, folder).select(
-        "chunk_id", "document_id", "clause_id", "text"
-    )
-    _, hits = _hybrid(spark, folder, requests)
-    scoped = hits.join(
-        requests.select("request_id", "department", "clearance"), "request_id"
-    )
-    shown = cut(
-        entitlements.hydrate(
-            scoped, chunks, corpus.documents(spark, folder), corpus.clauses(spark, folder)
-        )
+    hits = retrieval.policy_search(
+        corpus.stored_chunks(spark, folder),
+        corpus.stored_postings(spark, folder),
+        corpus.documents(spark, folder),
+        corpus.clauses(spark, folder),
+        requests,
+        corpus.encoded_queries(spark, folder),
+        K,
     )
-    return requests, entitlements.enforce(shown)
+    return requests, hits
 
 
 @ints("rank")

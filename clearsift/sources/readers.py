@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearsift import constants as C
 from clearsift.schema import ROLES
 
 

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from clearsift.functions.access import class_key
 from clearsift.operators import logs
