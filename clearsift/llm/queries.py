@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clearsift.llm import packing
+from clearsift.llm import html_extraction, language_id, packing, sharding, url_filter
 from clearsift.plans.registry import query
 
 
@@ -34,3 +34,72 @@ def op9_best_fit_token_matrix(spark, folder):
         F.crc32("input_ids").alias("ids_crc32"),
         F.crc32("position_ids").alias("positions_crc32"),
     )
+
+
+@query("op1_html_main_text")
+def op1_html_main_text(spark, folder):
+    """The main text of every page."""
+    pages = html_extraction.extract(table(spark, folder, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "op2_rendezvous_shards",
+    """
+    WITH numbered AS (
+      SELECT *, row_number() OVER () AS pos FROM documents
+    ), scored AS (
+      SELECT pos, i, substr(md5(coalesce(doc_id::VARCHAR, '') || '#' || i), 1, 13) AS score
+      FROM numbered, range(17) t(i)
+    ), chosen AS (
+      SELECT pos, arg_max(i, score) FILTER (i < 16) AS shard, arg_max(i, score) AS grown_shard
+      FROM scored GROUP BY pos
+    ), bits AS (
+      SELECT list(c ORDER BY n) AS crc_table FROM (
+        SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) t(n))
+    )
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+      CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(
+          range(1, 2 * octet_length(encode(text)), 2),
+          lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]))) END AS text_crc32,
+      'key' AS law, shard::INTEGER AS shard,
+      row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot,
+      grown_shard::INTEGER AS grown_shard
+    FROM numbered JOIN chosen USING (pos), bits
+    """,
+)
+def op2_rendezvous_shards(spark, folder):
+    """Every document's shard among 16, its slot there, and its shard among 17."""
+    rows = sharding.shard(table(spark, folder, "documents"), shards=16)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
+@query("op4_boosted_url_filter")
+def op4_boosted_url_filter(spark, folder):
+    """Every page's verdict.  Labelled urls are pages whose path number names a
+    labelled document: block where that is toxic or of low quality."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})", 1)
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("number"),
+        ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("double").alias("block"),
+    )
+    labelled = pages.withColumn("number", number.try_cast("long")).join(labels, "number")
+    model = url_filter.train(labelled)
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_rank_order_language")
+def op5_rank_order_language(spark, folder):
+    """Every document's predicted language, learnt from four fifths of the ids."""
+    docs = table(spark, folder, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    found = language_id.profiles(docs.where(~held))
+    judged = language_id.identify(docs.select("doc_id", "text"), found)
+    return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score")
