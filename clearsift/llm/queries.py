@@ -2,7 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from clearsift.llm import html_extraction, language_id, packing, sharding, url_filter
+from clearsift.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    packing,
+    quality_rules,
+    sharding,
+    url_filter,
+)
 from clearsift.plans.registry import query
 
 
@@ -103,3 +111,108 @@ def op5_rank_order_language(spark, folder):
     found = language_id.profiles(docs.where(~held))
     judged = language_id.identify(docs.select("doc_id", "text"), found)
     return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op7_line_frequency_rules",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+    ), w AS (
+      SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d
+    ), win AS (
+      SELECT r, p, array_to_string(words[p:p + 7], ' ') AS shingle
+      FROM w, unnest(range(1, len(words) - 6)) t(p)
+    ), twice AS (
+      SELECT r, p FROM win
+      QUALIFY count(*) OVER (PARTITION BY r, shingle) > 1
+    ), repeated AS (
+      SELECT r, count(DISTINCT q) AS n FROM twice, unnest(range(p, p + 8)) t(q) GROUP BY r
+    ), lines AS (
+      SELECT r, source, md5(text) AS digest, line,
+        lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+      FROM d, unnest(string_split(text, chr(10))) t(line)
+    ), worded AS (
+      SELECT *, len(string_split(norm, ' ')) AS n FROM lines WHERE norm <> ''
+    ), line_counts AS (
+      SELECT source, norm, count(DISTINCT digest) AS n FROM worded GROUP BY ALL
+    ), hosts AS (
+      SELECT source, count(DISTINCT md5(text)) AS n FROM d GROUP BY ALL
+    ), frequent AS (
+      SELECT l.source, l.norm FROM line_counts l JOIN hosts h
+        ON l.source IS NOT DISTINCT FROM h.source
+      WHERE l.n > 10 AND 100 * l.n > 2 * h.n
+    ), per_doc AS (
+      SELECT r, count(*) - count(DISTINCT line) AS dup,
+        coalesce(sum(x.n) FILTER (f.norm IS NOT NULL), 0) AS gone
+      FROM worded x LEFT JOIN frequent f
+        ON x.norm = f.norm AND x.source IS NOT DISTINCT FROM f.source
+      GROUP BY r
+    ), figures AS (
+      SELECT doc_id, len(words)::BIGINT AS n_words,
+        length(array_to_string(words, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(dup, 0)::BIGINT AS n_dup_lines,
+        coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+        coalesce(gone, 0) AS gone
+      FROM d JOIN w USING (r) LEFT JOIN repeated USING (r) LEFT JOIN per_doc USING (r)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+      NOT base_failed AND 100 * (n_words - gone) >= 20 * n_words AS kept
+    FROM figures
+    """,
+)
+def op7_line_frequency_rules(spark, folder):
+    """Every document's figures and verdict."""
+    judged = quality_rules.judge(table(spark, folder, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
+@query(
+    "op8_ngram_decontamination",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM documents
+    ), b AS (
+      SELECT coalesce(item_id::VARCHAR, '') AS item,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM benchmark
+    ), known AS (
+      SELECT DISTINCT item, least(len(words), 10) AS n,
+        array_to_string(words[p:p + least(len(words), 10) - 1], ' ') AS shingle
+      FROM b, unnest(range(1, greatest(len(words) - 8, 2))) t(p) WHERE len(words) > 0
+    ), win AS (
+      SELECT r, p, n, array_to_string(words[p:p + n - 1], ' ') AS shingle
+      FROM d, (SELECT DISTINCT n FROM known) k, unnest(range(1, len(words) - n + 2)) t(p)
+    ), hits AS (
+      SELECT r, p, n, item FROM win JOIN known USING (n, shingle)
+    ), covered AS (
+      SELECT r, count(DISTINCT q) AS n_hit FROM hits, unnest(range(p, p + n)) t(q) GROUP BY r
+    ), named AS (
+      SELECT r, list(DISTINCT item) AS items FROM hits GROUP BY r
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+      coalesce(len(items), 0)::BIGINT AS n_items,
+      sha256(coalesce(array_to_string(list_sort(items), ','), '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+    """,
+)
+def op8_ngram_decontamination(spark, folder):
+    """Every document's benchmark passages."""
+    found = decontamination.scan(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"]
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -150,7 +150,7 @@ def train(
         )
         boosted = GBTClassifier(
             featuresCol="__features", labelCol="label", maxIter=trees, maxDepth=depth,
-            stepSize=0.2, seed=7,
+            stepSize=0.2, minInstancesPerNode=20, seed=7,
         )
         boosted.setPredictionCol("__prediction").setRawPredictionCol("__raw")
         boosted.setProbabilityCol("__probability")
