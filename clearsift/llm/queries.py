@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clearsift.llm import (
     decontamination,
     html_extraction,
+    jaccard_join,
     language_id,
     packing,
     quality_rules,
@@ -216,3 +217,10 @@ def op8_ngram_decontamination(spark, folder):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op10_grouped_prefix_join")
+def op10_grouped_prefix_join(spark, folder):
+    """Every document's set size and the component it is linked into."""
+    found = jaccard_join.similar_documents(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
