@@ -8,6 +8,7 @@ from clearsift.llm import (
     jaccard_join,
     language_id,
     packing,
+    passage_dedup,
     quality_rules,
     sharding,
     url_filter,
@@ -224,3 +225,13 @@ def op10_grouped_prefix_join(spark, folder):
     """Every document's set size and the component it is linked into."""
     found = jaccard_join.similar_documents(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op3_collinear_chaining")
+def op3_collinear_chaining(spark, folder):
+    """Every passage that a document shares with an earlier one."""
+    found = passage_dedup.passages(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "start", "end", (F.col("end") - F.col("start")).alias("n_words"),
+        F.col("source_id").alias("source_doc_id"), "source_start", "source_end", "identity",
+    )
