@@ -104,7 +104,7 @@ def scan(
     )
     hit = F.col("pos") > 0
     found = met.groupBy("__id").agg(
-        F.max(F.when(~hit, F.col("__keep"))).alias("__keep"),
+        F.first(F.when(~hit, F.col("__keep")), ignorenulls=True).alias("__keep"),
         F.max(F.when(~hit, F.size("__words"))).cast("long").alias("n_words"),
         F.array_sort(
             F.collect_set(F.when(hit, F.struct(F.col("pos").alias("start"), "len")))
@@ -159,17 +159,17 @@ def clean(
     a digest of it.  Null texts are clean; all columns are kept.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    found = scan(docs, benchmark, [digest.alias("digest")], text_col, **names)
-    found = cut(found.where("n_hit > 0").groupBy("digest").agg(F.first("spans").alias("spans")))
+    found = scan(docs, benchmark, [digest.alias("__found")], text_col, **names)
+    found = cut(
+        found.where("n_hit > 0").groupBy("__found").agg(F.first("spans").alias("__spans"))
+    )
     keyed = docs.withColumn("__digest", digest)
     if remove == "documents":
-        return keyed.join(found, F.col("__digest") == F.col("digest"), "left_anti").drop("__digest")
+        return keyed.join(found, F.col("__digest") == F.col("__found"), "left_anti").drop(
+            "__digest"
+        )
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(PIECES), 0)
-    joined = keyed.join(
-        found.select("digest", F.col("spans").alias("__spans")),
-        F.col("__digest") == F.col("digest"),
-        "left",
-    ).drop("digest")
+    joined = keyed.join(found, F.col("__digest") == F.col("__found"), "left")
     joined = with_fields(joined, F.when(F.col("__spans").isNotNull(), pieces).alias("__pieces"))
     head = F.when(F.get("__pieces", F.lit(0)).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
     kept = F.filter(
