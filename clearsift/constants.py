@@ -44,6 +44,11 @@ SPACE_CHARS = (
     "\\t-\\r\\x1c-\\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = f"[{SPACE_CHARS}]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 NOT_SPACE = f"[^{SPACE_CHARS}]"
 PRIVATE_SPACE = "\uf020"
 PRIVATE_USE = "[\ue000-\uf8ff]"
@@ -56,7 +61,7 @@ ANGLE_REPLACEMENTS = "\u2039\u2039\u2039\u203a\u203a\u203a"
 CODE = r"\p{Nd}+\.\p{Nd}+\.\p{Nd}+"
 TITLE = rf"{NOT_SPACE}[^\n]{{0,200}}"
 MARKDOWN_CLAUSE = rf"(?dm)^##{SPACE}+({CODE}){SPACE}+({TITLE})$"
-PAGED_CLAUSE = rf"(?dm)^{SPACE}*({CODE}){SPACE}+({TITLE})$"
+PAGED_CLAUSE = rf"(?dm)^[{SPACE_CHARS}&&[^\n]]*({CODE}){SPACE}+({TITLE})$"
 FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n"
 CITATION = r"(\[\d+\.\d+\.\d+\]|\d+\.\d+\.\d+)"
 LEXEME = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"

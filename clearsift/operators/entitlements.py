@@ -5,20 +5,22 @@ from pyspark.sql import functions as F
 
 from clearsift import constants as C
 from clearsift.functions.access import access_keys, class_key, principal_keys, visible
-from clearsift.functions.scale import broadcast_if_small, settle
+from clearsift.functions.scale import broadcast_if_small, cut, settle
 
 
 class AccessViolation(Exception):
     """Rows outside a principal's scope reached an output.
 
-    Carries the kind and ids only: neither text, title nor host may travel
+    Carries the kind, their number and ``rows``, a stored table of every request
+    and id concerned, to be recorded.  Neither text, title nor host may travel
     through an error.
     """
 
-    def __init__(self, kind: str, ids):
-        super().__init__(f"{kind} rows outside the principal's scope: {list(ids)}")
+    def __init__(self, kind: str, rows: DataFrame, count: int):
+        super().__init__(f"{count} {kind} rows outside the principal's scope")
         self.kind = kind
-        self.ids = list(ids)
+        self.rows = rows
+        self.count = count
 
 
 class UnknownPersona(Exception):
@@ -108,11 +110,12 @@ def violations(hits: DataFrame, kind: str, id_col: str) -> DataFrame:
 def enforce(hits: DataFrame, kind: str = "chunk", id_col: str = "chunk_id") -> DataFrame:
     """Return ``hits`` unchanged, or raise; never filter quietly.
 
-    The error names a few ids; ``violations`` has them all.
+    All violations are stored before the error is raised, and it hands them on.
     """
-    found = violations(hits, kind, id_col).select("resource_id").limit(20).collect()
-    if found:
-        raise AccessViolation(kind, [row.resource_id for row in found])
+    found = cut(violations(hits, kind, id_col))
+    count = found.count()
+    if count:
+        raise AccessViolation(kind, found, count)
     return hits
 
 

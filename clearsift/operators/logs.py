@@ -8,7 +8,12 @@ from clearsift.functions.access import clamp, class_key
 from clearsift.functions.scale import broadcast_if_small, settle, top_k
 from clearsift.operators.entitlements import principal_classes, visible_classes
 
-ANY_TYPE = "*"
+# Full dates and date-times of ISO 8601; anything shorter is refused, since it
+# would be completed by a guess.
+ISO_TIME = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+)
 
 
 def _newest():
@@ -92,7 +97,9 @@ def valid_since(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse ``since`` texts.  A malformed one rejects its request: dropping
     the filter would answer more than was asked."""
     text = F.col("since")
-    parsed = requests.withColumn("since_ts", F.try_to_timestamp(text))
+    # Spark reads fractions after a point only.
+    whole = F.when(text.rlike(ISO_TIME), F.replace(text, F.lit(","), F.lit(".")))
+    parsed = requests.withColumn("since_ts", F.try_to_timestamp(whole))
     bad = text.isNotNull() & (text != "") & F.col("since_ts").isNull()
     return parsed.where(~F.coalesce(bad, F.lit(False))), parsed.where(bad).select(
         *requests.columns
@@ -118,10 +125,14 @@ def query_logs(events: DataFrame, hosts: DataFrame, requests: DataFrame) -> Data
     )
     scoped = visible_classes(registry, principal_classes(requests))
     seen = newest.join(broadcast_if_small(scoped), "host")
-    kinds = F.array(F.col("event_type"), F.lit(ANY_TYPE))
+    # "Any type" is a flag of its own: no type's name can stand for it.
+    kinds = F.array(
+        F.struct(F.lit(False).alias("any_type"), F.col("event_type").alias("asked_type")),
+        F.struct(F.lit(True).alias("any_type"), F.lit("").alias("asked_type")),
+    )
     ranked = top_k(
-        seen.withColumn("asked_type", F.explode(kinds)),
-        ["class_key", "asked_type"],
+        seen.select("*", F.inline(kinds)),
+        ["class_key", "any_type", "asked_type"],
         _newest(),
         C.MAX_LOG_LIMIT,
     )
@@ -130,15 +141,16 @@ def query_logs(events: DataFrame, hosts: DataFrame, requests: DataFrame) -> Data
         "department",
         "clearance",
         "class_key",
-        F.coalesce("event_type", F.lit(ANY_TYPE)).alias("asked_type"),
+        F.col("event_type").isNull().alias("any_type"),
+        F.coalesce("event_type", F.lit("")).alias("asked_type"),
         "since_ts",
         clamp("limit", 1, C.MAX_LOG_LIMIT).alias("limit"),
     )
     in_time = F.col("since_ts").isNull() | (F.col("ts") >= F.col("since_ts"))
     return (
-        asked.join(settle(ranked), ["class_key", "asked_type"])
+        asked.join(settle(ranked), ["class_key", "any_type", "asked_type"])
         .where((F.col("rank") <= F.col("limit")) & in_time)
-        .drop("class_key", "asked_type", "since_ts", "limit")
+        .drop("class_key", "any_type", "asked_type", "since_ts", "limit")
     )
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clearsift.constants import MASKED_QUERY
 from clearsift.functions.access import masked_query
 from clearsift.functions.scale import cut, scratch_path
 from clearsift.operators import access_log, audits, citations, entitlements, evaluation
@@ -14,7 +15,7 @@ from clearsift.sources import tables
 
 K = 10
 SESSION = "s3"
-MASKED = "(다른 방문자의 질의)"
+MASKED = MASKED_QUERY
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -161,7 +162,10 @@ def _with_codes(spark, folder, hits):
 )
 def violation_records(spark, folder):
     """One blocked record per id that a broken retriever let through."""
-    found = entitlements.violations(_unfiltered_hits(spark, folder), "chunk", "chunk_id")
+    try:
+        entitlements.enforce(_unfiltered_hits(spark, folder))
+    except entitlements.AccessViolation as refused:
+        found = refused.rows  # all of them, to be recorded before anything is answered
     records = access_log.violation_records(found, corpus.topic_requests(spark, folder))
     return records.drop("ts", "department", "clearance")
 

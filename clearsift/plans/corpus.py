@@ -22,7 +22,9 @@ from clearsift.operators.parsing import chunk_rows
 # Department names of the source tables.
 DEPARTMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 TOPICS = 10
-USERS = 150
+# Parts of a document or conversation are numbered below this, which no text
+# within Spark's limits reaches in windows of 750 characters.
+PARTS = 1 << 22
 HASH_DIM = 64
 SEVERAL = 3
 YEAR = 2024
@@ -129,7 +131,7 @@ def text_chunks(spark, folder) -> DataFrame:
         "allowed_departments",
         "text",
     )
-    return chunk_rows(rows).withColumn("chunk_id", doc * 1000 + F.col("ordinal"))
+    return chunk_rows(rows).withColumn("chunk_id", doc * PARTS + F.col("ordinal"))
 
 
 CHUNK_KEYS = ["chunk_id", "document_id", "clause_id", "required_clearance", "allowed_departments"]
@@ -161,13 +163,18 @@ def stored_postings(spark, folder) -> DataFrame:
 
 
 def vector_chunks(spark, folder) -> DataFrame:
-    """The given embeddings as chunks of the document with the same number."""
+    """The given embeddings as chunks of the documents, dealt by number: there
+    may be more of them than documents."""
     doc = F.col("document_id")
+    many = table(spark, folder, "documents").count()
     vectors = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("document_id"), "embedding", "label"
+        F.col("vec_id").alias("chunk_id"),
+        (F.col("vec_id") % many).alias("document_id"),
+        "embedding",
+        "label",
     )
     return vectors.join(documents(spark, folder), "document_id").select(
-        doc.alias("chunk_id"),
+        "chunk_id",
         "document_id",
         clause_of(doc).alias("clause_id"),
         "label",
@@ -194,21 +201,35 @@ def topics(spark, folder) -> DataFrame:
 # --------------------------------------------------------------- requests
 
 
+def users(spark, folder) -> int:
+    """Number of customers: every one of them can ask."""
+    return table(spark, folder, "customer").count()
+
+
+def user_of(event, user, many: int) -> F.Column:
+    """The customer behind an event, so that all customers ask."""
+    return customer_name((user + event * 151) % many)
+
+
 def with_classes(requests: DataFrame, people: DataFrame) -> DataFrame:
+    """Requests with their principal's class; an unknown persona fails the job."""
     known = people.select(
         F.col("name").alias("persona"),
         "department",
         "clearance",
         class_key("department", "clearance").alias("class_key"),
     )
-    return requests.join(broadcast_if_small(known), "persona")
+    found = F.when(F.col("class_key").isNull(), F.raise_error(F.lit("unknown persona")))
+    return requests.join(broadcast_if_small(known), "persona", "left").withColumn(
+        "class_key", F.coalesce("class_key", found)
+    )
 
 
 def topic_requests(spark, folder) -> DataFrame:
     """Every event is a search of its user for a topic."""
     asked = spread(table(spark, folder, "events"), "event_id").select(
         F.col("event_id").alias("request_id"),
-        customer_name(F.col("user_id") % USERS).alias("persona"),
+        user_of(F.col("event_id"), F.col("user_id"), users(spark, folder)).alias("persona"),
         (F.col("event_id") % TOPICS).alias("query_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("topic "), F.col("event_id") % TOPICS).alias("query"),
@@ -225,10 +246,10 @@ def session_requests(spark, folder) -> DataFrame:
         table(spark, folder, "conversations")
         .where(F.col("role") == "user")
         .select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+            (F.col("conv_id") * PARTS + F.col("turn")).alias("request_id"),
             F.col("conv_id").alias("session_id"),
             F.col("turn").alias("call_no"),
-            customer_name(F.col("conv_id") % USERS).alias("persona"),
+            customer_name(F.col("conv_id") % users(spark, folder)).alias("persona"),
             ((F.col("conv_id") + F.col("turn")) % TOPICS).alias("query_id"),
         )
     )
@@ -244,7 +265,8 @@ def text_queries(spark, folder) -> DataFrame:
 def text_personas(spark, folder) -> DataFrame:
     """The personas each text query is asked by."""
     item = F.col("item_id")
-    names = [customer_name((item * 7 + j * 11) % USERS) for j in range(SEVERAL)]
+    many = users(spark, folder)
+    names = [customer_name((item * 7 + j * 11) % many) for j in range(SEVERAL)]
     return table(spark, folder, "benchmark").select(
         item.alias("query_id"), F.array(*names).alias("names")
     )
@@ -316,10 +338,10 @@ def log_requests(spark, folder) -> DataFrame:
     event = F.col("event_id")
     asked = spread(table(spark, folder, "events"), "event_id").select(
         event.alias("request_id"),
-        customer_name(F.col("user_id") % USERS).alias("persona"),
-        F.when(event % 6 != 5, F.element_at(kinds, (event % 6 + 1).cast("int"))).alias(
-            "event_type"
-        ),
+        user_of(F.col("event_id"), F.col("user_id"), users(spark, folder)).alias("persona"),
+        F.when(event % 101 == 0, "*")
+        .when(event % 6 != 5, F.element_at(kinds, (event % 6 + 1).cast("int")))
+        .alias("event_type"),
         F.when(event % 4 != 3, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("since"),
         (event % 60).cast("int").alias("limit"),
     )
@@ -367,7 +389,7 @@ def access_records(spark, folder) -> DataFrame:
     rows = table(spark, folder, "events").select(
         event.alias("record_id"),
         F.col("ts").cast("timestamp").alias("ts"),
-        customer_name(user % USERS).alias("persona"),
+        user_of(event, user, users(spark, folder)).alias("persona"),
         F.concat(F.lit("topic "), event % TOPICS).alias("query"),
         F.when(event % 3 != 0, F.concat_ws(".", F.lit("1"), user % 20 + 1, event % 40)).alias(
             "clause_code"
@@ -388,7 +410,7 @@ def answers(spark, folder) -> DataFrame:
         table(spark, folder, "conversations")
         .where(F.col("role") == "assistant")
         .select(
-            (conv * 1000 + turn).alias("answer_id"),
+            (conv * PARTS + turn).alias("answer_id"),
             F.concat(
                 "text",
                 F.lit(" See "),
@@ -410,7 +432,7 @@ def answer_hits(spark, folder) -> DataFrame:
         table(spark, folder, "conversations")
         .where(F.col("role") == "assistant")
         .select(
-            (conv * 1000 + turn).alias("answer_id"),
+            (conv * PARTS + turn).alias("answer_id"),
             F.explode(F.sequence(conv * 3, conv * 3 + 4)).alias("document_id"),
         )
     )

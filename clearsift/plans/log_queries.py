@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clearsift.constants import EVENT_TYPES
+from clearsift.constants import EVENT_TYPES, LOG_SCOPE_NOTICE
 from clearsift.functions.scale import cut, scratch_path
 from clearsift.operators import audits, entitlements, logs, retrieval, syslog
 from clearsift.plans import corpus
@@ -152,17 +152,19 @@ def record_blocks(spark, folder):
 
 @query(
     "since_validation",
-    "SELECT event_id AS request_id, event_id % 5 NOT IN (0, 1) AS accepted FROM events",
+    "SELECT event_id AS request_id, event_id % 16 < 5 AS accepted FROM events",
 )
 def since_validation(spark, folder):
     """Requests with a malformed start are rejected, not answered more widely."""
     request = F.col("event_id")
-    since = (
-        F.when(request % 5 == 0, "yesterday")
-        .when(request % 5 == 1, "2024-13-45 00:00:00")
-        .when(request % 5 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
-        .when(request % 5 == 3, F.date_format("ts", "yyyy-MM-dd"))
-    )
+    shapes = [
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        F.lit(None), F.lit("yesterday"), F.lit("2024-13-45 00:00:00"), F.date_format("ts", "yyyy"),
+        F.date_format("ts", "yyyy-MM"), F.lit("2024-9-1"), F.lit("T10:00"), F.lit("10:00:00"),
+        F.lit("12:3"), F.lit("2024-02-30"), F.lit("2024-01-01T25:00"), F.lit("*"),
+    ]
+    since = F.element_at(F.array(*shapes), (request % 16 + 1).cast("int"))
     asked = corpus.table(spark, folder, "events").select(
         request.alias("request_id"), since.alias("since")
     )
@@ -175,7 +177,7 @@ def since_validation(spark, folder):
 @query(
     "event_counts",
     with_("people", "logs", "hosts")
-    + "SELECT p.name, e.event_type, CAST(sum(e.n) AS BIGINT) AS event_count, '이 집계는 열람 권한이 있는 호스트의 기록만 셉니다.' AS scope"
+    + f"SELECT p.name, e.event_type, CAST(sum(e.n) AS BIGINT) AS event_count, '{LOG_SCOPE_NOTICE}' AS scope"
     " FROM (SELECT host, event_type, count(*) AS n FROM logs GROUP BY ALL) e JOIN hosts h ON h.name = e.host"
     f" JOIN people p ON {vis('h', 'p')} GROUP BY ALL",
 )
@@ -303,13 +305,37 @@ def stream_log_load(spark, folder):
     for delivery in (1, 2):
         lines = readers.stream_syslog(spark, source + "/*")
         log_stream.load_logs(
-            lines, hosts, corpus.YEAR, out, f"{state}-{delivery}", first_batch=delivery * 1000
+            lines, hosts, corpus.YEAR, out, f"{state}-{delivery}"
         ).awaitTermination()
+    return _loaded(spark, out)
+
+
+def _loaded(spark, out):
     loaded = spark.read.schema(log_stream.EVENT_SCHEMA).parquet(f"{out}/events")
     day = F.regexp_extract("file", r"file=([^/]+)/", 1)
     return loaded.groupBy(day.alias("file"), "event_type").agg(F.count("*").alias("n"))
 
 
+@query(
+    "stream_restart",
+    with_("parsed", "refused")
+    + "SELECT file, event_type, count(*) AS n FROM parsed WHERE ts IS NOT NULL AND file NOT IN (SELECT file FROM refused)"
+    " GROUP BY ALL",
+)
+def stream_restart(spark, folder):
+    """Two halves of the days, each loaded by a stream with a checkpoint of its
+    own: what the first one stored is still there."""
+    source = _line_files(spark, folder)
+    out, state = scratch_path(spark, "events"), scratch_path(spark, "state")
+    hosts = corpus.hosts(spark, folder)
+    for half in ("[0-2][0-9]", "3[01]"):
+        lines = readers.stream_syslog(spark, f"{source}/file=*-{half}")
+        log_stream.load_logs(
+            lines, hosts, corpus.YEAR, out, f"{state}-{half[0]}"
+        ).awaitTermination()
+    return _loaded(spark, out)
+
+
 @query(
     "stream_deduplicated",
     with_("parsed")

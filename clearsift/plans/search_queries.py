@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from clearsift.functions.access import access_keys
-from clearsift.functions.scale import cut
+from clearsift.functions.scale import broadcast_if_small, cut
+from clearsift.functions.text import chunk_windows
 from clearsift.operators import audits, entitlements, fusion, keyword_search, retrieval
 from clearsift.operators.vector_search import naive_topk, vector_topk
 from clearsift.plans import corpus
@@ -127,7 +128,7 @@ def event_violations(spark, folder):
     hosts = corpus.hosts(spark, folder).select(
         F.col("name").alias("host"), "required_clearance", "allowed_departments"
     )
-    shown = corpus.log_events(spark, folder).join(F.broadcast(hosts), "host")
+    shown = corpus.log_events(spark, folder).join(broadcast_if_small(hosts), "host")
     asked = requests.select("request_id", "department", "clearance")
     rows = shown.withColumn("request_id", F.col("event_id")).join(asked, "request_id")
     return entitlements.violations(rows, "log_event", "event_id")
@@ -137,10 +138,12 @@ def event_violations(spark, folder):
 @query(
     "hydrate_hits",
     with_("vhits", "docs", "clauses", "chunks")
-    + "SELECT v.request_id, v.rank, v.chunk_id, d.title AS doc_title, c.code AS clause_code,"
+    + ", numbered AS (SELECT document_id, ordinal, text, count(*) OVER (PARTITION BY document_id) AS n FROM chunks)"
+    " SELECT v.request_id, v.rank, v.chunk_id, d.title AS doc_title, c.code AS clause_code,"
     " d.required_clearance, array_to_string(coalesce(d.allowed_departments, []), ',') AS departments,"
     " length(t.text) AS text_length, md5(t.text) AS text_md5 FROM vhits v JOIN docs d USING (document_id)"
-    " JOIN chunks t ON t.chunk_id = v.document_id * 1000 LEFT JOIN clauses c ON c.clause_id = v.clause_id",
+    " LEFT JOIN numbered t ON t.document_id = v.document_id AND t.ordinal = v.chunk_id % t.n"
+    " LEFT JOIN clauses c ON c.clause_id = v.clause_id",
 )
 def hydrate_hits(spark, folder):
     """Ids to hits with a second permission check, order kept."""
@@ -168,11 +171,19 @@ def hydrate_hits(spark, folder):
 
 
 def _vector_texts(spark, folder):
-    """Chunk table of the given embeddings: text is the document's first chunk."""
-    first = corpus.text_chunks(spark, folder).where(F.col("ordinal") == 0)
-    return corpus.vector_chunks(spark, folder).select(
-        "chunk_id", "document_id", "clause_id"
-    ).join(first.select("document_id", "text"), "document_id")
+    """Chunk table of the given embeddings: each has one of its document's
+    windows, dealt by number; a document without text has none."""
+    windows = corpus.raw_documents(spark, folder).select(
+        "document_id", chunk_windows("text").alias("windows")
+    )
+    many = F.size("windows")
+    text = F.when(many > 0, F.get("windows", (F.col("chunk_id") % many).cast("int")))
+    return (
+        corpus.vector_chunks(spark, folder)
+        .select("chunk_id", "document_id", "clause_id")
+        .join(windows, "document_id")
+        .select("chunk_id", "document_id", "clause_id", text.alias("text"))
+    )
 
 
 @ints("rank")
@@ -668,8 +679,8 @@ def rule_agreements(spark, folder):
 def out_of_scope_hits(spark, folder):
     """Hits of the entitled search that its own principal may not see."""
     requests, hits = _vector_hits(spark, folder)
-    permissions = corpus.documents(spark, folder).select(
-        F.col("document_id").alias("chunk_id"), "required_clearance", "allowed_departments"
+    permissions = corpus.vector_chunks(spark, folder).select(
+        "chunk_id", "required_clearance", "allowed_departments"
     )
     shown = _scoped(hits, requests).join(permissions, "chunk_id")
     leaked = audits.out_of_scope(shown).select("request_id", "chunk_id", F.lit(1).alias("leak"))

@@ -1,6 +1,6 @@
 """Common table expressions for the SQL checks (DuckDB over the same tables)."""
 
-from clearsift.plans.corpus import DEPARTMENTS, TOPICS, USERS
+from clearsift.plans.corpus import DEPARTMENTS, PARTS, TOPICS
 
 _DEPT = "[" + ", ".join(f"'{d}'" for d in DEPARTMENTS) + "]"
 
@@ -30,6 +30,8 @@ def customer(key: str) -> str:
     return f"('Customer#' || lpad(CAST({key} AS VARCHAR), 9, '0'))"
 
 
+MANY = "(SELECT count(*) FROM customer)"
+ASKER = f"(user_id + event_id * 151) % {MANY}"
 CODE_OF_DOC = "'1.' || (src + 1) || '.' || (document_id % 40)"
 
 CTES = {
@@ -56,7 +58,7 @@ CTES = {
     ),
     "chunks": (
         ["docs"],
-        "SELECT document_id * 1000 + o AS chunk_id, document_id, o AS ordinal, title AS doc_title,"
+        f"SELECT document_id * {PARTS} + o AS chunk_id, document_id, o AS ordinal, title AS doc_title,"
         f" CASE WHEN document_id % 5 <> 0 THEN {CODE_OF_DOC} END AS clause_code,"
         " CASE WHEN document_id % 5 <> 0 THEN document_id END AS clause_id,"
         " required_clearance, allowed_departments, substring(text, 1 + o * 750, 900) AS text"
@@ -66,10 +68,10 @@ CTES = {
     ),
     "vchunks": (
         ["docs"],
-        "SELECT d.document_id AS chunk_id, d.document_id,"
+        "SELECT e.vec_id AS chunk_id, d.document_id,"
         " CASE WHEN d.document_id % 5 <> 0 THEN d.document_id END AS clause_id, label,"
         " CAST(embedding AS DOUBLE[]) AS embedding, required_clearance, allowed_departments"
-        " FROM embeddings e JOIN docs d ON d.document_id = e.vec_id",
+        " FROM embeddings e JOIN docs d ON d.document_id = e.vec_id % (SELECT count(*) FROM documents)",
     ),
     "topics": (
         [],
@@ -96,10 +98,10 @@ CTES = {
     ),
     "reqs": (
         ["people"],
-        f"SELECT event_id AS request_id, {customer(f'user_id % {USERS}')} AS persona,"
+        f"SELECT event_id AS request_id, {customer(ASKER)} AS persona,"
         f" event_id % {TOPICS} AS query_id, ts, 'topic ' || (event_id % {TOPICS}) AS query,"
         " CASE WHEN user_id % 7 <> 0 THEN 's' || (user_id % 7) END AS session_id, p.department, p.clearance"
-        f" FROM events JOIN people p ON p.name = {customer(f'user_id % {USERS}')}",
+        f" FROM events JOIN people p ON p.name = {customer(ASKER)}",
     ),
     "vhits": (
         ["reqs", "vranked"],
@@ -114,9 +116,9 @@ CTES = {
     ),
     "sreqs": (
         ["people"],
-        "SELECT conv_id * 1000 + turn AS request_id, conv_id AS session_id, turn AS call_no,"
+        f"SELECT conv_id * {PARTS} + turn AS request_id, conv_id AS session_id, turn AS call_no,"
         f" (conv_id + turn) % {TOPICS} AS query_id, p.department, p.clearance FROM conversations"
-        f" JOIN people p ON p.name = {customer(f'conv_id % {USERS}')} WHERE conversations.role = 'user'",
+        f" JOIN people p ON p.name = {customer(f'conv_id % {MANY}')} WHERE conversations.role = 'user'",
     ),
     "words": (
         ["chunks"],
@@ -151,7 +153,7 @@ CTES = {
         ["people"],
         "SELECT item_id * 10 + j AS request_id, item_id AS query_id, j AS persona_no, text AS query,"
         " p.name AS persona, p.department, p.clearance FROM benchmark, unnest(range(3)) AS t(j)"
-        f" JOIN people p ON p.name = {customer(f'(item_id * 7 + j * 11) % {USERS}')}",
+        f" JOIN people p ON p.name = {customer(f'(item_id * 7 + j * 11) % {MANY}')}",
     ),
     "tclasses": (["treqs"], "SELECT DISTINCT query_id, department, clearance FROM treqs"),
     "kranked": (
@@ -230,23 +232,23 @@ CTES = {
     ),
     "lreqs": (
         ["people"],
-        f"SELECT event_id AS request_id, {customer(f'user_id % {USERS}')} AS persona, p.department, p.clearance,"
-        " CASE WHEN event_id % 6 <> 5 THEN ['signup','error','click','view','purchase'][event_id % 6 + 1] END AS event_type,"
+        f"SELECT event_id AS request_id, {customer(ASKER)} AS persona, p.department, p.clearance,"
+        " CASE WHEN event_id % 101 = 0 THEN '*' WHEN event_id % 6 <> 5 THEN ['signup','error','click','view','purchase'][event_id % 6 + 1] END AS event_type,"
         " CASE WHEN event_id % 4 <> 3 THEN date_trunc('second', ts) END AS since,"
         " greatest(1, least(event_id % 60, 50)) AS lim"
-        f" FROM events JOIN people p ON p.name = {customer(f'user_id % {USERS}')}",
+        f" FROM events JOIN people p ON p.name = {customer(ASKER)}",
     ),
     "lranked": (
         ["logs", "hosts", "classes"],
         "SELECT k.department, k.clearance, kind, e.*, row_number() OVER (PARTITION BY k.department, k.clearance, kind"
-        " ORDER BY ts DESC NULLS LAST, event_id DESC) AS rank FROM (SELECT *, unnest([event_type, '*']) AS kind FROM logs) e"
+        " ORDER BY ts DESC NULLS LAST, event_id DESC) AS rank FROM (SELECT *, unnest([{'any': false, 'type': event_type}, {'any': true, 'type': ''}]) AS kind FROM logs) e"
         f" JOIN hosts h ON h.name = e.host JOIN classes k ON {vis('h', 'k')} QUALIFY rank <= 50",
     ),
     "lhits": (
         ["lreqs", "lranked"],
         "SELECT r.request_id, r.department, r.clearance, e.rank, e.event_id, e.ts, e.host, e.event_type, e.raw"
         " FROM lreqs r JOIN lranked e ON e.department = r.department AND e.clearance = r.clearance"
-        " AND e.kind = coalesce(r.event_type, '*') AND e.rank <= r.lim AND (r.since IS NULL OR e.ts >= r.since)",
+        " AND e.kind = {'any': r.event_type IS NULL, 'type': coalesce(r.event_type, '')} AND e.rank <= r.lim AND (r.since IS NULL OR e.ts >= r.since)",
     ),
     "lines": (
         [],
@@ -281,17 +283,17 @@ CTES = {
     ),
     "access": (
         ["people"],
-        f"SELECT event_id AS record_id, ts, {customer(f'user_id % {USERS}')} AS persona, p.department, p.clearance,"
+        f"SELECT event_id AS record_id, ts, {customer(ASKER)} AS persona, p.department, p.clearance,"
         f" 'topic ' || (event_id % {TOPICS}) AS query, CASE WHEN event_id % 3 <> 0 THEN"
         " '1.' || (user_id % 20 + 1) || '.' || (event_id % 40) END AS clause_code,"
         " CASE WHEN event_id % 2 = 0 THEN 'chunk' ELSE 'log_event' END AS resource_kind,"
         " event_id % 700 AS resource_id, event_type <> 'error' AS allowed,"
         " CASE WHEN user_id % 7 <> 0 THEN 's' || (user_id % 7) END AS session_id"
-        f" FROM events JOIN people p ON p.name = {customer(f'user_id % {USERS}')}",
+        f" FROM events JOIN people p ON p.name = {customer(ASKER)}",
     ),
     "answers": (
         [],
-        "SELECT conv_id * 1000 + turn AS answer_id, text || ' See 1.' || (conv_id % 20 + 1) || '.' ||"
+        f"SELECT conv_id * {PARTS} + turn AS answer_id, text || ' See 1.' || (conv_id % 20 + 1) || '.' ||"
         " ((conv_id * 3 + turn) % 40) || ' and [1.' || ((conv_id * 3 + 1) % 20 + 1) || '.' || ((conv_id * 3 + 1) % 40)"
         " || '], [1.' || (turn % 20 + 1) || '.' || (conv_id % 40) || '] of 2026.09.04.' AS answer"
         " FROM conversations WHERE role = 'assistant'",
@@ -299,7 +301,7 @@ CTES = {
     "ahits": (
         ["docs"],
         "SELECT answer_id, document_id AS chunk_id, CASE WHEN document_id % 5 <> 0 THEN"
-        f" {CODE_OF_DOC} END AS clause_code FROM (SELECT conv_id * 1000 + turn AS answer_id,"
+        f" {CODE_OF_DOC} END AS clause_code FROM (SELECT conv_id * {PARTS} + turn AS answer_id,"
         " unnest(range(conv_id * 3, conv_id * 3 + 5)) AS document_id FROM conversations WHERE role = 'assistant')"
         " JOIN docs USING (document_id)",
     ),

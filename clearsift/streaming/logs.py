@@ -1,5 +1,7 @@
 """System logs arriving as files, loaded continuously."""
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -30,49 +32,50 @@ def load_logs(
     year: int,
     out: str,
     checkpoint: str,
-    first_batch: int = 0,
 ) -> StreamingQuery:
     """Load every file that has arrived under ``(file, value)`` lines.
 
     Whole files are refused when they name an unregistered host; their lines go
     to ``<out>/refused``.  Repeats are dropped inside the batch and against what
     ``<out>/events`` already holds for the same days, so a file delivered again
-    adds nothing however late it comes.  Each batch writes its own folder and
-    overwrites it when run again, which makes a retry harmless.  A query started
-    with a new ``checkpoint`` over an existing ``out`` needs a ``first_batch``
-    above the batches already there.
+    adds nothing however late it comes.  Each batch of each checkpoint writes a
+    folder of its own, and only that is written again by a retry: a query
+    started with a new ``checkpoint`` over an existing ``out`` adds to what is
+    there.  Two queries must not run over one ``out`` at the same time.
     """
     spark = lines.sparkSession
     nothing = spark.createDataFrame([], EVENT_SCHEMA)
-    nothing.write.mode("overwrite").partitionBy("dt").parquet(f"{out}/events/batch=-1")
+    nothing.write.mode("overwrite").partitionBy("dt").parquet(f"{out}/events/run=none/batch=-1")
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:32]
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        batch_id += first_batch
+        own = f"run={run}/batch={batch_id}"
         parsed = cut(parse_syslog(batch, year))
         days = parsed.agg(
             F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")
         ).first()
         held = (
-            batch.sparkSession.read.schema(EVENT_SCHEMA + ", batch long")
+            batch.sparkSession.read.schema(EVENT_SCHEMA + ", run string, batch long")
             .parquet(f"{out}/events")
-            .where((F.col("batch") < batch_id) & F.col("dt").between(days.low, days.high))
+            .where((F.col("run") != run) | (F.col("batch") < batch_id))
+            .where(F.col("dt").between(days.low, days.high))
         )
         accepted = accepted_events(parsed, hosts, held).select(
             *EVENT_COLUMNS, F.to_date("ts").alias("dt")
         )
         accepted.write.mode("overwrite").partitionBy("dt").parquet(
-            f"{out}/events/batch={batch_id}"
+            f"{out}/events/{own}"
         )
         stored = batch.sparkSession.read.schema(EVENT_SCHEMA).parquet(
-            f"{out}/events/batch={batch_id}"
+            f"{out}/events/{own}"
         )
         load_report(parsed, stored, hosts).write.mode("overwrite").parquet(
-            f"{out}/report/batch={batch_id}"
+            f"{out}/report/{own}"
         )
         bad = unregistered_hosts(parsed.where(F.col("ts").isNotNull()), hosts, "file")
         parsed.join(bad.select("file").distinct(), "file", "left_semi").select(
             "file", "value"
-        ).write.mode("overwrite").parquet(f"{out}/refused/batch={batch_id}")
+        ).write.mode("overwrite").parquet(f"{out}/refused/{own}")
 
     return (
         lines.writeStream.foreachBatch(load)

@@ -81,7 +81,8 @@ def hits(spark, clearance):
 def test_enforce_raises_with_ids_only(spark, clearance, ids):
     with pytest.raises(E.AccessViolation) as failure:
         E.enforce(hits(spark, clearance))
-    assert failure.value.kind == "chunk" and set(failure.value.ids) == ids
+    named = {r.resource_id for r in failure.value.rows.collect()}
+    assert failure.value.kind == "chunk" and named == ids == set(named) and failure.value.count
     assert "secret" not in str(failure.value)
 
 

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from clearsift import constants as C
+from clearsift.functions.text import strip
 from clearsift.operators import parsing as P
 
 
@@ -91,3 +93,15 @@ def test_chunks_stay_inside_clauses(spark):
     rows = spark.createDataFrame([("1.1.1", "x" * 1000), ("1.1.2", " "), ("1.1.3", "y")], "code string, text string")
     got = [(r.code, r.ordinal, len(r.text)) for r in P.chunk_rows(rows).orderBy("code", "ordinal").collect()]
     assert got == [("1.1.1", 0, 900), ("1.1.1", 1, 250), ("1.1.3", 0, 1)]
+
+
+def test_blank_lines_take_linear_time(spark):
+    """200,000 blank lines once took minutes."""
+    import time
+
+    text = "1.1.1 First\nbody" + "\n" * 200_000 + "1.1.2 Second\n" + " " * 100_000 + "end" + "\n \n" * 50_000
+    docs = spark.createDataFrame([(1, text)], "document_id long, text string")
+    started = time.perf_counter()
+    assert docs.select(F.length(strip("text"))).first()[0] < len(text)
+    found = docs.select(F.size(F.regexp_extract_all("text", F.lit(C.PAGED_CLAUSE), F.lit(0)))).first()[0]
+    assert found == 2 and time.perf_counter() - started < 5
