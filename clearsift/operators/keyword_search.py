@@ -39,24 +39,42 @@ def request_terms(queries: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
     )
 
 
-def keyword_scores(posting: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) for every chunk with a word some term begins.
+def vocabulary(posting: DataFrame) -> DataFrame:
+    """The distinct lexemes of an inverted table; store it beside the table."""
+    return posting.select("lexeme").distinct()
+
+
+def matched_lexemes(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(lexeme, term) for every lexeme that some asked term begins.
 
-    Words are expanded to their prefixes, which turns the prefix test into an
-    equi-join on terms.  Weights are added per (chunk, term) before queries come
-    in, so a term many queries share is matched once.  Only matched words are
-    shuffled, by chunk, and both sums then stay where they are.
+    Both have two characters at least, so their first two are the join key and
+    the rest of the test a filter.
     """
-    longest = terms.agg(F.max(F.length("term"))).first()[0] or 0
-    ends = F.sequence(F.lit(2), F.least(F.length("lexeme"), F.lit(max(2, longest))))
-    prefixes = (
-        posting.where(F.length("lexeme") >= 2)
-        .select("chunk_id", "weight", "lexeme", F.explode(ends).alias("end"))
-        .select("chunk_id", "weight", F.expr("substring(lexeme, 1, end)").alias("term"))
+    head = lambda c: F.substring(c, 1, 2).alias("head")
+    asked = terms.select("term").distinct().select("term", head("term"))
+    return (
+        words.where(F.length("lexeme") >= 2)
+        .select("lexeme", head("lexeme"))
+        .join(asked, "head")
+        .where(F.startswith("lexeme", "term"))
+        .select("lexeme", "term")
     )
-    asked = broadcast_if_small(terms.select("term").distinct())
+
+
+def keyword_scores(
+    posting: DataFrame, terms: DataFrame, words: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, chunk_id, score) for every chunk with a word some term begins.
+
+    Terms are matched to the vocabulary, and the inverted table is read by the
+    matched lexemes only.  Weights are added per (chunk, term) before queries
+    come in, so a term many queries share is matched once.  Only matched words
+    are shuffled, by chunk, and both sums then stay where they are.
+    """
+    pairs = settle(matched_lexemes(vocabulary(posting) if words is None else words, terms))
     held = (
-        prefixes.join(asked, "term", "left_semi")
+        posting.join(pairs, "lexeme")
+        .select("chunk_id", "term", "weight")
         .repartition("chunk_id")
         .groupBy("chunk_id", "term")
         .agg(F.sum("weight").alias("weight"))
@@ -76,6 +94,7 @@ def search_keyword(
     k: int,
     permissions: DataFrame | None = None,
     pattern: str = C.LEXEME,
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """Best ``k`` visible chunks per distinct (query, class) by term score.
 
@@ -83,17 +102,18 @@ def search_keyword(
     query_id and text.  Queries without a
     term of two characters match nothing.
     """
-    scores = keyword_scores(posting, cut(request_terms(queries, pattern)))
+    scores = keyword_scores(posting, cut(request_terms(queries, pattern)), words)
     sets = class_sets(chunks if permissions is None else permissions, principal_classes(requests))
     keyed = chunks.select(
         "chunk_id", "required_clearance", access_keys("allowed_departments").alias("access_keys")
     ).join(settle(sets), ["required_clearance", "access_keys"])
-    searches = requests.groupBy("query_id").agg(
-        F.collect_set("class_key").alias("asking_classes")
+    searches = settle(
+        requests.groupBy("query_id").agg(F.collect_set("class_key").alias("asking_classes"))
     )
+    # Scores already lie by chunk, so only the narrow permissions are shuffled.
     visible_scores = (
-        scores.join(broadcast_if_small(keyed.select("chunk_id", "class_keys")), "chunk_id")
-        .join(broadcast_if_small(searches), "query_id")
+        scores.join(keyed.select("chunk_id", "class_keys"), "chunk_id")
+        .join(searches, "query_id")
         .select(
             "query_id",
             "chunk_id",

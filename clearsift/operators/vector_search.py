@@ -159,10 +159,11 @@ class _Nearest:
         self.query_ids = searches.column("query_id").to_pylist()
         self.matrix = _matrix(searches.column("vector").combine_chunks(), len(self.query_ids))
         self.norms = np.linalg.norm(self.matrix, axis=1)
-        self.queries_of = {}
+        asked = {}
         for number, classes in enumerate(searches.column("class_keys").to_pylist()):
             for key in classes:
-                self.queries_of.setdefault(key, []).append(number)
+                asked.setdefault(key, []).append(number)
+        self.queries_of = {key: np.array(numbers) for key, numbers in asked.items()}
         self.best = {}
 
     def add(self, ids, embeddings, class_keys):
@@ -176,7 +177,7 @@ class _Nearest:
 
     def _score(self, ids, embeddings, class_keys):
         ids = np.asarray(ids.to_pylist())
-        vectors = _matrix(embeddings, len(ids))
+        vectors = _matrix(embeddings, len(ids), self.matrix.shape[1])
         scale = np.linalg.norm(vectors, axis=1)[:, None] * self.norms[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             distances = np.round(1.0 - (vectors @ self.matrix.T) / scale, DISTANCE_DECIMALS)
@@ -186,30 +187,46 @@ class _Nearest:
         rows = np.repeat(np.arange(len(ids)), _lengths(class_keys))
         for code, key in enumerate(members.dictionary.to_pylist()):
             queries = self.queries_of.get(key)
-            if queries:
+            if queries is not None:
                 mine = rows[codes == code]
-                self._merge(key, queries, ids[mine], distances[mine])
+                whole = len(queries) == len(self.query_ids)
+                found = distances[mine] if whole else distances[np.ix_(mine, queries)]
+                self._merge(key, queries, ids[mine], found)
 
     def _merge(self, key, queries, ids, distances):
-        for query in queries:
-            found = distances[:, query]
-            held = self.best.get((query, key))
-            taken = ids
-            if held is not None:
-                found = np.concatenate([held[0], found])
-                taken = np.concatenate([held[1], ids])
-            if len(found) > self.k:
-                bound = np.partition(found, self.k - 1)[self.k - 1]
-                near = found <= bound
-                found, taken = found[near], taken[near]
-            order = np.lexsort((taken, found))[: self.k]
-            self.best[(query, key)] = (found[order], taken[order])
+        """Take the rows of a block into one class's nearest, for all its
+        queries at once.  ``best`` holds flat rows in order of query, distance
+        and id, at most ``k`` for each query."""
+        many = len(queries)
+        held = self.best.get(key)
+        bound = np.full(many, np.inf)
+        if len(ids) > self.k:
+            bound = np.partition(distances, self.k - 1, axis=0)[self.k - 1]
+        if held is not None:
+            numbers, far = held[0], held[1]
+            last = np.flatnonzero(np.diff(numbers, append=many))
+            full = np.bincount(numbers, minlength=many)[numbers[last]] == self.k
+            at = numbers[last][full]
+            bound[at] = np.minimum(bound[at], far[last][full])
+        column, row = np.nonzero((distances <= bound).T)
+        taken, found = ids[row], distances[row, column]
+        if held is not None:
+            column = np.concatenate([held[0], column])
+            found = np.concatenate([held[1], found])
+            taken = np.concatenate([held[2], taken])
+        order = np.lexsort((taken, found, column))
+        column = column[order]
+        starts = np.searchsorted(column, np.arange(many))
+        near = np.arange(len(column)) - starts[column] < self.k
+        order = order[near]
+        self.best[key] = (column[near], found[order], taken[order])
 
     def table(self, schema: T.StructType) -> pa.Table:
         query_ids, keys, ids, distances = [], [], [], []
-        for (query, key), (found, taken) in self.best.items():
-            query_ids += [self.query_ids[query]] * len(found)
-            keys += [key] * len(found)
+        for key, (column, found, taken) in self.best.items():
+            queries = self.queries_of[key]
+            query_ids += [self.query_ids[n] for n in queries[column]]
+            keys += [key] * len(column)
             ids += taken.tolist()
             distances += [None if np.isinf(d) else float(d) for d in found]
         columns = [query_ids, keys, ids, distances]
@@ -227,6 +244,13 @@ def _lengths(lists) -> np.ndarray:
     return np.diff(lists.offsets.to_numpy())
 
 
-def _matrix(lists, rows: int) -> np.ndarray:
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 1)
+def _matrix(lists, rows: int, width: int | None = None) -> np.ndarray:
+    """Vectors as rows of a matrix.  A missing, null-holding or ragged one is an
+    error: flattened it would shift all others."""
+    lengths = _lengths(lists)
+    width = int(lengths[0]) if width is None and rows else width
+    flat = lists.flatten()
+    if lists.null_count or flat.null_count or (lengths != width).any():
+        raise ValueError("vectors must be complete and of one length; see embedding.wrong_dimension")
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(rows, width) if rows else values.reshape(0, 1)

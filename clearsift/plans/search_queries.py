@@ -9,7 +9,7 @@ from clearsift.operators import audits, entitlements, fusion, keyword_search, re
 from clearsift.operators.vector_search import naive_topk, vector_topk
 from clearsift.plans import corpus
 from clearsift.plans.registry import ints, query
-from clearsift.plans.sql import customer, vis, with_
+from clearsift.plans.sql import MANY, customer, vis, with_
 
 K = 10
 
@@ -239,6 +239,43 @@ def vector_topk_query(spark, folder):
     return hits.select("request_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+@ints("rank")
+@query(
+    "vector_topk_many",
+    with_("people", "vchunks")
+    + ", asked AS (SELECT vec_id * 10 + j AS request_id, vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS vector,"
+    " p.department, p.clearance FROM embeddings, unnest(range(3)) AS t(j) JOIN people p"
+    f" ON p.name = {customer(f'(vec_id * 7 + j * 11) % {MANY}')}),"
+    " found AS (SELECT a.query_id, a.department, a.clearance, c.chunk_id, round(1 - list_dot_product(c.embedding, a.vector)"
+    " / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(a.vector, a.vector))), 12) AS distance"
+    " FROM (SELECT DISTINCT query_id, vector, department, clearance FROM asked) a"
+    f" JOIN vchunks c ON {vis('c', 'a')}"
+    " QUALIFY row_number() OVER (PARTITION BY a.query_id, a.department, a.clearance ORDER BY distance, chunk_id) <= 10)"
+    " SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY distance, chunk_id) AS rank, chunk_id"
+    " FROM asked JOIN found USING (query_id, department, clearance)",
+)
+def vector_topk_many(spark, folder):
+    """Every embedding as a question of three personas: as many distinct
+    vectors as there are chunks."""
+    many = corpus.users(spark, folder)
+    vec = F.col("vec_id")
+    names = [corpus.customer_name((vec * 7 + j * 11) % many) for j in range(corpus.SEVERAL)]
+    vectors = corpus.table(spark, folder, "embeddings")
+    asked = vectors.select(vec.alias("query_id"), F.posexplode(F.array(*names))).select(
+        (F.col("query_id") * 10 + F.col("pos")).alias("request_id"),
+        "query_id",
+        F.col("col").alias("persona"),
+    )
+    requests = corpus.with_classes(asked, corpus.principals(spark, folder))
+    queries = vectors.select(
+        vec.alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    hits = vector_topk(
+        corpus.vector_chunks(spark, folder), requests, queries, K, corpus.documents(spark, folder)
+    )
+    return hits.select("request_id", "rank", "chunk_id")
+
+
 @ints("naive_rank")
 @query(
     "naive_topk",
@@ -394,7 +431,7 @@ def rrf_order(spark, folder):
 def _hybrid(spark, folder, requests=None):
     requests = corpus.text_requests(spark, folder) if requests is None else requests
     return requests, retrieval.hybrid_search(
-        corpus.encoded_chunks(spark, folder),
+        corpus.stored_chunks(spark, folder),
         corpus.stored_postings(spark, folder),
         requests,
         corpus.encoded_queries(spark, folder),

@@ -15,6 +15,8 @@ import __spark_entry__ as entry
 FOLDER = os.environ.get("CLEARSIFT_DATA", "/root/testdata/sf0.001")
 SPREAD = [
     "vector_topk",
+    "vector_topk_many",
+    "stream_restart",
     "hybrid_search",
     "compare_paths",
     "session_evidence",
