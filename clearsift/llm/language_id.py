@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 PROFILE = 300
-ORDERS = (1, 2, 3)
-FLUSH_GRAMS = 200_000
+FLUSH_WORDS = 200_000
 _LETTERS = "[^\\W\\d_]+"
 
 
@@ -23,17 +22,25 @@ def _words(text: str) -> str:
 
 
 def _grams(marked: str):
-    """Distinct n-grams of a marked text as packed code points, with counts.
-    N-grams do not reach over words; a lone mark is none."""
+    """All n-grams of a marked text as packed code points, and the number of
+    the word each stands in.  N-grams do not reach over words; a lone mark is
+    none."""
     codes = np.frombuffer(marked.encode("utf-32-le"), dtype="<u4").astype(np.int64)
     mark = codes == 95
-    parts = [codes[~mark]]
-    if 2 in ORDERS:
-        two = (codes[:-1] << 21) | codes[1:]
-        parts.append(two)
+    word = np.cumsum(mark) - 1
+    inner = ~mark[1:-1]
+    two = (codes[:-1] << 21) | codes[1:]
     three = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
-    parts.append(three[~mark[1:-1]])
-    return np.unique(np.concatenate(parts), return_counts=True)
+    keys = np.concatenate((codes[~mark], two, three[inner]))
+    return keys, np.concatenate((word[~mark], word[:-1], word[:-2][inner]))
+
+
+def _weighted(words: Counter):
+    """Distinct n-grams of counted words and their counts."""
+    keys, word = _grams("_" + "_".join(words) + "_")
+    times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.bincount(place, weights=times[word]).astype(np.int64)
 
 
 def _ranked(keys, counts, size: int):
@@ -56,27 +63,21 @@ def profiles(
     """
 
     def count(frames):
-        held, texts = {}, {}
+        held = {}
 
         def out():
-            for lang, words in texts.items():
-                total = held.setdefault(lang, Counter())
-                for word, n in words.items():
-                    keys, times = _grams(f"_{word}_")
-                    for k, t in zip(keys.tolist(), times.tolist()):
-                        total[k] += n * t
-            texts.clear()
-            for lang, total in held.items():
-                yield pd.DataFrame(
-                    {"lang": lang, "gram": list(total), "n": list(total.values())}
-                )
+            for lang, words in held.items():
+                if words:
+                    keys, times = _weighted(words)
+                    yield pd.DataFrame({"lang": lang, "gram": keys, "n": times})
             held.clear()
 
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"]):
-                texts.setdefault(lang, Counter()).update(_words(text).split("_"))
-                texts[lang].pop("", None)
-                if sum(map(len, texts.values())) > FLUSH_GRAMS:
+                words = held.setdefault(lang, Counter())
+                words.update(_words(text).split("_"))
+                words.pop("", None)
+                if sum(map(len, held.values())) > FLUSH_WORDS:
                     yield from out()
         yield from out()
 
@@ -118,7 +119,7 @@ def predict(text: str | None, tables, size: int = PROFILE) -> tuple[str, float]:
     marked = _words(text) if text else "__"
     if len(marked.strip("_")) == 0 or not tables:
         return "und", 0.0
-    ranked = _ranked(*_grams(marked), size)
+    ranked = _ranked(*np.unique(_grams(marked)[0], return_counts=True), size)
     distances = [(out_of_place(ranked, k, r, size), lang) for lang, k, r in tables]
     distance, lang = min(distances)
     return lang, 1.0 - distance / (size * len(ranked))
