@@ -1,5 +1,7 @@
 """Access records and quotas over arriving requests."""
 
+import datetime as dt
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,71 +28,76 @@ def append_records(records: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def daily_quota(
-    requests: DataFrame, exempt: DataFrame, limit: int = DAILY_QUOTA, delay: str = "1 day"
+    requests: DataFrame, exempt: DataFrame, limit: int = DAILY_QUOTA, days: int = 2
 ) -> DataFrame:
-    """Quota verdicts over a stream of (request_id, user, ts).
+    """Quota verdicts over a stream of (request_id, user, ts): one for every
+    request, however late it comes.
 
-    The state per user and UTC day is one counter, dropped once the watermark
-    has passed the day.  Requests of one trigger are served in time order; only
-    the candidates for the remaining places are held in memory.
+    Exempt users branch off before any state.  The state of another user is a
+    counter for each of the newest ``days`` UTC days it has asked on; a request
+    for an older day is refused, as its count is gone.  Requests of one trigger
+    are served in time order; only the candidates for the remaining places of
+    those days are held in memory.
     """
-    free = exempt.select("user", F.lit(True).alias("exempt"))
-    dated = (
-        requests.withWatermark("ts", delay)
-        .join(free, "user", "left")
-        .select(
-            "request_id",
-            "user",
-            "ts",
-            F.to_date("ts").alias("day"),
-            F.coalesce("exempt", F.lit(False)).alias("exempt"),
-        )
+    free = exempt.select("user").distinct()
+    dated = requests.select("request_id", "user", "ts", F.to_date("ts").alias("day"))
+    unlimited = dated.join(free, "user").select(
+        "request_id",
+        "user",
+        "day",
+        F.lit(True).alias("allowed"),
+        F.lit(None).cast("int").alias("remaining"),
     )
 
     def serve(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        user, day = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        first = None
+        held = json.loads(state.get[0]) if state.exists else {}
+        used = {dt.date.fromisoformat(day): n for day, n in held.items()}
+        first = {}
 
         def verdicts(rows, allowed, remaining):
             return pd.DataFrame(
                 {
                     "request_id": rows["request_id"],
-                    "user": user,
-                    "day": day,
+                    "user": key[0],
+                    "day": rows["day"],
                     "allowed": allowed,
                     "remaining": pd.array(remaining, dtype="Int32"),
                 }
             )
 
         for frame in frames:
-            unlimited = frame[frame["exempt"]]
-            if len(unlimited):
-                yield verdicts(unlimited, True, [None] * len(unlimited))
-            limited = frame[~frame["exempt"]]
-            pool = limited if first is None else pd.concat([first, limited])
-            pool = pool.sort_values(["ts", "request_id"], kind="stable")
-            places = max(0, limit - used)
-            first, rest = pool.iloc[:places], pool.iloc[places:]
-            if len(rest):
-                yield verdicts(rest, False, [0] * len(rest))
-        if first is not None and len(first):
-            left = [limit - used - n - 1 for n in range(len(first))]
-            used += len(first)
-            yield verdicts(first, True, left)
-        state.update((used,))
-        end_of_day = int((pd.Timestamp(day, tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(end_of_day, state.getCurrentWatermarkMs() + 1))
+            for day, rows in frame.groupby("day", dropna=False):
+                counted = not pd.isna(day) and (
+                    len(used) < days or day in used or day > min(used)
+                )
+                places = max(0, limit - used.get(day, 0)) if counted else 0
+                pool = pd.concat([first[day], rows]) if day in first else rows
+                pool = pool.sort_values(["ts", "request_id"], kind="stable")
+                if counted:
+                    first[day] = pool.iloc[:places]
+                if len(pool) > places:
+                    rest = pool.iloc[places:]
+                    yield verdicts(rest, False, [0] * len(rest))
+        for day in sorted(first):
+            rows = first[day]
+            before = used.get(day, 0)
+            used[day] = before + len(rows)
+            if len(rows):
+                yield verdicts(rows, True, [limit - before - n - 1 for n in range(len(rows))])
+        newest = sorted(used)[-days:]
+        state.update((json.dumps({day.isoformat(): used[day] for day in newest}),))
 
-    return dated.groupBy("user", "day").applyInPandasWithState(
-        serve,
-        outputStructType=QUOTA_SCHEMA,
-        stateStructType="used int",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    limited = (
+        dated.join(free, "user", "left_anti")
+        .groupBy("user")
+        .applyInPandasWithState(
+            serve,
+            outputStructType=QUOTA_SCHEMA,
+            stateStructType="used string",
+            outputMode="append",
+            timeoutConf=GroupStateTimeout.NoTimeout,
+        )
     )
+    return limited.union(unlimited.select("request_id", "user", "day", "allowed", "remaining"))

@@ -157,3 +157,22 @@ def test_quota_batch_and_stream(spark, tmp_path):
         )
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r.request_id: (r.allowed, r.remaining) for r in got} == expected
+
+
+def test_late_requests_are_answered(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    arrivals = [[(1, "u", BASE), (2, "u", BASE + day)], [(3, "u", BASE + 2 * day)], [(4, "u", BASE), (5, "u", BASE + day), (6, "u", None)]]
+    source = str(tmp_path / "in")
+    for rows in arrivals:
+        part = spark.createDataFrame(rows, "request_id long, user string, ts timestamp")
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        (
+            access_stream.daily_quota(stream, spark.createDataFrame([], "user string"), 2)
+            .writeStream.option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(availableNow=True)
+            .start(str(tmp_path / "out"), format="parquet")
+            .awaitTermination()
+        )
+    got = {r.request_id: (r.allowed, r.remaining) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (False, 0), 5: (True, 0), 6: (False, 0)}
