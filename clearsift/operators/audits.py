@@ -9,8 +9,6 @@ from clearsift.functions.access import access_keys, class_key, visible
 from clearsift.functions.scale import broadcast_if_small
 from clearsift.operators.entitlements import class_sets, principal_classes
 
-CLASS_BLOCK = 500
-
 
 def result_counts(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits per request, zero included."""
@@ -94,36 +92,36 @@ def allowed_counts(permissions: DataFrame, classes: DataFrame) -> DataFrame:
 def predicate_pairs(signatures: DataFrame, classes: DataFrame) -> DataFrame:
     """(signature, class that may see it) by evaluating the predicate itself.
 
-    Classes enter as literals, a bounded block at a time.
+    A class meets the signatures of each clearance up to its own; the predicate
+    then decides on whole rows, so no department key of the join form is used.
     """
-    rows = classes.select("department", "clearance").distinct().collect()
-    pairs = None
-    for at in range(0, max(1, len(rows)), CLASS_BLOCK):
-        block = rows[at : at + CLASS_BLOCK]
-        literal = F.array(
-            *[
-                F.struct(
-                    F.lit(r.department).alias("department"), F.lit(r.clearance).alias("clearance")
-                )
-                for r in block
-            ]
-        )
-        part = (
-            signatures.withColumn("c", F.explode(literal))
-            .where(
-                visible(
-                    "required_clearance", "allowed_departments", "c.clearance", "c.department"
-                )
-            )
-            .withColumn("class_key", class_key("c.department", "c.clearance"))
-            .drop("c")
+    levels = signatures.select(F.col("required_clearance").alias("level")).distinct()
+    lowest = levels.agg(F.min("level")).first()[0]
+    if lowest is None:  # without a clearance no row is visible
+        lowest = 0
+    who = (
+        classes.select(F.struct("department", "clearance").alias("c"))
+        .distinct()
+        .where(F.col("c.clearance") >= lowest)
+        .select("c", F.explode(F.sequence(F.lit(lowest), "c.clearance")).alias("level"))
+    )
+    return (
+        signatures.join(who, F.col("required_clearance") == F.col("level"))
+        .where(
+            visible("required_clearance", "allowed_departments", "c.clearance", "c.department")
         )
-        pairs = part if pairs is None else pairs.unionByName(part)
-    return pairs
+        .withColumn("class_key", class_key("c.department", "c.clearance"))
+        .drop("c", "level")
+    )
+
 
+def rule_disagreements(
+    permissions: DataFrame, principals: DataFrame, sets: DataFrame | None = None
+) -> DataFrame:
+    """Pairs on which the predicate and the join form of the rule differ.
 
-def rule_disagreements(permissions: DataFrame, principals: DataFrame) -> DataFrame:
-    """Pairs on which the predicate and the join form of the rule differ."""
+    ``sets`` are the class sets a search used, by default those of the join form.
+    """
     classes = principal_classes(principals)
     columns = ["required_clearance", "access_keys", "class_key"]
     by_predicate = (
@@ -134,7 +132,7 @@ def rule_disagreements(permissions: DataFrame, principals: DataFrame) -> DataFra
         .select(*columns)
         .distinct()
     )
-    by_join = class_sets(permissions, classes).select(
+    by_join = (class_sets(permissions, classes) if sets is None else sets).select(
         "required_clearance", "access_keys", F.explode("class_keys").alias("class_key")
     )
     only_predicate = by_predicate.join(by_join, columns, "left_anti")

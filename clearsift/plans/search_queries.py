@@ -656,6 +656,26 @@ def order_conflicts(spark, folder):
     )
 
 
+@query(
+    "planted_order_conflicts",
+    with_("vhits")
+    + ", lists AS (SELECT query_id, request_id, count(*) AS n FROM vhits GROUP BY ALL),"
+    " moved AS (SELECT query_id, chunk_id, bool_or(request_id % 11 = 0) AND bool_or(request_id % 11 <> 0) AS mixed"
+    " FROM vhits GROUP BY ALL)"
+    " SELECT query_id, CAST(sum(CASE WHEN request_id % 7 = 0 THEN n - 1 ELSE 0 END) AS BIGINT) AS inversions,"
+    " CAST(sum(n) AS BIGINT) AS rows, any_value(unstable) AS unstable_chunks FROM lists JOIN"
+    " (SELECT query_id, count(*) FILTER (mixed) AS unstable FROM moved GROUP BY query_id) USING (query_id) GROUP BY query_id",
+)
+def planted_order_conflicts(spark, folder):
+    """The order audit over lists of which some are turned round and some have
+    other distances: it must count just those."""
+    requests, hits = _vector_hits(spark, folder)
+    rows = hits.join(requests.select("request_id", "query_id"), "request_id")
+    turned = F.when(F.col("request_id") % 7 == 0, -F.col("rank")).otherwise(F.col("rank"))
+    moved = F.col("distance") + F.when(F.col("request_id") % 11 == 0, 1.0).otherwise(0.0)
+    return audits.order_conflicts(rows.withColumns({"rank": turned, "distance": moved}))
+
+
 @query(
     "candidate_counts",
     with_("vchunks", "classes")
@@ -683,6 +703,33 @@ def rule_disagreements(spark, folder):
     return found.withColumn("access_keys", F.array_join("access_keys", ","))
 
 
+@query(
+    "planted_rule_disagreements",
+    with_("docs", "classes")
+    + ", sigs AS (SELECT DISTINCT required_clearance, CASE WHEN allowed_departments IS NULL OR len(allowed_departments) = 0 THEN '*'"
+    " ELSE array_to_string(list_sort(list_distinct(list_transform(allowed_departments, lambda d: 'd:' || d))), ',') END AS access_keys,"
+    " CASE WHEN len(allowed_departments) > 0 THEN allowed_departments END AS allowed_departments FROM docs)"
+    " SELECT DISTINCT required_clearance, access_keys, CASE WHEN required_clearance = 2 THEN '3|' ELSE '1|' END || k.department AS class_key,"
+    " CASE WHEN required_clearance = 2 THEN 'predicate' ELSE 'join' END AS side"
+    f" FROM sigs s JOIN classes k ON {vis('s', 'k')} AND k.clearance = 3 WHERE required_clearance IN (2, 3)",
+)
+def planted_rule_disagreements(spark, folder):
+    """The rule audit over class sets that lack some classes and have others
+    too many: it must name just those."""
+    documents, people = corpus.documents(spark, folder), corpus.principals(spark, folder)
+    sets = entitlements.class_sets(documents, entitlements.principal_classes(people))
+    keys, level = F.col("class_keys"), F.col("required_clearance")
+    highest = F.filter(keys, lambda k: k.startswith("3|"))
+    lowered = F.transform(highest, lambda k: F.concat(F.lit("1"), F.substring(k, 2, 1000)))
+    broken = (
+        F.when(level == 2, F.filter(keys, lambda k: ~k.startswith("3|")))
+        .when(level == 3, F.array_union(keys, lowered))
+        .otherwise(keys)
+    )
+    found = audits.rule_disagreements(documents, people, sets.withColumn("class_keys", broken))
+    return found.withColumn("access_keys", F.array_join("access_keys", ","))
+
+
 @query(
     "rule_agreements",
     with_("docs", "classes")
@@ -726,6 +773,23 @@ def out_of_scope_hits(spark, folder):
     )
 
 
+@query(
+    "planted_scope_leaks",
+    with_("reqs", "vnaive")
+    + "SELECT r.query_id, count(*) AS hits, count(*) FILTER (NOT "
+    + vis("v", "r")
+    + f") AS out_of_scope FROM reqs r JOIN vnaive v ON v.query_id = r.query_id AND v.rank <= {K} GROUP BY r.query_id",
+)
+def planted_scope_leaks(spark, folder):
+    """The scope audit over a search without entitlements: it must find every leak."""
+    shown = cut(_unfiltered_hits(spark, folder))
+    leaks = audits.out_of_scope(shown).groupBy("query_id").agg(F.count("*").alias("out_of_scope"))
+    hits = shown.groupBy("query_id").agg(F.count("*").alias("hits"))
+    return hits.join(leaks, "query_id", "left").withColumn(
+        "out_of_scope", F.coalesce("out_of_scope", F.lit(0))
+    )
+
+
 @query(
     "naive_losses",
     with_("compared", extra=_COMPARED)
