@@ -71,8 +71,11 @@ def lexemes(text, pattern: str = C.LEXEME) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(pattern), F.lit(0))
 
 
-def query_terms(query, pattern: str = C.LEXEME) -> Column:
-    """Distinct lower-cased terms of two or more characters, in query order."""
+def query_terms(query, pattern: str = C.HANGUL_ASCII_TERM) -> Column:
+    """Distinct lower-cased terms of two or more characters, in query order.
+
+    Letters of other scripts part terms; ``pattern=C.LEXEME`` keeps them.
+    """
     words = F.regexp_extract_all(_col(query), F.lit(pattern), F.lit(0))
     long_enough = F.filter(words, lambda w: F.length(w) >= 2)
     return F.array_distinct(F.transform(long_enough, lambda w: F.lower(w)))

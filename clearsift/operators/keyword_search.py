@@ -31,7 +31,7 @@ def postings(chunks: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
     return counted.withColumn("weight", weight)
 
 
-def request_terms(queries: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
+def request_terms(queries: DataFrame, pattern: str = C.HANGUL_ASCII_TERM) -> DataFrame:
     """(query_id, term, n_terms), one row per distinct term of each query."""
     return (
         queries.select("query_id", query_terms("query", pattern).alias("terms"))
@@ -93,7 +93,7 @@ def search_keyword(
     queries: DataFrame,
     k: int,
     permissions: DataFrame | None = None,
-    pattern: str = C.LEXEME,
+    pattern: str = C.HANGUL_ASCII_TERM,
     words: DataFrame | None = None,
 ) -> DataFrame:
     """Best ``k`` visible chunks per distinct (query, class) by term score.
@@ -132,7 +132,7 @@ def keyword_topk(
     queries: DataFrame,
     k: int,
     permissions: DataFrame | None = None,
-    pattern: str = C.LEXEME,
+    pattern: str = C.HANGUL_ASCII_TERM,
 ) -> DataFrame:
     """As ``search_keyword``, handed back to every request."""
     ranked = search_keyword(

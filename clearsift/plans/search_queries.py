@@ -295,11 +295,16 @@ def naive_topk_query(spark, folder):
 
 @query(
     "query_terms",
-    with_("terms") + "SELECT query_id, term, n_terms FROM terms",
+    "SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT item_id AS query_id,"
+    " lower(unnest(regexp_extract_all(text || ' 규정12 제3.14조의2 Ärger.9 x7.3 漢字2026', '[0-9A-Za-z가-힣]+(?:\\.[0-9A-Za-z가-힣]+)*'))) AS term"
+    " FROM benchmark) WHERE length(term) >= 2",
 )
 def query_terms(spark, folder):
-    """Search terms of every question."""
-    terms = keyword_search.request_terms(corpus.text_queries(spark, folder))
+    """Search terms of every question, with several scripts in each."""
+    mixed = F.concat("query", F.lit(" 규정12 제3.14조의2 Ärger.9 x7.3 漢字2026"))
+    terms = keyword_search.request_terms(
+        corpus.text_queries(spark, folder).withColumn("query", mixed)
+    )
     return terms.select("query_id", "term", F.col("n_terms").cast("long").alias("n_terms"))
 
 

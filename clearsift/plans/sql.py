@@ -135,7 +135,7 @@ CTES = {
         [],
         "SELECT item_id AS query_id, term, count(*) OVER (PARTITION BY item_id) AS n_terms FROM"
         " (SELECT DISTINCT item_id, lower(w) AS term FROM (SELECT item_id,"
-        " unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:\\.[\\p{L}\\p{N}]+)*')) AS w FROM benchmark)"
+        " unnest(regexp_extract_all(text, '[0-9A-Za-z가-힣]+(?:\\.[0-9A-Za-z가-힣]+)*')) AS w FROM benchmark)"
         " WHERE length(w) >= 2)",
     ),
     "matches": (
