@@ -5,16 +5,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
-from clearsift.functions.scale import with_fields
+from clearsift.functions.scale import cut, with_fields
 from clearsift.functions.text import chunk_windows, clean_private_glyphs, let, strip
 
 
 class ParseError(Exception):
-    """Some input documents cannot be read; carries a few of their paths."""
+    """Some input documents cannot be read; ``rows`` has every path and reason."""
 
-    def __init__(self, reason: str, paths):
-        super().__init__(f"{reason}: {list(paths)}")
-        self.paths = list(paths)
+    def __init__(self, reasons, rows: DataFrame):
+        super().__init__("; ".join(f"{n} files: {reason}" for reason, n in reasons))
+        self.rows = rows
 
 
 def split_front_matter(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,11 +210,11 @@ def parse_files(files: DataFrame) -> DataFrame:
                 "path", F.lit("no permissions given").alias("reason")
             )
         )
-        .limit(5)
-        .collect()
     )
-    if refused:
-        raise ParseError(refused[0].reason, [r.path for r in refused])
+    refused = cut(refused)
+    reasons = refused.groupBy("reason").count().orderBy("reason").collect()  # three at most
+    if reasons:
+        raise ParseError([(r["reason"], r["count"]) for r in reasons], refused)
     permissions = ["path", "title", "doc_type", "required_clearance", "allowed_departments"]
     from_markdown = with_clauses(markdown.withColumn("doc_type", F.lit("md")), "body")
     cleaned = paged.withColumn("doc_type", F.lit("pdf")).withColumn(

@@ -8,7 +8,9 @@ from clearsift.functions.scale import cut
 from clearsift.operators.embedding import encode, wrong_dimension
 from clearsift.operators.parsing import chunk_rows, clause_rows, parse_files
 from clearsift.sources.tables import (
+    check_ids,
     clause_ids,
+    latest,
     replace_chunks,
     upsert_clauses,
     upsert_documents,
@@ -30,26 +32,36 @@ def ingest(
 
     ``files`` has path and content, and permission columns for paged text.  A
     document with the same path is replaced: permissions overwritten, chunks
-    exchanged, ids kept.  The caller stores the three tables as new snapshots.
+    exchanged, ids kept.  Of several files with one path the last ``modified``
+    is loaded, where that column is given, and of those the greatest content.
+    The caller stores the three tables, by ``tables.publish``.
     """
+    order = [F.col("modified")] if "modified" in files.columns else []
+    files = latest(
+        files.withColumn("__order", F.struct(*order, F.md5("content"))), ["path"], "__order"
+    ).drop("__order", "modified")
     parsed = cut(parse_files(files).withColumn("loaded", F.lit(1)))
-    merged_documents = upsert_documents(
-        documents,
-        parsed.select(
-            F.col("path").alias("source_path"),
-            "title",
-            "doc_type",
-            "required_clearance",
-            "allowed_departments",
-            F.current_timestamp().alias("ingested_at"),
+    merged_documents = cut(
+        upsert_documents(
+            documents,
+            parsed.select(
+                F.col("path").alias("source_path"),
+                "title",
+                "doc_type",
+                "required_clearance",
+                "allowed_departments",
+                F.current_timestamp().alias("ingested_at"),
+                "loaded",
+            ),
             "loaded",
-        ),
-        "loaded",
+        )
     )
     ids = merged_documents.select("document_id", F.col("source_path").alias("path"))
-    identified = parsed.join(ids, "path")
+    identified = cut(parsed.join(ids, "path"))
     rows = clause_rows(identified)
-    merged_clauses = upsert_clauses(clauses, rows.withColumnRenamed("position", "n"), "n")
+    merged_clauses = cut(
+        upsert_clauses(clauses, rows.withColumnRenamed("position", "n"), "n")
+    )
     pieces = chunk_rows(
         rows.join(clause_ids(merged_clauses), ["document_id", "code"]).select(
             "document_id", "clause_id", "position", "text"
@@ -65,6 +77,9 @@ def ingest(
             batch_size,
         )
     )
+    check_ids(merged_documents, "document_id", ["source_path"])
+    check_ids(merged_clauses, "clause_id", ["document_id", "code"])
+    check_ids(encoded, "chunk_id", ["document_id", "position", "ordinal"])
     if not wrong_dimension(encoded, dim).isEmpty():
         raise ValueError(f"vectors must have {dim} elements")
     merged_chunks = replace_chunks(chunks, encoded.select(*CHUNK_COLUMNS), identified)

@@ -662,3 +662,77 @@ def ingest_documents(spark, folder):
         F.col("clauses").cast("long").alias("clauses"),
         "chunks",
     )
+
+
+_PUBLISHED = {
+    **_INGESTED,
+    "windows": (
+        ["per_clause"],
+        "SELECT document_id, substring(text, 1 + o * 750, 900) AS piece FROM (SELECT document_id, text, unnest(range("
+        "CASE WHEN text = '' THEN 0 WHEN length(text) <= 900 THEN 1 ELSE CAST(ceil((length(text) - 900) / 750.0) AS BIGINT) + 1 END)) AS o"
+        " FROM per_clause)",
+    ),
+    "pieces": (
+        ["windows"],
+        "SELECT document_id, md5(string_agg(md5(piece), ',' ORDER BY md5(piece))) AS chunks_md5 FROM windows GROUP BY document_id",
+    ),
+}
+
+
+@query(
+    "published_corpus",
+    with_("docs", "bodies", "per_document", "pieces", extra={**_MARKDOWN, **_PUBLISHED})
+    + "SELECT d.document_id AS number, required_clearance, coalesce(k.clauses, 0) AS clauses, coalesce(p.chunks, 0) AS chunks,"
+    " coalesce(p.chunks, 0) AS vectors, coalesce(chunks_md5, md5('')) AS chunks_md5"
+    " FROM docs d LEFT JOIN per_document p USING (document_id) LEFT JOIN pieces USING (document_id)"
+    " LEFT JOIN (SELECT document_id, count(DISTINCT coalesce(code, '')) AS clauses FROM mclauses GROUP BY document_id) k USING (document_id)",
+)
+def published_corpus(spark, folder):
+    """Markdown files of all documents, read from a folder, ingested and
+    published twice; what readers find is one whole corpus."""
+    source, root = scratch_path(spark, "policies"), scratch_path(spark, "corpus")
+    files = _markdown_files(spark, folder)
+    headed = F.when(F.col("content").startswith("---"), F.col("content")).otherwise(
+        F.concat(
+            F.lit("---\ntitle: t\nclearance: "),
+            F.col("document_id") % 3 + 1,
+            F.lit("\n---\n"),
+            F.substring("content", F.lit(len("clearance: 1\n") + 1), F.length("content")),
+        )
+    )
+    files.select("document_id", headed.alias("value")).write.partitionBy("document_id").text(source)
+    stored = [
+        spark.createDataFrame([], schema)
+        for schema in (
+            "document_id long, source_path string, title string, doc_type string, required_clearance int,"
+            " allowed_departments array<string>, ingested_at timestamp",
+            "clause_id long, document_id long, code string, title string, text string",
+            "chunk_id long, document_id long, clause_id long, ordinal int, text string, embedding array<float>",
+        )
+    ]
+    names = ("documents", "clauses", "chunks")
+    for _ in range(2):
+        found = readers.read_markdown_dir(spark, f"{source}/document_id=*", "part-*")
+        number = F.regexp_extract("path", r"document_id=([0-9]+)", 1)
+        policies = found.withColumn("path", F.concat(number, F.lit(".md")))
+        merged = ingest(policies, *stored, corpus.hash_encoder, corpus.HASH_DIM)[:3]
+        tables.publish(spark, root, dict(zip(names, merged)))
+        stored = tables.current(spark, root, *names)
+    documents, clauses, chunks = stored
+    per_clause = clauses.groupBy("document_id").agg(F.count("*").alias("clauses"))
+    hashes = F.sort_array(F.collect_list(F.md5("text")))
+    per_chunk = chunks.groupBy("document_id").agg(
+        F.count_distinct("chunk_id").alias("chunks"),
+        F.count_if(F.size("embedding") == corpus.HASH_DIM).alias("vectors"),
+        F.md5(F.array_join(hashes, ",")).alias("chunks_md5"),
+    )
+    return (
+        documents.join(per_clause, "document_id", "left")
+        .join(per_chunk, "document_id", "left")
+        .select(
+            F.regexp_extract("source_path", r"([0-9]+)\.md", 1).cast("long").alias("number"),
+            "required_clearance",
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("clauses", "chunks", "vectors")],
+            F.coalesce("chunks_md5", F.md5(F.lit(""))).alias("chunks_md5"),
+        )
+    )

@@ -1,17 +1,24 @@
 """Stored tables as snapshots: merges are pure DataFrame functions, and a new
 snapshot is written beside the old one, which stays readable until then."""
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearsift.functions.access import open_as_null
-from clearsift.functions.scale import broadcast_if_small
+from clearsift.functions.scale import broadcast_if_small, cut
 from clearsift.operators.access_log import RECORD_COLUMNS
 from clearsift.schema import DOC_TYPES
 
 
 class CountMismatch(Exception):
-    """Chunks and vectors do not pair up."""
+    """Chunks and vectors do not pair up; ``rows`` has every document concerned."""
+
+    def __init__(self, count: int, rows: DataFrame):
+        super().__init__(f"{count} documents with unequal numbers of chunks and vectors")
+        self.rows = rows
 
 
 class IdCollision(Exception):
@@ -115,11 +122,10 @@ def unpaired(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def require_paired(chunks: DataFrame, vectors: DataFrame) -> None:
-    found = unpaired(chunks, vectors).limit(5).collect()
-    if found:
-        raise CountMismatch(
-            "; ".join(f"document {r.document_id}: {r.chunks} chunks, {r.vectors} vectors" for r in found)
-        )
+    found = cut(unpaired(chunks, vectors))
+    count = found.count()
+    if count:
+        raise CountMismatch(count, found)
 
 
 def check_ids(table: DataFrame, id_col: str, keys) -> None:
@@ -161,6 +167,40 @@ def read_snapshot(spark: SparkSession, root: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
+    """Write a new version of every table, then make it the current one.
+
+    Readers find the tables through one row that names their common version and
+    is written last, as a file of its own: before it is there they see all
+    tables of the version before, and afterwards all of the new one.
+    """
+    version = uuid.uuid4().hex
+    for name, table in tables.items():
+        write_snapshot(table, f"{root}/{name}", version)
+    number = (_latest(spark, root) or (0, ""))[0] + 1
+    pointer = spark.createDataFrame([(number, version)], "number long, version string")
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/published")
+    return version
+
+
+def _latest(spark: SparkSession, root: str):
+    try:
+        pointers = spark.read.schema("number long, version string").parquet(f"{root}/published")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return pointers.orderBy(F.desc("number"), F.desc("version")).first()
+
+
+def current(spark: SparkSession, root: str, *names: str) -> list[DataFrame]:
+    """The named tables of the version published last."""
+    found = _latest(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"nothing is published under {root}")
+    return [read_snapshot(spark, f"{root}/{name}", found["version"]) for name in names]
+
+
 def append_records(records: DataFrame, path: str) -> int:
     """Append access records by day and say how many; none is a no-op."""
     dated = records.select(*RECORD_COLUMNS, F.to_date("ts").alias("dt"))

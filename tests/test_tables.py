@@ -138,7 +138,7 @@ def test_markdown_directory(spark, tmp_path):
     (tmp_path / "a.md").write_text("one")
     (tmp_path / "c.txt").write_text("no")
     rows = readers.read_markdown_dir(spark, str(tmp_path)).collect()
-    assert [(r.path[-4:], r.content) for r in rows] == [("a.md", "one"), ("b.md", "two\nlines")]
+    assert sorted((r.path[-4:], r.content) for r in rows) == [("a.md", "one"), ("b.md", "two\nlines")]
 
 
 def test_recent_limits(spark):
