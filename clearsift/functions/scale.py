@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SMALL_ROWS = 200_000
+SMALL_BYTES = 256 << 20
 
 
 def fits(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows of SMALL_BYTES together;
+    reads no further than those rows."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return rows <= max_rows and (size or 0) <= SMALL_BYTES
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -41,7 +45,10 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    plan = getattr(df, "_jdf", None)  # remote sessions do not tell the size
+    if plan is None:
+        return df
+    size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(size)) > cores * split:
         return df
     return df.repartition(cores, *keys)

@@ -56,13 +56,6 @@ def encode(
     return narrow.mapInPandas(run, schema)
 
 
-def encode_missing(
-    rows: DataFrame, vectors: DataFrame, text_col: str, kind: str, encoder, dim: int
-) -> DataFrame:
-    """(text_hash, embedding) of texts that have no vector yet, each text once."""
-    return encode(pending(rows, vectors, text_col), text_col, kind, encoder, dim)
-
-
 def pending(rows: DataFrame, vectors: DataFrame, text_col: str) -> DataFrame:
     """The encoding worklist: distinct texts without a stored vector."""
     hashed = rows.groupBy(F.sha2(F.col(text_col), 256).alias("text_hash")).agg(

@@ -72,11 +72,6 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def relevant_rows(golden: DataFrame) -> DataFrame:
-    """Golden sets as the long table the metrics take."""
-    return golden.select("request_id", F.explode("relevant").alias("code"))
-
-
 def read_syslog(spark: SparkSession, path: str) -> DataFrame:
     """(file, value): the lines of system log files."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
