@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clearsift.llm.batches import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 INLINE = frozenset(
@@ -337,4 +339,4 @@ def extract(
     def texts(column):
         return column.map(main_text, na_action=None)
 
-    return pages.withColumn(text_col, texts(F.col(html_col)))
+    return small_batches(pages).withColumn(text_col, texts(F.col(html_col)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from clearsift.llm.batches import small_batches
+
 PROFILE = 300
 FLUSH_WORDS = 200_000
 _LETTERS = "[^\\W\\d_]+"
@@ -82,7 +84,7 @@ def profiles(
         yield from out()
 
     counted = (
-        labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        small_batches(labelled).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .where("lang IS NOT NULL AND text IS NOT NULL")
         .mapInPandas(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clearsift.llm.batches import small_batches
 from clearsift.llm.tokens import default_path, encoded_rows
 
 CAPACITY = 2048
@@ -194,7 +195,8 @@ def cost_balanced(
                 )
             first += 1 + max(p[3] for p in pieces)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(pack, out)
+    rows = small_batches(docs).select(F.col(id_col), F.col(text_col).alias("__text"))
+    return rows.mapInArrow(pack, out)
 
 
 def best_fit(
@@ -269,7 +271,8 @@ def best_fit(
                 )
             first += len(sequences)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(pack, out)
+    rows = small_batches(docs).select(F.col(id_col), F.col(text_col).alias("__text"))
+    return rows.mapInArrow(pack, out)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

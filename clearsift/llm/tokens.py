@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-STORE_WORDS = 300_000
+STORE_WORDS = 150_000
 # Splits plain texts as the tokenizer itself does; other texts never come here.
 _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 # Anything but printable ASCII, ASCII white space and letters of Latin-1 and
