@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from clearsift.llm import jaccard_join, passage_dedup, shingles
+from clearsift.llm.components import components, star_labels
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, component string"
 
@@ -210,3 +211,16 @@ def test_pipeline_stages_and_result(spark):
     assert len({c for _, n, c in brute(final) if n}) == sum(bool(words(t)) for _, t in final)
     result = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in result.select("doc_id").distinct().collect()} == {i for i, _ in final}
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(9)
+    nodes = rng.sample(range(10**6), 300)
+    links = list(zip(nodes[:150], nodes[1:150])) + [(n, nodes[200]) for n in nodes[201:]] + [(7, 7)]
+    frame = spark.createDataFrame([rng.choice([(a, b), (b, a)]) for a, b in links], "a long, b long")
+    got = {r.node: r.component for r in components(frame).collect()}
+    chain, star = min(nodes[:150]), min(nodes[200:])
+    assert got == {n: chain for n in nodes[:150]} | {n: star for n in nodes[200:]}
+    near = {r.node: r.component for r in star_labels(frame.where("a <> b")).collect()}
+    assert all(got[n] == got[c] for n, c in near.items())
+    assert components(frame.where("false")).count() == 0
