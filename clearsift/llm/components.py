@@ -6,25 +6,46 @@ from pyspark.sql import functions as F
 from clearsift.functions.scale import cut
 
 
+def star_labels(links: DataFrame) -> DataFrame:
+    """``node``, ``component``: one step towards components, without a loop.
+
+    Each node takes its smallest neighbour or itself, then that one's choice.
+    Nodes of one label are connected; nodes of different labels may be.
+    """
+    nearest = (
+        links.select(F.col("a").alias("node"), F.col("b").alias("near"))
+        .union(links.select("b", "a"))
+        .groupBy("node")
+        .agg(F.least("node", F.min("near")).alias("component"))
+    )
+    nearest = cut(nearest)
+    return nearest.join(
+        nearest.select(F.col("node").alias("component"), F.col("component").alias("further")),
+        "component",
+    ).select("node", F.least("component", "further").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for the nodes of
-    ``links`` (``a``, ``b``); every round takes the least label of a node and
-    its neighbours, then that label's own."""
-    both = cut(
-        links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    )
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")))
+    ``links`` (``a``, ``b``).  A round gives every node the least label of its
+    neighbours, then that label's own; rounds end when nothing changes."""
+    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component"))
+    if both.isEmpty():
+        return labels
+    labels = cut(labels)
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(
-            F.min("component").alias("near")
-        )
-        spread = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.least("component", "near").alias("next"), F.col("component").alias("was")
+        spread = (
+            both.join(labels.withColumnRenamed("node", "b"), "b")
+            .select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
+            .union(labels.select("node", "component", F.col("component").alias("was")))
+            .groupBy("node")
+            .agg(F.min("component").alias("next"), F.max("was").alias("was"))
         )
-        jump = spread.select(F.col("node").alias("of"), F.col("next").alias("further"))
+        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
         after = cut(
-            spread.join(jump, F.col("next") == F.col("of"), "left").select(
-                "node", F.least("next", F.coalesce("further", "next")).alias("component"), "was"
+            spread.join(jump, "next").select(
+                "node", F.least("next", "further").alias("component"), "was"
             )
         )
         labels = after.select("node", "component")

@@ -12,8 +12,8 @@ has at the end.
     saves work: large groups of near copies are connected here with few
     comparisons, and none of it is taken as proof that others are not similar.
 3.  Groups that share a prefix token and are not connected yet are paired, the
-    pairs filtered by size and position, expanded to their members and verified
-    on the whole sets.  A pair that is connected already needs no check: a
+    pairs filtered by size, position and the number of common prefix tokens,
+    expanded to their members and verified on the whole sets.  A pair that is connected already needs no check: a
     further link between its nodes changes no component.
 
 So every link that could join two components is verified, and no list of a
@@ -26,10 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from clearsift.functions.scale import cut, scratch_path
 from clearsift.llm import shingles
-from clearsift.llm.components import components
+from clearsift.llm.batches import small_batches
+from clearsift.llm.components import components, star_labels
 
 SIZE = 5
 PERCENT = 80
@@ -39,6 +41,7 @@ FREQUENT_SHARE = 1000
 FREQUENT_LEAST = 50
 BLOCK = 256
 TRIES = 16
+SAMPLES = 4
 BROADCAST_NODES = 2_000_000
 
 
@@ -88,17 +91,19 @@ def _frequent(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
 def shingle_sets(
     docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, percent: int = PERCENT
 ) -> DataFrame:
-    """A stored table of ``id``, ``text_key`` (digest of the text), ``n``,
-    ``node`` (digest of the set, null without words), ``grp`` (hash of prefix and
-    size), ``prefix`` and ``rest`` (the set in the common order, parted)."""
-    spark = docs.sparkSession
+    """A stored table of ``row`` (a number for each row), ``id``, ``text_key``
+    (digest of the text), ``n``, ``digest`` (of the set, null without words),
+    ``grp`` (hash of prefix and size), ``prefix`` and ``rest`` (the set in the
+    common order, parted)."""
+    spark = small_batches(docs).sparkSession
     last = spark.sparkContext.broadcast(_frequent(docs, text_col, size))
     schema = T.StructType(
         [
+            T.StructField("row", T.LongType()),
             T.StructField("id", docs.schema[id_col].dataType),
             T.StructField("text_key", T.BinaryType()),
             T.StructField("n", T.LongType()),
-            T.StructField("node", T.BinaryType()),
+            T.StructField("digest", T.BinaryType()),
             T.StructField("grp", T.LongType()),
             T.StructField("prefix", T.ArrayType(T.LongType(), False)),
             T.StructField("rest", T.ArrayType(T.LongType(), False)),
@@ -107,10 +112,12 @@ def shingle_sets(
 
     def sets(batches):
         from pyarrow import RecordBatch, array
+        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
         frequent = last.value
+        row_number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -131,16 +138,21 @@ def shingle_sets(
                     cut_at = n - least_overlap(n, percent) + 1 if n else 0
                     prefix = ordered[:cut_at]
                     key = shingles.digest(prefix.tobytes(), n.to_bytes(8, "little"))
-                    row = (
+                    values = (
                         hashlib.md5(raw).digest(), n, shingles.digest(tokens.tobytes()) if n else None,
                         int.from_bytes(key[:8], "little", signed=True), prefix, ordered[cut_at:],
                     )
-                    for column, value in zip(columns, row):
+                    for column, value in zip(columns, values):
                         column.append(value)
                 yield RecordBatch.from_arrays(
-                    [part.column(0), *(array(c, f.type) for c, f in zip(columns, list(out)[1:]))],
+                    [
+                        array(np.arange(row_number, row_number + part.num_rows)),
+                        part.column(0),
+                        *(array(c, f.type) for c, f in zip(columns, list(out)[2:])),
+                    ],
                     schema=out,
                 )
+                row_number += part.num_rows
 
     path = scratch_path(spark, "shingle-sets")
     docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -149,20 +161,22 @@ def shingle_sets(
     return spark.read.parquet(path)
 
 
-def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node``, ``tokens`` of the nodes given, each once."""
-    if nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    return (
-        sets.select("node", F.concat("prefix", "rest").alias("tokens"))
-        .join(nodes, "node", "left_semi")
-        .dropDuplicates(["node"])
-    )
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` with a broadcast hint behind a count; they are stored."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, node: str, out: str) -> DataFrame:
+    """``rows`` with the set of the node in column ``node``: nodes are row
+    numbers of the stored sets."""
+    tokens = sets.select(F.col("row").alias(node), F.concat("prefix", "rest").alias(out))
+    return tokens.join(_sized(rows), node)
 
 
 def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
-    """Links found among the rows of each block.  Every node is compared with
-    the first and the newest member of at most TRIES clusters of the block."""
+    """Nodes ``b`` of each block connected to ``a``, the first of their cluster.
+    Every node is compared with the first and the newest member of at most TRIES
+    clusters of the block, and joins the first it is similar to."""
 
     def link(batches):
         from pyarrow import RecordBatch, array
@@ -180,7 +194,7 @@ def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
                     for node, members in cluster:
                         if node != nodes[i] and similar(own, members, percent):
                             home = number
-                            found.append((node, nodes[i]))
+                            found.append((cluster[0][0], nodes[i]))
                             break
                     if home is not None:
                         break
@@ -193,17 +207,19 @@ def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
                 del clusters[TRIES:]
             if found:
                 yield RecordBatch.from_arrays(
-                    [array([f[0] for f in found], "binary"), array([f[1] for f in found], "binary")],
+                    [array([f[0] for f in found], "int64"), array([f[1] for f in found], "int64")],
                     names=["a", "b"],
                 )
                 found = []
 
-    ordered = placed.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node")
-    return ordered.select("key", "part", "node", "tokens").mapInArrow(link, "a binary, b binary")
+    ordered = placed.repartition("key", "part").sortWithinPartitions(
+        "key", "part", "own", "node"
+    )
+    return ordered.select("key", "part", "node", "tokens").mapInArrow(link, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose whole sets are similar."""
+    """The pairs ``a``, ``b`` (stored) whose whole sets are similar."""
 
     def check(batches):
         from pyarrow import array
@@ -218,87 +234,168 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select([0, 1]).filter(array(yes, "bool"))
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = cut(_sets_of(sets, nodes))
-    first = held.select(F.col("node").alias("a"), F.col("tokens").alias("one"))
-    second = held.select(F.col("node").alias("b"), F.col("tokens").alias("other"))
+    # The set of ``b`` travels once for each pair, that of ``a`` once.
+    first = _with_sets(cut(pairs.select("a").distinct()), sets, "a", "one")
+    second = _with_sets(pairs, sets, "b", "other").select("a", "b", "other")
     return (
-        pairs.join(first, "a")
-        .join(second, "b")
+        second.join(first, "a")
         .select("a", "b", "one", "other")
-        .mapInArrow(check, "a binary, b binary")
+        .mapInArrow(check, "a long, b long")
     )
 
 
-def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``node``, ``component`` (smallest node) of all nodes with a link."""
-    spark = sets.sparkSession
-    path = scratch_path(spark, "shingle-nodes")
-    sets.where("node IS NOT NULL").groupBy("node").agg(
-        F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    ).write.parquet(path)
-    nodes = spark.read.parquet(path)
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links as pairs of different labels, each once; nodes without a label are
+    their own."""
+    one = labels.select(F.col("node").alias("a"), F.col("component").alias("a_label"))
+    two = labels.select(F.col("node").alias("b"), F.col("component").alias("b_label"))
+    found = links.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    a, b = F.coalesce("a_label", "a"), F.coalesce("b_label", "b")
+    return (
+        found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    )
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``own`` with a number ``part``, so that no block grows
+    with its key.  The nodes of a key with the fewest tokens of their own, likely
+    the originals of its near copies, are in all its blocks."""
+    many = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    rows = placed.join(many, "key")
+    part = F.pmod(F.xxhash64("node", "key"), F.col("parts"))
+    first = Window.partitionBy("key").orderBy("own", "node")
+    hubs = (
+        rows.where("parts > 1")
+        .withColumn("at", F.row_number().over(first))
+        .where(F.col("at") <= SAMPLES)
+    )
+    columns = ["key", "node", "own"]
+    return (
+        rows.select(*columns, part.alias("part"))
+        .union(hubs.select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        .distinct()
+    )
+
+
+def nodes_of(sets: DataFrame) -> DataFrame:
+    """``digest``, ``node`` (its first row), ``least`` (its smallest id)."""
+    return cut(
+        sets.where("digest IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min("row").alias("node"), F.min("id").alias("least"))
+    )
 
-    listed = nodes.select("node", "grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    counts = listed.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-    shared = cut(listed.join(counts, "token"))
 
-    # Two most shared tokens of each node, and its group: blocks to meet in.
+def link_components(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node``, ``component`` (smallest node) of all nodes with a link."""
+    own = nodes.select("node")
+    rows = sets.join(_sized(own), F.col("row") == F.col("node"))
+    prefix = rows.select("node", F.posexplode("prefix").alias("pos", "token"))
+    counts = cut(prefix.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"))
+    # ``before``: shared tokens of the node ahead of this one.
+    ahead = Window.partitionBy("node").orderBy("pos")
+    shared = cut(
+        prefix.join(_sized(counts), "token").withColumn("before", F.row_number().over(ahead) - 1)
+    )
+    sizes = rows.select("node", "grp", "n")
+    in_prefix = lambda n: n - F.ceil(n * percent / 100) + 1
+
+    # First round: by the most shared token of each node, and by its group.  A
+    # pair needs no block, so keys of two nodes are left to the last step.
     popular = F.slice(
-        F.sort_array(F.collect_list(F.struct("times", "token")), asc=False), 1, 2
+        F.sort_array(F.collect_list(F.struct("times", "token")), asc=False), 1, 3
     )
-    by_token = (
-        shared.groupBy("node", "n")
+    busy = cut(
+        shared.where(F.col("times") >= 4)
+        .groupBy("node")
         .agg(popular.alias("best"), F.count("*").alias("shares"))
-        .where(F.col("shares") * 3 >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-        .select("node", "n", F.inline("best"))
-        .withColumnRenamed("token", "key")
+        .join(sizes, "node")
+        .where(F.col("shares") * 3 >= in_prefix(F.col("n")))
+        .select("node", "best", (in_prefix(F.col("n")) - F.col("shares")).alias("own"))
     )
-    groups = nodes.groupBy("grp").agg(F.count("*").alias("times")).where("times > 1")
-    by_group = nodes.join(groups, "grp").select("node", "n", "times", F.col("grp").alias("key"))
-    parts = F.ceil(F.col("times") / BLOCK)
-    placed = cut(
-        by_token.union(by_group).select(
-            "key", F.pmod(F.xxhash64("node", "key"), parts).cast("int").alias("part"), "node", "n"
-        )
+    groups = sizes.groupBy("grp").agg(F.count("*").alias("times")).where("times > 3")
+    by_group = sizes.join(groups, "grp").select(
+        "node", F.col("grp").alias("key"), F.lit(0).cast("long").alias("own")
     )
-    held = _sets_of(sets, placed.select("node").distinct())
-    links = cut(_links_in_blocks(placed.join(held, "node"), percent).distinct())
-    joined = components(links)
+    by_token = busy.select("node", F.col("best")[0]["token"].alias("key"), "own")
+    placed = cut(_in_blocks(by_token.union(by_group)))
+    links = cut(_links_in_blocks(_with_sets(placed, sets, "node", "tokens"), percent).distinct())
+    joined = cut(star_labels(links))
 
-    # All groups that share a token and hold nodes of different components.
     def labelled(rows):
         return rows.join(joined, "node", "left").withColumn(
             "component", F.coalesce("component", "node")
         )
 
-    lists = labelled(shared).select("token", "grp", "n", "pos", "component").distinct()
-    lists = cut(lists)
+    # Second round: a few nodes of each component by three tokens.
+    few = Window.partitionBy("key", "component").orderBy("own", "node")
+    some = (
+        labelled(busy.select("node", F.explode("best.token").alias("key"), "own"))
+        .withColumn("at", F.row_number().over(few))
+        .where(F.col("at") <= SAMPLES)
+    )
+    mixed = some.groupBy("key").agg(
+        F.min("component").alias("least"), F.max("component").alias("most")
+    )
+    some = some.join(mixed.where("least <> most"), "key").select("node", "key", "own")
+    placed = cut(_in_blocks(some))
+    more = _links_in_blocks(_with_sets(placed, sets, "node", "tokens"), percent)
+    links = cut(links.union(more).distinct())
+    between = cut(_between(links, joined))
+    merged = star_labels(between).select(
+        F.col("node").alias("component"), F.col("component").alias("into")
+    )
+    joined = cut(
+        joined.union(between.selectExpr("a AS node", "a").union(between.selectExpr("b", "b")))
+        .groupBy("node")
+        .agg(F.min("component").alias("component"))
+        .join(merged, "component", "left")
+        .select("node", F.coalesce("into", "component").alias("component"))
+    )
+
+    # All groups that share a token and hold nodes of different components.
     mixed = (
-        lists.groupBy("token")
+        labelled(shared.select("token", "node"))
+        .groupBy("token")
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .where("least <> most")
         .select("token")
     )
-    lists = cut(lists.join(mixed, "token"))
-    one = lists.select("token", *[F.col(c).alias(f"a_{c}") for c in ("grp", "n", "pos", "component")])
-    two = lists.select("token", *[F.col(c).alias(f"b_{c}") for c in ("grp", "n", "pos", "component")])
-    # Common tokens before this one, itself, and all behind it, at the most.
-    most = F.least("a_pos", "b_pos") + F.least(
-        F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")
+    lists = cut(
+        labelled(shared.join(mixed, "token").join(sizes, "node"))
+        .select("token", "grp", "n", "pos", "before", "component")
+        .distinct()
+    )
+    names = ("grp", "n", "pos", "before", "component")
+    one = lists.select("token", *[F.col(c).alias(f"a_{c}") for c in names])
+    two = lists.select("token", *[F.col(c).alias(f"b_{c}") for c in names])
+    a_n, b_n = F.col("a_n"), F.col("b_n")
+    # Common tokens before this one, itself, and all behind it, at the most;
+    # tokens that no other prefix has are not common, if both prefixes hold them.
+    most = F.least("a_before", "b_before") + F.least(a_n - F.col("a_pos"), b_n - F.col("b_pos"))
+    in_order = (a_n < b_n) | ((a_n == b_n) & (F.col("a_grp") < F.col("b_grp")))
+    same = (a_n == b_n) & (F.col("a_grp") == F.col("b_grp"))
+    same &= F.col("a_component") < F.col("b_component")
+    # Of the common tokens, those up to where one prefix ends are in both; the
+    # others are behind that prefix.
+    behind = F.greatest(a_n - in_prefix(a_n), b_n - in_prefix(b_n))
+    pairs = (
+        one.join(
+            two,
+            (one["token"] == two["token"])
+            & (in_order | same)
+            & (F.col("a_component") != F.col("b_component"))
+            & (100 * a_n >= percent * b_n)
+            & ((100 + percent) * most >= percent * (a_n + b_n)),
+        )
+        .groupBy("a_grp", "a_component", "a_n", "b_grp", "b_component", "b_n")
+        .agg(F.count("*").alias("common"))
+        .where((100 + percent) * (F.col("common") + behind) >= percent * (a_n + b_n))
     )
-    pairs = one.join(
-        two,
-        (one["token"] == two["token"])
-        & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_grp") <= F.col("b_grp"))))
-        & (F.col("a_component") != F.col("b_component"))
-        & (100 * F.col("a_n") >= percent * F.col("b_n"))
-        & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))),
-    ).select("a_grp", "a_component", "b_grp", "b_component").distinct()
-    members = cut(labelled(nodes.select("node", "grp")))
+    members = labelled(sizes.select("node", "grp"))
     left = members.select(*[F.col(c).alias(f"a_{c}") for c in ("node", "grp", "component")])
     right = members.select(*[F.col(c).alias(f"b_{c}") for c in ("node", "grp", "component")])
-    expanded = (
+    expanded = cut(
         pairs.join(left, ["a_grp", "a_component"])
         .join(right, ["b_grp", "b_component"])
         .select(
@@ -306,8 +403,18 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
         .distinct()
     )
-    more = _verified(cut(expanded), sets, percent)
-    return components(cut(links.union(more)))
+    # Labels so far are parts of components; what links parts joins them.
+    parts = cut(_between(links.union(_verified(expanded, sets, percent)), joined))
+    whole = components(parts).select(
+        F.col("node").alias("component"), F.col("component").alias("whole")
+    )
+    nodes = joined.union(parts.selectExpr("a", "a")).union(parts.selectExpr("b", "b"))
+    return (
+        nodes.groupBy("node")
+        .agg(F.min("component").alias("component"))
+        .join(whole, "component", "left")
+        .select("node", F.coalesce("whole", "component").alias("component"))
+    )
 
 
 def similar_documents(
@@ -326,17 +433,18 @@ def similar_documents(
     columns are left out.
     """
     sets = shingle_sets(docs, id_col, text_col, size, percent)
-    joined = link_components(sets, percent)
-    rows = sets.select("id", "text_key", F.col("n").alias("n_shingles"), "node")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
+    nodes = nodes_of(sets)
+    joined = link_components(sets, nodes, percent)
     named = cut(
         nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "component").select("node", "component", "component_id")
-    return rows.join(ids, "node", "left").select(
+    ids = named.join(least, "component").select("digest", "node", "component", "component_id")
+    rows = sets.select("id", "text_key", F.col("n").alias("n_shingles"), "digest")
+    empty = F.col("digest").isNull()
+    return rows.join(ids, "digest", "left").select(
         "id", "text_key", "n_shingles", "node", "component",
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
