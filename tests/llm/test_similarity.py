@@ -164,6 +164,33 @@ def test_a_passage_stays_once(spark):
     assert passage_dedup.without_passages(docs.where("false")).count() == 0
 
 
+def ordered_by_key(spark, texts):
+    """Rows of these texts, with ids that make their keys ascend."""
+    tried = [(i, t) for n, t in enumerate(texts) for i in range(1000 * n, 1000 * n + 200)]
+    keyed = frame(spark, tried).selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS doc").collect()
+    step, rows = 2**64 // len(texts), []
+    for n, text in enumerate(texts):
+        low = n * step - 2**63
+        rows.append(next((r.doc_id, text) for r in keyed if r.text == text and low <= r.doc < low + step))
+    return rows
+
+
+def test_partial_quotes_do_not_hide_a_passage(spark):
+    """Two documents that come first quote parts too short to be passages."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    around = lambda part: f"{vocabulary(rng, 70)} {' '.join(part)} {vocabulary(rng, 70)}"
+    for quotes in ([(0, 45), (15, 60)],):
+        texts = [around(passage[a:b]) for a, b in quotes] + [around(passage) for _ in range(5)]
+        rows = ordered_by_key(spark, texts)
+        found = passage_dedup.passages(frame(spark, rows)).collect()
+        carriers = {i for i, _ in rows[len(quotes) :]}
+        assert {r.id for r in found if r.start == 70 and r.end == 130} == carriers - {rows[len(quotes)][0]}
+        assert {r.id for r in found} <= carriers
+        left = passage_dedup.without_passages(frame(spark, rows)).collect()
+        assert sum(" ".join(passage) in r.text for r in left) == 1
+
+
 def test_chains_against_plain_dynamic_programming():
     rng = random.Random(2)
     for _ in range(60):
