@@ -191,6 +191,18 @@ def test_partial_quotes_do_not_hide_a_passage(spark):
         assert sum(" ".join(passage) in r.text for r in left) == 1
 
 
+def test_a_passage_twice_in_one_document(spark):
+    rng = random.Random(23)
+    passage = vocabulary(rng, 60)
+    around = lambda *parts: " ".join(x for p in parts for x in (vocabulary(rng, 30), p))
+    rows = ordered_by_key(spark, [around(passage), around(passage, passage), around(passage[:70], passage)])
+    found = passage_dedup.passages(frame(spark, rows)).collect()
+    twice, later = rows[1][0], rows[2][0]
+    spans = {(r.id, r.start, r.end) for r in found}
+    assert {(twice, 30, 90), (twice, 120, 180)} <= spans
+    assert any(i == later and b - a == 60 for i, a, b in spans)
+
+
 def test_chains_against_plain_dynamic_programming():
     rng = random.Random(2)
     for _ in range(60):
