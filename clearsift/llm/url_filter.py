@@ -124,37 +124,40 @@ def train(
 ) -> UrlModel:
     """Fit boosted trees to labelled urls (label 1.0: block).
 
-    At most ``max_rows`` rows are used, those with the smallest hash of their
-    url.  Rows without url or label count for nothing.  With labels of one kind
-    only, or none, the model answers their share of block, or 0.0.
+    Suffixes and the share of block are counted over all rows.  The trees are
+    fitted to at most ``max_rows`` pairs of url and label, those with the
+    smallest hash of their url, each weighted by its number of rows.  Rows
+    without url or label count for nothing.  With labels of one kind only, or
+    none, the model answers their share of block, or 0.0.
     """
-    rows = (
+    counted = cut(
         labelled.select(F.col(url_col).alias("__of"), F.col(label_col).cast("double").alias("label"))
         .where("__of IS NOT NULL AND label IS NOT NULL")
-        .orderBy(F.xxhash64("__of"), "__of", "label")
-        .limit(max_rows)
+        .groupBy("__of", "label")
+        .agg(F.count("*").cast("double").alias("__rows"))
     )
-    rows = cut(lexical(rows, "__of"))
-    total = rows.agg(F.count("*"), F.avg("label")).first()
-    rate = total[1] or 0.0
+    blocked = F.sum(F.col("label") * F.col("__rows"))
+    rate = counted.agg(blocked / F.nullif(F.sum("__rows"), F.lit(0.0))).first()[0] or 0.0
     suffixes = cut(
-        rows.groupBy("__suffix").agg(
-            ((F.sum("label") + 10 * F.lit(rate)) / (F.count("*") + 10)).alias("suffix_rate"),
-            F.log1p(F.count("*").cast("double")).alias("suffix_seen"),
+        counted.groupBy(suffix_of(host_of(F.col("__of"))).alias("__suffix")).agg(
+            ((blocked + 10 * F.lit(rate)) / (F.sum("__rows") + 10)).alias("suffix_rate"),
+            F.log1p(F.sum("__rows")).alias("suffix_seen"),
         )
     )
     model = UrlModel(None, suffixes, rate)
     if 0.0 < rate < 1.0:
+        rows = counted.orderBy(F.xxhash64("__of"), "__of", "label").limit(max_rows)
+        rows = cut(lexical(rows, "__of"))
         seen = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(
             model.with_suffixes(rows)
         )
         boosted = GBTClassifier(
-            featuresCol="__features", labelCol="label", maxIter=trees, maxDepth=depth,
+            featuresCol="__features", labelCol="label", weightCol="__rows", maxIter=trees, maxDepth=depth,
             stepSize=0.2, minInstancesPerNode=20, seed=7,
         )
         boosted.setPredictionCol("__prediction").setRawPredictionCol("__raw")
         boosted.setProbabilityCol("__probability")
-        model.model = boosted.fit(seen.select("__features", "label").repartition(4))
+        model.model = boosted.fit(seen.select("__features", "label", "__rows").repartition(4))
     return model
 
 

@@ -108,6 +108,18 @@ def test_trees_learn_from_labelled_urls(spark):
     assert right >= 0.95 * 400
 
 
+def test_suffixes_count_all_rows_and_repeats_do_not_fill_the_sample(spark):
+    rows = labelled(spark, 300).select("url", "block")
+    least = rows.where("block = 1").selectExpr("min_by(url, xxhash64(url))").first()[0]
+    repeated = spark.createDataFrame([(least, 1.0)] * 400, "url string, block double")
+    model = url_filter.train(rows.union(repeated), trees=2, depth=2, max_rows=100)
+    seen = {r["__suffix"]: (r.suffix_rate, r.suffix_seen) for r in model.suffixes.collect()}
+    rate = 520 / 700
+    assert math.isclose(model.rate, rate) and model.model is not None
+    assert math.isclose(seen["biz"][0], (520 + 10 * rate) / 530)
+    assert math.isclose(seen["biz"][1], math.log1p(520)) and math.isclose(seen["org"][1], math.log1p(180))
+
+
 def test_rules_hosts_and_paths(spark):
     one = spark.createDataFrame([("http://a.org", 0.0)], "url string, block double")
     model = url_filter.train(one)  # labels of one kind only
