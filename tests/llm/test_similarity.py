@@ -203,6 +203,28 @@ def test_a_passage_twice_in_one_document(spark):
     assert any(i == later and b - a == 60 for i, a, b in spans)
 
 
+@pytest.mark.parametrize("size, percent", [(50, 10), (50, 15), (50, 18), (60, 15), (80, 15)])
+def test_edited_passages_make_chains(size, percent):
+    rng = np.random.default_rng(size + percent)
+    made, trials = 0, 200
+    for _ in range(trials):
+        some = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+        passage = some(size)
+        changed = passage.copy()
+        changed[rng.choice(size, size * percent // 100, replace=False)] = some(size * percent // 100)
+        places = defaultdict(list)
+        for k, y in zip(*(x.tolist() for x in passage_dedup.seeds_of(np.r_[some(40), passage, some(40)]))):
+            places[k].append(y)
+        other = passage_dedup.seeds_of(np.r_[some(70), changed, some(10)])
+        matches = [(x, y) for k, x in zip(*(a.tolist() for a in other)) for y in places[k]]
+        made += any(
+            len(c) > 1 and c[-1][0] + passage_dedup.KMER - c[0][0] >= passage_dedup.LEAST_CHAIN
+            for c in passage_dedup.chains(matches)
+        )
+    print(size, percent, made / trials)
+    assert made >= 0.9 * trials
+
+
 def test_chains_against_plain_dynamic_programming():
     rng = random.Random(2)
     for _ in range(60):
