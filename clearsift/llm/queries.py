@@ -4,15 +4,19 @@ from pyspark.sql import functions as F
 
 from clearsift.llm import (
     decontamination,
+    fill_in_middle,
     html_extraction,
     jaccard_join,
     language_id,
+    lexical_search,
     packing,
     passage_dedup,
     quality_rules,
     sharding,
     url_filter,
+    vector_join,
 )
+from clearsift.functions.scale import with_fields
 from clearsift.plans.registry import query
 
 
@@ -235,3 +239,125 @@ def op3_collinear_chaining(spark, folder):
         F.col("id").alias("doc_id"), "start", "end", (F.col("end") - F.col("start")).alias("n_words"),
         F.col("source_id").alias("source_doc_id"), "source_start", "source_end", "identity",
     )
+
+
+@query(
+    "op11_voronoi_knn_join",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), part AS (
+      SELECT vec_id, i, e[i] AS x FROM v, unnest(range(1, len(e) + 1)) t(i)
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+      FROM part q JOIN part c ON q.i = c.i AND q.vec_id <> c.vec_id
+      WHERE q.vec_id % 50 = 0
+      GROUP BY ALL
+    )
+    SELECT query_id,
+      row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+      vec_id, score
+    FROM scored
+    QUALIFY rank <= 5
+    """,
+)
+def op11_voronoi_knn_join(spark, folder):
+    """The five best rows of every query row, by integer inner product."""
+    vectors = vector_join.scaled(table(spark, folder, "embeddings"))
+    queries = vectors.where(F.col("id") % 50 == 0)
+    found = vector_join.top_k_join(queries, vectors, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query(
+    "op12_skip_list_fill_in_middle",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+        sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digest
+      FROM documents
+    ), h AS (
+      SELECT *, len(lines) AS n,
+        ('0x' || digest[1:8])::BIGINT % (len(lines) + 1) AS c1,
+        ('0x' || digest[9:16])::BIGINT % (len(lines) + 1) AS c2,
+        ('0x' || digest[17:24])::BIGINT % 100 AS h3, ('0x' || digest[25:32])::BIGINT % 100 AS h4
+      FROM d
+    ), cut AS (
+      SELECT *, array_to_string(lines[1:least(c1, c2)], '') AS prefix,
+        array_to_string(lines[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+        array_to_string(lines[greatest(c1, c2) + 1:], '') AS suffix,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+          OR contains(text, '<M>') OR h3 >= 100 THEN 'plain'
+          WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form
+      FROM h
+    )
+    SELECT doc_id, n, form,
+      CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END)
+        AS restored_sha256
+    FROM cut
+    """,
+)
+def op12_skip_list_fill_in_middle(spark, folder):
+    """Every document's form, cuts, output and the text rebuilt from the output."""
+    done = fill_in_middle.transform(table(spark, folder, "documents"))
+    restored = fill_in_middle.restore(F.col("fim_output"), F.col("fim_form"))
+    done = with_fields(done, F.sha2("fim_output", 256).alias("__o"), F.sha2(restored, 256).alias("__r"))
+    return done.select(
+        "doc_id", F.col("fim_lines").alias("n"), F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        F.col("__o").alias("output_sha256"), F.col("__r").alias("restored_sha256"),
+    )
+
+
+@query(
+    "op13_automaton_ranked_search",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM documents
+    ), b AS (
+      SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM benchmark
+    ), wanted AS (
+      SELECT item_id, term, count(*) AS times FROM b, unnest(words) t(term) GROUP BY ALL
+    ), size AS (
+      SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM d
+    ), tf AS (
+      SELECT r, term, count(*) AS tf FROM d, unnest(words) t(term)
+      WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+    ), weights AS (
+      SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM tf, size GROUP BY term, n_docs
+    ), scored AS (
+      SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) //
+        (1000 * tf + 8 * (100 - 75 + (75 * len(words) * n_docs) // n_terms))))::BIGINT AS score
+      FROM tf JOIN d USING (r) JOIN weights USING (term) JOIN wanted USING (term), size
+      GROUP BY ALL
+    )
+    SELECT item_id,
+      row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+      doc_id, score
+    FROM scored WHERE score > 0
+    QUALIFY rank <= 10
+    """,
+)
+def op13_automaton_ranked_search(spark, folder):
+    """The ten best documents of every benchmark item."""
+    found = lexical_search.search(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10
+    )
+    return found.select("item_id", "rank", "doc_id", "score")
