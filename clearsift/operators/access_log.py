@@ -7,18 +7,6 @@ from clearsift import constants as C
 from clearsift.functions.access import masked_query, null_as_open
 from clearsift.functions.scale import broadcast_if_small, top_k
 
-RECORD_COLUMNS = [
-    "ts",
-    "persona",
-    "department",
-    "clearance",
-    "query",
-    "clause_code",
-    "resource_kind",
-    "resource_id",
-    "allowed",
-    "session_id",
-]
 CATALOGUE_COLUMNS = [
     "document_id",
     "title",

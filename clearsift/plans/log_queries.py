@@ -8,7 +8,7 @@ from clearsift.operators import audits, entitlements, logs, retrieval, syslog
 from clearsift.plans import corpus
 from clearsift.plans.registry import ints, query
 from clearsift.plans.sql import vis, with_
-from clearsift.sources import readers
+from clearsift.sources import files, readers
 from clearsift.streaming import access as access_stream
 from clearsift.streaming import logs as log_stream
 
@@ -311,7 +311,7 @@ def stream_log_load(spark, folder):
 
 
 def _loaded(spark, out):
-    loaded = spark.read.schema(log_stream.EVENT_SCHEMA).parquet(f"{out}/events")
+    loaded = log_stream.events(spark, out)
     day = F.regexp_extract("file", r"file=([^/]+)/", 1)
     return loaded.groupBy(day.alias("file"), "event_type").agg(F.count("*").alias("n"))
 
@@ -336,6 +336,25 @@ def stream_restart(spark, folder):
     return _loaded(spark, out)
 
 
+@query(
+    "stream_cleared_checkpoint",
+    with_("parsed", "refused")
+    + "SELECT file, event_type, count(*) AS n FROM parsed WHERE ts IS NOT NULL AND file NOT IN (SELECT file FROM refused)"
+    " GROUP BY ALL",
+)
+def stream_cleared_checkpoint(spark, folder):
+    """Half of the days, then a cleared checkpoint at the same path and all of
+    them: what was stored stays, and nothing is stored twice."""
+    source = _line_files(spark, folder)
+    out, state = scratch_path(spark, "events"), scratch_path(spark, "state")
+    hosts = corpus.hosts(spark, folder)
+    for days in ("[0-2][0-9]", "*"):
+        lines = readers.stream_syslog(spark, f"{source}/file=*-{days}")
+        log_stream.load_logs(lines, hosts, corpus.YEAR, out, state).awaitTermination()
+        files.remove(spark, state)
+    return _loaded(spark, out)
+
+
 @query(
     "stream_deduplicated",
     with_("parsed")

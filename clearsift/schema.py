@@ -67,6 +67,7 @@ ACCESS_RECORDS = _struct(
     ("allowed", T.BooleanType(), False),
     ("session_id", T.StringType(), True),
 )
+RECORD_COLUMNS = ACCESS_RECORDS.names
 DOC_TYPES = ("pdf", "docx", "md")
 ROLES = ("member", "auditor", "developer")
 RESOURCE_KINDS = ("chunk", "log_event")

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from clearsift.functions.access import open_as_null
 from clearsift.functions.scale import broadcast_if_small, cut
-from clearsift.operators.access_log import RECORD_COLUMNS
-from clearsift.schema import DOC_TYPES
+from clearsift.schema import DOC_TYPES, RECORD_COLUMNS
 
 
 class CountMismatch(Exception):

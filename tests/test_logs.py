@@ -1,4 +1,6 @@
 import datetime as dt
+import shutil
+import time
 
 import pytest
 
@@ -8,6 +10,7 @@ from clearsift.operators.access_log import daily_quota
 from clearsift.operators.syslog import parse_syslog
 from clearsift.streaming import access as access_stream
 from clearsift.streaming import logs as log_stream
+from clearsift.streaming.ledger import Fenced
 from clearsift.sources import readers
 
 BASE = dt.datetime(2026, 9, 1)
@@ -124,13 +127,76 @@ def test_stream_refuses_files_and_ignores_redelivery(spark, hosts, tmp_path):
     def run():
         stream = readers.stream_syslog(spark, str(source), files_per_batch=1)
         log_stream.load_logs(stream, hosts, 2026, out, str(tmp_path / "state")).awaitTermination()
-        return spark.read.schema(log_stream.EVENT_SCHEMA).parquet(f"{out}/events").count()
+        return log_stream.events(spark, out).count()
 
     assert run() == 2
     (source / "late.log").write_text("Sep  1 10:00:00 open app: one\nSep  2 10:00:00 open app: new\n")
     assert run() == 3
-    refused = spark.read.schema("file string, value string").parquet(f"{out}/refused")
+    refused = log_stream.refused(spark, out)
     assert {r.value[-4:] for r in refused.collect()} == {"hree", "four"}
+    assert {r.file[-8:]: r.inserted for r in log_stream.reports(spark, out).collect()} == {
+        "n/ok.log": 2, "/bad.log": 0, "late.log": 1,
+    }
+
+
+def _write(folder, name, *lines):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(f"Sep  {day} 10:00:00 open app: {text}\n" for day, text in lines))
+
+
+def _load(spark, hosts, tmp_path, state="state"):
+    stream = readers.stream_syslog(spark, str(tmp_path / "in"), files_per_batch=1)
+    log_stream.load_logs(stream, hosts, 2026, str(tmp_path / "out"), str(tmp_path / state)).awaitTermination()
+    return sorted(r.raw[-3:] for r in log_stream.events(spark, str(tmp_path / "out")).collect())
+
+
+def test_cleared_checkpoint_keeps_and_adds(spark, hosts, tmp_path):
+    _write(tmp_path / "in", "a.log", (1, "one"), (2, "two"))
+    assert _load(spark, hosts, tmp_path) == ["one", "two"]
+    shutil.rmtree(tmp_path / "state")
+    (tmp_path / "in" / "a.log").rename(tmp_path / "a.log")
+    _write(tmp_path / "in", "b.log", (1, "new"), (2, "two"))
+    assert _load(spark, hosts, tmp_path) == ["new", "one", "two"]
+    shutil.rmtree(tmp_path / "state")
+    (tmp_path / "a.log").rename(tmp_path / "in" / "a.log")
+    assert _load(spark, hosts, tmp_path) == ["new", "one", "two"]
+    assert _load(spark, hosts, tmp_path, "other") == ["new", "one", "two"]
+
+
+def test_failed_and_repeated_attempts_show_once(spark, hosts, tmp_path, monkeypatch):
+    _write(tmp_path / "in", "a.log", (1, "one"))
+
+    def fails(*args):
+        raise RuntimeError("lost before the commit")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(log_stream.Ledger, "commit", fails)
+        with pytest.raises(Exception, match="lost before the commit"):
+            _load(spark, hosts, tmp_path)
+    assert log_stream.events(spark, str(tmp_path / "out")).count() == 0
+    assert _load(spark, hosts, tmp_path) == ["one"]
+    commits = tmp_path / "state" / "commits"  # Spark did not see the batch end
+    for file in commits.iterdir():
+        file.unlink()
+    assert _load(spark, hosts, tmp_path) == ["one"]
+
+
+def test_ledger_refuses_what_does_not_belong(spark, hosts, tmp_path):
+    _write(tmp_path / "in", "a.log", (1, "one"))
+    assert _load(spark, hosts, tmp_path) == ["one"]
+    out = str(tmp_path / "out")
+    ledger = log_stream.Ledger(spark, out)
+    writer = log_stream.writer_of(spark, str(tmp_path / "state"))
+    assert ledger.find(writer, 0)["batch"] == 0
+    with pytest.raises(Fenced, match="other lines"):
+        ledger.done(writer, 0, "1:2:3")
+    with pytest.raises(Fenced, match="follows none"):
+        ledger.done(writer, 2, "1:2:3")
+    epoch = ledger.take_over()
+    ledger.take_over()
+    with pytest.raises(Fenced, match="taken over"):
+        ledger.commit(epoch, writer, 1, "x", "y")
+    assert log_stream.events(spark, out).count() == 1
 
 
 def test_quota_batch_and_stream(spark, tmp_path):
@@ -176,3 +242,31 @@ def test_late_requests_are_answered(spark, tmp_path):
         )
     got = {r.request_id: (r.allowed, r.remaining) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (False, 0), 5: (True, 0), 6: (False, 0)}
+
+
+def test_state_of_idle_users_goes(spark, tmp_path):
+    """Users that stay away lose their state, those that ask keep it."""
+    source = str(tmp_path / "in")
+
+    def ask(number, user):
+        part = spark.createDataFrame([(number, user, BASE)], "request_id long, user string, ts timestamp")
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        query = (
+            access_stream.daily_quota(
+                stream, spark.createDataFrame([], "user string"), 2, idle=dt.timedelta(seconds=8)
+            )
+            .writeStream.option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(availableNow=True)
+            .start(str(tmp_path / "out"), format="parquet")
+        )
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert ask(1, "u") == 1
+    time.sleep(9)
+    assert ask(2, "v") == 1  # "u" is gone
+    assert ask(3, "v") == 1
+    ask(4, "u")
+    got = {r.request_id: r.remaining for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 1}
