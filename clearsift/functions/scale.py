@@ -4,26 +4,32 @@ balanced small inputs, lineage cuts and two-stage top-k."""
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SMALL_ROWS = 200_000
-SMALL_BYTES = 256 << 20
+SMALL_BYTES = 64 << 20
 
 
-def fits(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows of SMALL_BYTES together;
-    reads no further than those rows."""
-    width = F.octet_length(F.to_json(F.struct("*")))
-    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
-    return rows <= max_rows and (size or 0) <= SMALL_BYTES
+def collected(df: DataFrame, max_rows: int = SMALL_ROWS):
+    """``df`` as an Arrow table if it has at most ``max_rows`` rows of
+    SMALL_BYTES together, else None; one job that hands over no more rows."""
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows and table.nbytes <= SMALL_BYTES else None
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast only behind a check; beyond it the join shuffles and
-    adaptive execution splits skewed partitions."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+    """A small ``df`` as a local table with a broadcast hint; beyond the bounds
+    it is left as it is, the join shuffles and adaptive execution splits skewed
+    partitions."""
+    table = collected(df, max_rows)
+    return df if table is None else F.broadcast(local(df.sparkSession, table, df.schema))
+
+
+def local(spark: SparkSession, table, schema) -> DataFrame:
+    """An Arrow table on the driver as rows of a plan."""
+    return spark.createDataFrame(table, schema) if table.num_rows else spark.createDataFrame([], schema)
 
 
 def hinted(df: DataFrame, rows: int | None) -> DataFrame:
@@ -32,8 +38,13 @@ def hinted(df: DataFrame, rows: int | None) -> DataFrame:
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Compute a costly small result once, then broadcast it if it is small."""
-    return broadcast_if_small(cut(df), max_rows)
+    """Compute a costly result once, then broadcast it if it is small.  Its rows
+    and bytes are observed while it is written."""
+    seen = Observation()
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), size.alias("size")))
+    small = seen.get["rows"] <= max_rows and (seen.get["size"] or 0) <= SMALL_BYTES
+    return F.broadcast(kept) if small else kept
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:

@@ -1,7 +1,7 @@
 """Leak audits over result tables: each returns rows that show a leak, or the
 figures that would."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
@@ -57,25 +57,39 @@ def order_conflicts(hits: DataFrame) -> DataFrame:
     return inversions.join(unstable, "query_id")
 
 
-def candidate_counts(scored: DataFrame, permissions: DataFrame, principals: DataFrame) -> DataFrame:
-    """Per class: chunks handed to the scorer against chunks the rule allows.
-
-    ``scored`` has one ``class_keys`` array per candidate chunk; the allowed
-    count uses the predicate form of the rule on permission signatures.
-    """
-    given = (
-        scored.groupBy("class_keys")
-        .agg(F.count("*").alias("n"))
-        .select("n", F.explode("class_keys").alias("class_key"))
-        .groupBy("class_key")
-        .agg(F.sum("n").alias("scored"))
-    )
-    allowed = allowed_counts(permissions, principal_classes(principals))
-    return allowed.join(given, "class_key", "full").select(
-        "class_key",
-        F.coalesce("scored", F.lit(0)).alias("scored"),
-        F.coalesce("allowed", F.lit(0)).alias("allowed"),
-    )
+class Candidates:
+    """Chunks that the scorer of a search is given for each class, counted in the
+    plan of that search: where its rows enter the scorer, not beside it."""
+
+    MOST_CLASSES = 500
+
+    def __init__(self):
+        self.seen, self.keys = Observation(), None
+
+    def observe(self, seen: DataFrame, class_keys: list[str] | None) -> DataFrame:
+        """``seen`` (with ``class_keys``), counted as it is read."""
+        if class_keys is None or len(class_keys) > self.MOST_CLASSES:
+            raise ValueError(f"candidates are counted for {self.MOST_CLASSES} classes at most")
+        self.keys = class_keys
+        held = [F.count_if(F.array_contains("class_keys", key)) for key in class_keys]
+        metrics = [n.alias(f"c{i}") for i, n in enumerate(held)]
+        return seen.observe(self.seen, F.count(F.lit(1)).alias("rows"), *metrics)
+
+    def compared(self, permissions: DataFrame, principals: DataFrame) -> DataFrame:
+        """Per class: chunks handed to the scorer against chunks the rule allows,
+        by the predicate form of the rule on permission signatures.  The search
+        must have run."""
+        found = self.seen.get
+        given = permissions.sparkSession.createDataFrame(
+            [(key, found[f"c{i}"]) for i, key in enumerate(self.keys)],
+            "class_key string, scored long",
+        )
+        allowed = allowed_counts(permissions, principal_classes(principals))
+        return allowed.join(given, "class_key", "full").select(
+            "class_key",
+            F.coalesce("scored", F.lit(0)).alias("scored"),
+            F.coalesce("allowed", F.lit(0)).alias("allowed"),
+        )
 
 
 def allowed_counts(permissions: DataFrame, classes: DataFrame) -> DataFrame:

@@ -64,12 +64,13 @@ def with_class_sets(
     ``permissions`` may name a cheaper table holding the same permission
     columns, so that computed rows are not evaluated twice.
     """
-    sets = class_sets(rows if permissions is None else permissions, classes)
-    return (
-        rows.withColumn("access_keys", access_keys("allowed_departments"))
-        .join(settle(sets), ["required_clearance", "access_keys"])
-        .drop("access_keys")
-    )
+    return with_sets(rows, settle(class_sets(rows if permissions is None else permissions, classes)))
+
+
+def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Attach the ``class_keys`` of class sets that are there already."""
+    keyed = rows.withColumn("access_keys", access_keys("allowed_departments"))
+    return keyed.join(sets, ["required_clearance", "access_keys"]).drop("access_keys")
 
 
 def visible_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:

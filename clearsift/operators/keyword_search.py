@@ -1,13 +1,27 @@
 """Prefix keyword search over an inverted table of lexemes."""
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
-from clearsift.functions.scale import broadcast_if_small, cut, settle, top_k
+from clearsift.functions.scale import (
+    broadcast_if_small, collected, cut, hinted, local, settle, top_k,
+)
 from clearsift.functions.text import indexed_text, lexemes, query_terms
-from clearsift.operators.entitlements import class_sets, principal_classes
-from clearsift.functions.access import access_keys
+from clearsift.operators.entitlements import with_sets
+from clearsift.operators.searches import Searches, searches_of
+from clearsift.operators.vector_search import SCORE_CELLS, Nearest, result_schema
+from clearsift.sources.inverted import InvertedTable
+
+# Terms of all queries together that are sent to every task.
+ASKED_TERMS = 1_000_000
+# Pairs of a lexeme and a term that are sent to every task.
+MATCHED_ROWS = 1_000_000
+# Parts of scores that a task adds up at once.
+ADDED = 2_000_000
 
 
 def postings(chunks: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
@@ -31,12 +45,18 @@ def postings(chunks: DataFrame, pattern: str = C.LEXEME) -> DataFrame:
     return counted.withColumn("weight", weight)
 
 
+def asked_terms(pattern: str = C.HANGUL_ASCII_TERM) -> Column:
+    """The distinct terms of a query, as the column ``terms``."""
+    return query_terms("query", pattern).alias("terms")
+
+
 def request_terms(queries: DataFrame, pattern: str = C.HANGUL_ASCII_TERM) -> DataFrame:
     """(query_id, term, n_terms), one row per distinct term of each query."""
-    return (
-        queries.select("query_id", query_terms("query", pattern).alias("terms"))
-        .select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    )
+    return _one_row_each(queries.select("query_id", asked_terms(pattern)))
+
+
+def _one_row_each(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
 def vocabulary(posting: DataFrame) -> DataFrame:
@@ -45,19 +65,20 @@ def vocabulary(posting: DataFrame) -> DataFrame:
 
 
 def matched_lexemes(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lexeme, term) for every lexeme that some asked term begins.
+    """The columns of ``words`` with each of the distinct ``terms`` (or the number
+    that stands beside it) that the lexeme begins with.
 
     Both have two characters at least, so their first two are the join key and
     the rest of the test a filter.
     """
     head = lambda c: F.substring(c, 1, 2).alias("head")
-    asked = terms.select("term").distinct().select("term", head("term"))
+    more = [c for c in terms.columns if c != "term"]
     return (
         words.where(F.length("lexeme") >= 2)
-        .select("lexeme", head("lexeme"))
-        .join(asked, "head")
+        .select(*words.columns, head("lexeme"))
+        .join(terms.select("*", head("term")), "head")
         .where(F.startswith("lexeme", "term"))
-        .select("lexeme", "term")
+        .select(*words.columns, "term" if not more else more[0])
     )
 
 
@@ -71,7 +92,11 @@ def keyword_scores(
     come in, so a term many queries share is matched once.  Only matched words
     are shuffled, by chunk, and both sums then stay where they are.
     """
-    pairs = settle(matched_lexemes(vocabulary(posting) if words is None else words, terms))
+    pairs = settle(
+        matched_lexemes(
+            vocabulary(posting) if words is None else words, terms.select("term").distinct()
+        )
+    )
     held = (
         posting.join(pairs, "lexeme")
         .select("chunk_id", "term", "weight")
@@ -87,7 +112,7 @@ def keyword_scores(
 
 
 def search_keyword(
-    posting: DataFrame,
+    posting: DataFrame | InvertedTable,
     chunks: DataFrame,
     requests: DataFrame,
     queries: DataFrame,
@@ -95,38 +120,147 @@ def search_keyword(
     permissions: DataFrame | None = None,
     pattern: str = C.HANGUL_ASCII_TERM,
     words: DataFrame | None = None,
-) -> DataFrame:
-    """Best ``k`` visible chunks per distinct (query, class) by term score.
+    searches: Searches | None = None,
+) -> tuple[DataFrame, int | None]:
+    """Best ``k`` visible chunks per distinct (query, class) by term score, and a
+    bound on their number when one is known.
 
-    ``chunks`` supplies chunk_id and the permission columns, ``queries`` the
-    query_id and text.  Queries without a
+    ``posting`` is an inverted table, stored or not; of a stored one only the
+    files with a matched lexeme are opened.  ``chunks`` supplies chunk_id and the
+    permission columns, ``queries`` the query_id and text.  Queries without a
     term of two characters match nothing.
+
+    The matched words of a chunk meet in one row, and tasks add up its scores for
+    all queries at once and keep only the best rows of each search.  Beyond the
+    bounds of broadcast searches, scores are added by joins; both ways give the
+    same answer.
     """
-    scores = keyword_scores(posting, cut(request_terms(queries, pattern)), words)
-    sets = class_sets(chunks if permissions is None else permissions, principal_classes(requests))
-    keyed = chunks.select(
-        "chunk_id", "required_clearance", access_keys("allowed_departments").alias("access_keys")
-    ).join(settle(sets), ["required_clearance", "access_keys"])
-    searches = settle(
-        requests.groupBy("query_id").agg(F.collect_set("class_key").alias("asking_classes"))
-    )
-    # Scores already lie by chunk, so only the narrow permissions are shuffled.
-    visible_scores = (
-        scores.join(keyed.select("chunk_id", "class_keys"), "chunk_id")
-        .join(searches, "query_id")
+    if searches is None:
+        permissions = chunks if permissions is None else permissions
+        searches = searches_of(requests, queries, k, permissions, asked_terms(pattern))
+    keyed = with_sets(
+        chunks.select("chunk_id", "required_clearance", "allowed_departments"), searches.sets
+    ).select("chunk_id", "class_keys")
+    stored = isinstance(posting, InvertedTable)
+    if words is None:
+        words = posting.dictionary.select("lexeme", "file") if stored else vocabulary(posting)
+    terms = None if searches.table is None else _asked_terms(searches)
+    if terms is None:
+        best = _joined_scores(posting.all() if stored else posting, keyed, searches)
+    else:
+        numbers = pa.table({"term": terms.terms, "no": pa.array(range(len(terms.terms)), "int32")})
+        numbers = F.broadcast(local(requests.sparkSession, numbers, "term string, no int"))
+        pairs, files = _matched(matched_lexemes(words, numbers), stored)
+        held = posting.read(files) if stored else posting
+        found = (
+            held.join(pairs, "lexeme")
+            .select("chunk_id", "no", "weight")
+            .repartition("chunk_id")
+            .groupBy("chunk_id", "no")
+            .agg(F.sum("weight").alias("weight"))
+            .groupBy("chunk_id")
+            .agg(F.collect_list(F.struct("no", "weight")).alias("words"))
+        )
+        schema = result_schema(queries, chunks)
+        rows = found.join(keyed, "chunk_id").select("chunk_id", "class_keys", "words")
+        asked = searches.table.select(["query_id", "class_keys"])
+        best = rows.mapInArrow(_adder(asked, terms, k, schema), schema)
+    order = [F.col("distance"), F.col("chunk_id")]
+    ranked = top_k(best, ["query_id", "class_key"], order, k)
+    ranked = ranked.withColumn("score", -F.col("distance")).drop("distance")
+    return ranked, searches.bound(k)
+
+
+class _Terms:
+    """For each distinct term the queries that ask it, and what a unit of its
+    weight adds to their scores."""
+
+    def __init__(self, asking: dict):
+        self.terms = sorted(asking)
+        pairs = [pair for term in self.terms for pair in asking[term]]
+        self.edges = np.cumsum([0, *(len(asking[term]) for term in self.terms)])
+        self.queries = np.array([q for q, _ in pairs], dtype=np.int64)
+        self.parts = np.array([p for _, p in pairs], dtype=np.float64)
+
+
+def _asked_terms(searches: Searches) -> _Terms | None:
+    """Terms of all queries; None if they are too many to broadcast."""
+    lists = searches.table["terms"].combine_chunks()
+    if len(lists.flatten()) > ASKED_TERMS:
+        return None
+    asking = {}
+    for place, terms in enumerate(lists.to_pylist()):
+        for term in terms:
+            asking.setdefault(term, []).append((place, 1.0 / len(terms)))
+    return _Terms(asking)
+
+
+def _matched(pairs: DataFrame, stored: bool):
+    """Matched lexemes with the numbers of their terms, computed once, and the
+    files that hold them."""
+    table, keys = collected(pairs, MATCHED_ROWS), ["lexeme", "no"]
+    if table is not None:
+        files = pc.unique(table["file"]).to_pylist() if stored else []
+        few = table.group_by(keys).aggregate([]) if table.num_rows else table.select(keys)
+        return F.broadcast(local(pairs.sparkSession, few, pairs.select(keys).schema)), files
+    pairs = cut(pairs)
+    files = [r.file for r in pairs.select("file").distinct().collect()] if stored else []
+    return pairs.select(keys).distinct(), files
+
+
+def _adder(searches: pa.Table, terms: _Terms, k: int, schema):
+    """Adds up the scores of chunks with their matched words."""
+
+    def add(batches):
+        best = Nearest(searches, k)
+        many = len(best.query_ids)
+        for batch in batches:
+            lists = batch.column("words")
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            numbers = flat.field("no").to_numpy().astype(np.int64)
+            weights = flat.field("weight").to_numpy()
+            spans = terms.edges[numbers + 1] - terms.edges[numbers]
+            ends = np.cumsum(sizes)
+            added = np.r_[0, np.cumsum(spans)][ends]
+            at = 0
+            while at < batch.num_rows:
+                floor = added[at - 1] if at else 0
+                stop = int(np.searchsorted(added, floor + ADDED, "right"))
+                stop = min(max(stop, at + 1), at + max(1, SCORE_CELLS // max(many, 1)))
+                low, high = ends[at] - sizes[at], ends[stop - 1]
+                span, number = spans[low:high], numbers[low:high]
+                chunk = np.repeat(np.repeat(np.arange(stop - at), sizes[at:stop]), span)
+                entry = np.arange(span.sum()) + np.repeat(terms.edges[number] - np.cumsum(span) + span, span)
+                cells = chunk * many + terms.queries[entry]
+                parts = np.repeat(weights[low:high], span) * terms.parts[entry]
+                scores = np.bincount(cells, parts, (stop - at) * many).reshape(stop - at, many)
+                ids = np.asarray(batch.column("chunk_id").slice(at, stop - at).to_pylist())
+                distances = np.where(scores > 0, -np.round(scores, 9), np.nan)
+                best.offer(ids, distances, batch.column("class_keys").slice(at, stop - at))
+                at = stop
+        yield from best.table(schema).to_batches()
+
+    return add
+
+
+def _joined_scores(posting: DataFrame, keyed: DataFrame, searches: Searches) -> DataFrame:
+    """The same scores by joins, one row per (search, chunk) it matches."""
+    scores = keyword_scores(posting, cut(_one_row_each(searches.queries)))
+    asking = searches.queries.select("query_id", F.col("class_keys").alias("asking_classes"))
+    return (
+        scores.join(keyed, "chunk_id")
+        .join(settle(asking), "query_id")
         .select(
             "query_id",
             "chunk_id",
-            "score",
+            (-F.col("score")).alias("distance"),
             F.explode(F.array_intersect("class_keys", "asking_classes")).alias("class_key"),
         )
     )
-    order = [F.col("score").desc(), F.col("chunk_id")]
-    return top_k(visible_scores, ["query_id", "class_key"], order, k)
 
 
 def keyword_topk(
-    posting: DataFrame,
+    posting: DataFrame | InvertedTable,
     chunks: DataFrame,
     requests: DataFrame,
     queries: DataFrame,
@@ -135,9 +269,9 @@ def keyword_topk(
     pattern: str = C.HANGUL_ASCII_TERM,
 ) -> DataFrame:
     """As ``search_keyword``, handed back to every request."""
-    ranked = search_keyword(
+    ranked, bound = search_keyword(
         posting, chunks, requests, queries, k, permissions, pattern
     )
     return requests.select("request_id", "query_id", "class_key").join(
-        settle(ranked), ["query_id", "class_key"]
+        hinted(ranked, bound), ["query_id", "class_key"]
     ).select("request_id", "rank", "chunk_id", "score")

@@ -5,17 +5,19 @@ from pyspark.sql import functions as F
 
 from clearsift import constants as C
 from clearsift.functions.access import clamp
-from clearsift.functions.scale import cut, settle
+from clearsift.functions.scale import cut, hinted
 from clearsift.functions.text import neutralize, wrapped
 from clearsift.operators.entitlements import enforce, hydrate
 from clearsift.operators.fusion import rrf
-from clearsift.operators.keyword_search import search_keyword
+from clearsift.operators.keyword_search import asked_terms, search_keyword
+from clearsift.operators.searches import searches_of
 from clearsift.operators.vector_search import search_topk
+from clearsift.sources.inverted import InvertedTable
 
 
 def hybrid_search(
     chunks: DataFrame,
-    posting: DataFrame,
+    posting: DataFrame | InvertedTable,
     requests: DataFrame,
     queries: DataFrame,
     k: int = C.DEFAULT_K,
@@ -29,10 +31,10 @@ def hybrid_search(
     """
     k = max(1, min(k, C.MAX_K))
     candidates = k * C.CANDIDATE_MULTIPLIER
-    nearest, _ = search_topk(chunks, requests, queries, candidates, permissions)
-    worded = search_keyword(
-        posting, chunks, requests, queries, candidates, permissions
-    )
+    permissions = chunks if permissions is None else permissions
+    searches = searches_of(requests, queries, candidates, permissions, asked_terms(), "vector")
+    nearest, _ = search_topk(chunks, requests, queries, candidates, searches=searches)
+    worded, _ = search_keyword(posting, chunks, requests, queries, candidates, searches=searches)
     columns = ["query_id", "class_key", "chunk_id", (F.col("rank") - 1).alias("pos")]
     lists = nearest.select(*columns, F.lit(0).alias("list_no")).unionByName(
         worded.select(*columns, F.lit(1).alias("list_no"))
@@ -41,7 +43,7 @@ def hybrid_search(
         F.col("rank") <= k
     )
     return requests.select("request_id", "query_id", "class_key").join(
-        settle(fused), ["query_id", "class_key"]
+        hinted(fused, searches.bound(k)), ["query_id", "class_key"]
     ).select("request_id", "rank", "chunk_id", "score")
 
 
@@ -53,7 +55,7 @@ def asked_k(hits: DataFrame, requests: DataFrame) -> DataFrame:
 
 def policy_search(
     chunks: DataFrame,
-    posting: DataFrame,
+    posting: DataFrame | InvertedTable,
     documents: DataFrame,
     clauses: DataFrame,
     requests: DataFrame,

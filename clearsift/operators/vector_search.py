@@ -8,12 +8,14 @@ from pyspark.sql import types as T
 
 from clearsift.functions.access import visible
 from clearsift.functions.scale import hinted, settle, top_k
-from clearsift.operators.entitlements import principal_classes, with_class_sets
-
-# Requests are sent to every task only up to these bounds; beyond them chunks
-# and requests meet in a shuffled grid of bounded blocks.
-BROADCAST_QUERIES = 20_000
-BROADCAST_CELLS = 16_000_000
+from clearsift.operators.audits import Candidates
+from clearsift.operators.entitlements import with_sets
+from clearsift.operators.searches import (
+    BROADCAST_CELLS, BROADCAST_QUERIES, Searches, searches_of,
+)
+
+# Beyond the bounds of broadcast searches, chunks and searches meet in a shuffled
+# grid of bounded blocks.
 BLOCK_CHUNKS = 50_000
 BLOCK_QUERIES = 2_000
 # Distances computed at once, which bounds the memory of one task.
@@ -52,11 +54,20 @@ def search_topk(
     queries: DataFrame,
     k: int,
     permissions: DataFrame | None = None,
+    searches: Searches | None = None,
+    candidates: Candidates | None = None,
 ) -> tuple[DataFrame, int | None]:
     """As ``vector_topk`` but one result list per distinct (query, class), and
-    a bound on its rows when one is known."""
-    seen = with_class_sets(chunks, principal_classes(requests), permissions)
-    return _ranked(seen.select("chunk_id", "embedding", "class_keys"), requests, queries, k)
+    a bound on its rows when one is known.  ``searches`` may hand over searches
+    collected with their ``vector`` before; ``candidates`` counts, while the
+    search runs, what its scorer is given."""
+    if searches is None:
+        permissions = chunks if permissions is None else permissions
+        searches = searches_of(requests, queries, k, permissions, "vector")
+    seen = with_sets(chunks, searches.sets).select("chunk_id", "embedding", "class_keys")
+    if candidates is not None:
+        seen = candidates.observe(seen, searches.class_keys)
+    return _ranked(seen, searches, k), searches.bound(k)
 
 
 def naive_topk(
@@ -70,8 +81,9 @@ def naive_topk(
     everyone = chunks.select(
         "chunk_id", "embedding", F.array(F.lit(EVERYONE)).alias("class_keys")
     )
-    searches = requests.withColumn("class_key", F.lit(EVERYONE))
-    ranked = _ranked(everyone, searches, queries, k)[0].drop("class_key")
+    asked = requests.withColumn("class_key", F.lit(EVERYONE))
+    searches = searches_of(asked, queries, k, None, "vector")
+    ranked = _ranked(everyone, searches, k).drop("class_key")
     permitted = chunks.select("chunk_id", "required_clearance", "allowed_departments")
     held = settle(ranked).join(permitted, "chunk_id")
     return (
@@ -82,36 +94,34 @@ def naive_topk(
     )
 
 
-def _ranked(
-    seen: DataFrame, requests: DataFrame, queries: DataFrame, k: int
-) -> tuple[DataFrame, int | None]:
-    searches = (
-        requests.groupBy("query_id")
-        .agg(F.collect_set("class_key").alias("class_keys"))
-        .join(queries.select("query_id", "vector"), "query_id")
-    )
-    schema = T.StructType(
+def _ranked(seen: DataFrame, searches: Searches, k: int) -> DataFrame:
+    schema = result_schema(searches.queries, seen)
+    few = searches.table
+    if few is not None:
+        cells = len(few["vector"].combine_chunks().flatten())
+        few = few if few.num_rows <= BROADCAST_QUERIES and cells <= BROADCAST_CELLS else None
+    if few is not None:
+        local = seen.mapInArrow(_scanner(few, k, schema), schema)
+    else:
+        local = _grid(seen, searches.queries, k, schema)
+    order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
+    return top_k(local, ["query_id", "class_key"], order, k)
+
+
+def result_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
+    return T.StructType(
         [
-            T.StructField("query_id", requests.schema["query_id"].dataType),
+            T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("class_key", T.StringType()),
-            T.StructField("chunk_id", seen.schema["chunk_id"].dataType),
+            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    collected = searches.limit(BROADCAST_QUERIES + 1).toArrow()
-    cells = len(collected.column("vector").combine_chunks().flatten())
-    if collected.num_rows <= BROADCAST_QUERIES and cells <= BROADCAST_CELLS:
-        local = seen.mapInArrow(_scanner(collected, k, schema), schema)
-        bound = k * len(collected.column("class_keys").combine_chunks().flatten())
-    else:
-        local, bound = _grid(seen, searches, k, schema), None
-    order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
-    return top_k(local, ["query_id", "class_key"], order, k), bound
 
 
 def _scanner(searches: pa.Table, k: int, schema: T.StructType):
     def scan(batches):
-        nearest = _Nearest(searches, k)
+        nearest = _NearestVectors(searches, k)
         for batch in batches:
             nearest.add(
                 batch.column("chunk_id"), batch.column("embedding"), batch.column("class_keys")
@@ -141,7 +151,7 @@ def _grid(seen: DataFrame, searches: DataFrame, k: int, schema: T.StructType) ->
     keys = ["chunk_block", "query_block"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        nearest = _Nearest(right, k)
+        nearest = _NearestVectors(right, k)
         for batch in left.to_batches(max_chunksize=10_000):
             nearest.add(
                 batch.column("chunk_id"), batch.column("embedding"), batch.column("class_keys")
@@ -151,14 +161,12 @@ def _grid(seen: DataFrame, searches: DataFrame, k: int, schema: T.StructType) ->
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
-class _Nearest:
+class Nearest:
     """Running nearest chunks of a block of searches (k rows kept per search)."""
 
     def __init__(self, searches: pa.Table, k: int):
         self.k = k
         self.query_ids = searches.column("query_id").to_pylist()
-        self.matrix = _matrix(searches.column("vector").combine_chunks(), len(self.query_ids))
-        self.norms = np.linalg.norm(self.matrix, axis=1)
         asked = {}
         for number, classes in enumerate(searches.column("class_keys").to_pylist()):
             for key in classes:
@@ -166,22 +174,9 @@ class _Nearest:
         self.queries_of = {key: np.array(numbers) for key, numbers in asked.items()}
         self.best = {}
 
-    def add(self, ids, embeddings, class_keys):
-        if not self.query_ids:
-            return
-        step = max(1, SCORE_CELLS // len(self.query_ids))
-        for at in range(0, len(ids), step):
-            self._score(
-                ids.slice(at, step), embeddings.slice(at, step), class_keys.slice(at, step)
-            )
-
-    def _score(self, ids, embeddings, class_keys):
-        ids = np.asarray(ids.to_pylist())
-        vectors = _matrix(embeddings, len(ids), self.matrix.shape[1])
-        scale = np.linalg.norm(vectors, axis=1)[:, None] * self.norms[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distances = np.round(1.0 - (vectors @ self.matrix.T) / scale, DISTANCE_DECIMALS)
-        distances = np.where(scale == 0, np.inf, distances)
+    def offer(self, ids: np.ndarray, distances: np.ndarray, class_keys) -> None:
+        """Chunks with their distance to every query, where NaN is no result,
+        and the classes that may see them."""
         members = class_keys.flatten().dictionary_encode()
         codes = members.indices.to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(ids)), _lengths(class_keys))
@@ -202,6 +197,7 @@ class _Nearest:
         bound = np.full(many, np.inf)
         if len(ids) > self.k:
             bound = np.partition(distances, self.k - 1, axis=0)[self.k - 1]
+            bound = np.where(np.isnan(bound), np.inf, bound)
         if held is not None:
             numbers, far = held[0], held[1]
             last = np.flatnonzero(np.diff(numbers, append=many))
@@ -235,6 +231,32 @@ class _Nearest:
         )
 
 
+class _NearestVectors(Nearest):
+    """Nearest by cosine distance."""
+
+    def __init__(self, searches: pa.Table, k: int):
+        super().__init__(searches, k)
+        self.matrix = _matrix(searches.column("vector").combine_chunks(), len(self.query_ids))
+        self.norms = np.linalg.norm(self.matrix, axis=1)
+
+    def add(self, ids, embeddings, class_keys):
+        if not self.query_ids:
+            return
+        step = max(1, SCORE_CELLS // len(self.query_ids))
+        for at in range(0, len(ids), step):
+            self._score(
+                ids.slice(at, step), embeddings.slice(at, step), class_keys.slice(at, step)
+            )
+
+    def _score(self, ids, embeddings, class_keys):
+        ids = np.asarray(ids.to_pylist())
+        vectors = _matrix(embeddings, len(ids), self.matrix.shape[1])
+        scale = np.linalg.norm(vectors, axis=1)[:, None] * self.norms[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distances = np.round(1.0 - (vectors @ self.matrix.T) / scale, DISTANCE_DECIMALS)
+        self.offer(ids, np.where(scale == 0, np.inf, distances), class_keys)
+
+
 def _arrow_type(field: T.StructField) -> pa.DataType:
     types = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64()}
     return types.get(field.dataType, pa.string())

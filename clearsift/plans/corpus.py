@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearsift.functions.access import class_key
-from clearsift.functions.scale import broadcast_if_small, cut, spread
+from clearsift.functions.scale import broadcast_if_small, cut, scratch_path, spread
 from clearsift.operators.embedding import encode
 from clearsift.operators.keyword_search import postings
 from clearsift.operators.parsing import chunk_rows
+from clearsift.sources.inverted import InvertedTable, write_inverted
 
 # Department names of the source tables.
 DEPARTMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -162,6 +163,14 @@ def stored_postings(spark, folder) -> DataFrame:
     )
 
 
+def stored_index(spark, folder) -> InvertedTable:
+    """The inverted table as files with a dictionary, as a search finds it."""
+    text = spread(
+        text_chunks(spark, folder).select("chunk_id", "clause_code", "doc_title", "text"), "chunk_id"
+    )
+    return write_inverted(postings(text), scratch_path(spark, "inverted"))
+
+
 def vector_chunks(spark, folder) -> DataFrame:
     """The given embeddings as chunks of the documents, dealt by number: there
     may be more of them than documents."""

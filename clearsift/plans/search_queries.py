@@ -1,12 +1,15 @@
 """Registered queries: entitlements, retrieval, fusion and leak audits."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from clearsift.functions.access import access_keys
 from clearsift.functions.scale import broadcast_if_small, cut
 from clearsift.functions.text import chunk_windows
 from clearsift.operators import audits, entitlements, fusion, keyword_search, retrieval
-from clearsift.operators.vector_search import naive_topk, vector_topk
+from clearsift.operators.searches import searches_of
+from clearsift.operators.vector_search import naive_topk, search_topk, vector_topk
 from clearsift.plans import corpus
 from clearsift.plans.registry import ints, query
 from clearsift.plans.sql import MANY, customer, vis, with_
@@ -350,7 +353,7 @@ def _text_permissions(spark, folder):
 def keyword_topk(spark, folder):
     """Best fifty visible chunks per question by its words."""
     hits = keyword_search.keyword_topk(
-        corpus.stored_postings(spark, folder),
+        corpus.stored_index(spark, folder),
         _text_permissions(spark, folder),
         corpus.text_requests(spark, folder),
         corpus.text_queries(spark, folder),
@@ -437,7 +440,7 @@ def _hybrid(spark, folder, requests=None):
     requests = corpus.text_requests(spark, folder) if requests is None else requests
     return requests, retrieval.hybrid_search(
         corpus.stored_chunks(spark, folder),
-        corpus.stored_postings(spark, folder),
+        corpus.stored_index(spark, folder),
         requests,
         corpus.encoded_queries(spark, folder),
         K,
@@ -460,7 +463,7 @@ def _policy_hits(spark, folder):
     requests = corpus.text_requests(spark, folder)
     hits = retrieval.policy_search(
         corpus.stored_chunks(spark, folder),
-        corpus.stored_postings(spark, folder),
+        corpus.stored_index(spark, folder),
         corpus.documents(spark, folder),
         corpus.clauses(spark, folder),
         requests,
@@ -689,10 +692,41 @@ def planted_order_conflicts(spark, folder):
 )
 def candidate_counts(spark, folder):
     """Chunks handed to the scorer per class against chunks the rule allows."""
-    people = corpus.principals(spark, folder)
+    return _observed_candidates(spark, folder, lambda sets: sets)
+
+
+def _observed_candidates(spark, folder, change):
+    """The search of all topics, with its class sets changed, and what its scorer
+    was given."""
     chunks = corpus.vector_chunks(spark, folder)
-    scored = entitlements.with_class_sets(chunks, entitlements.principal_classes(people))
-    return audits.candidate_counts(scored, chunks, people)
+    requests, topics = corpus.topic_requests(spark, folder), corpus.topics(spark, folder)
+    found = searches_of(requests, topics, K, corpus.documents(spark, folder), "vector")
+    found = replace(found, sets=change(found.sets))
+    counted = audits.Candidates()
+    hits, _ = search_topk(chunks, requests, topics, K, searches=found, candidates=counted)
+    cut(hits)
+    return counted.compared(chunks, corpus.principals(spark, folder))
+
+
+@query(
+    "planted_candidate_leak",
+    with_("vchunks", "classes")
+    + "SELECT k.clearance || '|' || k.department AS class_key, count(*) FILTER (own OR leaked) AS scored,"
+    " count(*) FILTER (own) AS allowed FROM (SELECT k.*, "
+    + vis("c", "k")
+    + " AS own, k.clearance = 1 AND c.required_clearance = 3 AND EXISTS (SELECT 1 FROM classes h WHERE h.clearance = 3"
+    f" AND h.department = k.department AND {vis('c', 'h')}) AS leaked FROM vchunks c, classes k) k GROUP BY ALL",
+)
+def planted_candidate_leak(spark, folder):
+    """A scorer that is given chunks of the highest clearance for the lowest
+    classes too: the counts must show just those."""
+    keys = F.col("class_keys")
+    lowered = F.transform(
+        F.filter(keys, lambda k: k.startswith("3|")),
+        lambda k: F.concat(F.lit("1"), F.substring(k, 2, 1000)),
+    )
+    leaked = F.when(F.col("required_clearance") == 3, F.array_union(keys, lowered)).otherwise(keys)
+    return _observed_candidates(spark, folder, lambda sets: sets.withColumn("class_keys", leaked))
 
 
 @query(

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 import numpy as np
@@ -5,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearsift.functions import scale
-from clearsift.operators import audits, fusion, keyword_search, retrieval
+from clearsift.operators import audits, fusion, keyword_search, retrieval, searches
 from clearsift.operators import vector_search as V
 from clearsift.functions.access import class_key
+from clearsift.sources import inverted
 
 CHUNKS = (
     "chunk_id long, embedding array<float>, required_clearance int, allowed_departments array<string>"
@@ -227,3 +229,113 @@ def test_evidence_blocks(spark):
     blocks = dict(retrieval.evidence_blocks(hits, requests).collect())
     assert blocks[1] == "<규정>\n[1.1.1] ‹T›\nline1\nline2\n\n[조항 밖] T\nb\n</규정>"
     assert blocks[2] == "관련된 조항을 찾지 못했다."
+
+
+@pytest.fixture(scope="module")
+def worded(spark):
+    """Texts of a small vocabulary under mixed permissions, with questions."""
+    rng = random.Random(5)
+    words = [a + b for a in ("al", "be", "ga", "de", "zz") for b in ("", "pha", "ta", "mma", "x")]
+    rows = []
+    for n in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))
+        vector = [float(rng.randrange(-3, 4)) + 0.5 for _ in range(4)]
+        rows.append((n, n % 7, None, None, "t", text, vector, rng.randrange(1, 4), rng.choice([None, [], ["HR"], ["HR", "Dev"]])))
+    chunks = spark.createDataFrame(
+        rows,
+        "chunk_id long, document_id long, clause_id long, clause_code string, doc_title string, text string,"
+        " embedding array<float>, required_clearance int, allowed_departments array<string>",
+    ).cache()
+    texts = [(q, " ".join(rng.sample(words, 4)), [1.0, q + 1.0, -1.0, 0.5]) for q in range(9)] + [(9, "? a", [1.0, 0.0, 0.0, 1.0])]
+    queries = spark.createDataFrame(texts, "query_id long, query string, vector array<double>").cache()
+    asked = [(i, i % 10, ("HR", "Dev", "Ops")[i % 3], i % 3 + 1) for i in range(60)]
+    return chunks, queries, requests_of(spark, asked).cache()
+
+
+def test_stored_table_opens_only_files_with_matched_words(spark, worded, tmp_path):
+    chunks, queries, requests = worded
+    posting = keyword_search.postings(chunks)
+    expected = ranked_lists(keyword_search.keyword_topk(posting, chunks, requests, queries, 10))
+    table = inverted.write_inverted(posting, str(tmp_path / "index"), 6)
+    assert len(table.all().inputFiles()) > 3 and table.all().count() == posting.count()
+    assert ranked_lists(keyword_search.keyword_topk(table, chunks, requests, queries, 10)) == expected
+    few = queries.where("query_id < 0").union(spark.createDataFrame([(1, "zz zzx", [1.0] * 4)], queries.schema))
+    hits = keyword_search.keyword_topk(table, chunks, requests, few, 10)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    opened = {f for f in hits.inputFiles() if "/postings/" in f}
+    assert "FileScan parquet" in plan and 0 < len(opened) < len(table.all().inputFiles())
+    lists = ranked_lists(hits)
+    assert lists and lists == ranked_lists(keyword_search.keyword_topk(posting, chunks, requests, few, 10))
+    with pytest.raises(Exception, match="(?i)exist"):
+        inverted.write_inverted(posting, str(tmp_path / "index"))
+
+
+def test_scores_by_joins_equal_those_added_in_tasks(worded, monkeypatch):
+    chunks, queries, requests = worded
+    posting = keyword_search.postings(chunks)
+
+    def answers():
+        hits = keyword_search.keyword_topk(posting, chunks, requests, queries, 10).collect()
+        return sorted((r.request_id, r.rank, r.chunk_id, r.score) for r in hits)
+
+    expected = answers()
+    assert len(expected) > 300 and 9 not in {r % 10 for r, *_ in expected}
+    monkeypatch.setattr(keyword_search, "ADDED", 40)
+    monkeypatch.setattr(keyword_search, "SCORE_CELLS", 30)
+    assert answers() == expected
+    monkeypatch.setattr(keyword_search, "MATCHED_ROWS", 3)
+    assert answers() == expected
+    monkeypatch.setattr(keyword_search, "ASKED_TERMS", 0)
+    assert answers() == expected
+    monkeypatch.setattr(searches, "BEST_ROWS", 10)  # more searches than fit
+    assert answers() == expected
+
+
+def test_hybrid_search_equals_its_parts(worded):
+    chunks, queries, requests = worded
+    posting = keyword_search.postings(chunks)
+    near = ranked_lists(V.vector_topk(chunks, requests, queries, 25))
+    said = ranked_lists(keyword_search.keyword_topk(posting, chunks, requests, queries, 25))
+    got = ranked_lists(retrieval.hybrid_search(chunks, posting, requests, queries, 5))
+    for number in {r.request_id for r in requests.collect()}:
+        order, _ = twin_rrf([near.get(number, []), said.get(number, [])])
+        assert got.get(number, []) == order[:5]
+
+
+def test_a_search_is_built_in_few_jobs(spark, worded, tmp_path):
+    chunks, queries, requests = worded
+    table = inverted.write_inverted(keyword_search.postings(chunks), str(tmp_path / "index"))
+    tracker = spark.sparkContext.statusTracker()
+    for search in (
+        lambda: keyword_search.keyword_topk(table, chunks, requests, queries, 10),
+        lambda: retrieval.hybrid_search(chunks, table, requests, queries, 5),
+    ):
+        before = len(tracker.getJobIdsForGroup(None))
+        hits = search()
+        built = len(tracker.getJobIdsForGroup(None)) - before
+        assert built < 10 and hits.count() > 100
+
+
+def test_candidates_are_counted_in_the_search_itself(worded):
+    """The scorer's own input is observed: one hidden chunk more, and it shows."""
+    chunks, queries, requests = worded
+    found = searches.searches_of(requests, queries, 5, chunks, "vector")
+
+    def differences(sets):
+        counted = audits.Candidates()
+        given = dataclasses.replace(found, sets=sets)
+        hits, _ = V.search_topk(chunks, requests, queries, 5, searches=given, candidates=counted)
+        hits.count()
+        rows = counted.compared(chunks, requests).where("scored <> allowed").collect()
+        return {r.class_key: r.scored - r.allowed for r in rows}
+
+    assert differences(found.sets) == {}
+    signature = (F.col("required_clearance") == 3) & (F.array_join("access_keys", ",") == "*")
+    leaking = F.when(signature, F.array_union("class_keys", F.array(F.lit("1|HR")))).otherwise(F.col("class_keys"))
+    hidden = chunks.where("required_clearance = 3 AND coalesce(size(allowed_departments), 0) <= 0").count()
+    assert differences(found.sets.withColumn("class_keys", leaking)) == {"1|HR": hidden}
+    one = chunks.where("required_clearance = 3").limit(1)
+    more = chunks.union(one.withColumn("required_clearance", F.lit(1)).withColumn("allowed_departments", F.array(F.lit("HR"))))
+    counted = audits.Candidates()
+    V.search_topk(more, requests, queries, 5, searches=found, candidates=counted)[0].count()
+    assert counted.compared(chunks, requests).where("scored <> allowed").count() >= 1
