@@ -8,7 +8,7 @@ from clearsift.functions.scale import scratch_path, spread
 from clearsift.functions.text import clean_private_glyphs, neutralize
 from clearsift.operators import embedding, parsing
 from clearsift.plans import corpus
-from clearsift.plans.ingest import ingest
+from clearsift.plans.ingest import STORED, ingest, ingest_into, store_at
 from clearsift.plans.registry import query
 from clearsift.plans.sql import with_
 from clearsift.sources import readers, tables
@@ -701,24 +701,19 @@ def published_corpus(spark, folder):
         )
     )
     files.select("document_id", headed.alias("value")).write.partitionBy("document_id").text(source)
-    stored = [
-        spark.createDataFrame([], schema)
-        for schema in (
-            "document_id long, source_path string, title string, doc_type string, required_clearance int,"
-            " allowed_departments array<string>, ingested_at timestamp",
-            "clause_id long, document_id long, code string, title string, text string",
-            "chunk_id long, document_id long, clause_id long, ordinal int, text string, embedding array<float>",
-        )
-    ]
-    names = ("documents", "clauses", "chunks")
+    store = store_at(spark, root)
     for _ in range(2):
         found = readers.read_markdown_dir(spark, f"{source}/document_id=*", "part-*")
         number = F.regexp_extract("path", r"document_id=([0-9]+)", 1)
         policies = found.withColumn("path", F.concat(number, F.lit(".md")))
-        merged = ingest(policies, *stored, corpus.hash_encoder, corpus.HASH_DIM)[:3]
-        tables.publish(spark, root, dict(zip(names, merged)))
-        stored = tables.current(spark, root, *names)
-    documents, clauses, chunks = stored
+        ingest_into(store, policies, corpus.hash_encoder, corpus.HASH_DIM)
+    return _published(store)
+
+
+def _published(store):
+    """Counts and digests of each document of the version published last."""
+    version = store.manifest()
+    documents, clauses, chunks = (store.read(name, version) for name in STORED)
     per_clause = clauses.groupBy("document_id").agg(F.count("*").alias("clauses"))
     hashes = F.sort_array(F.collect_list(F.md5("text")))
     per_chunk = chunks.groupBy("document_id").agg(
@@ -736,3 +731,37 @@ def published_corpus(spark, folder):
             F.coalesce("chunks_md5", F.md5(F.lit(""))).alias("chunks_md5"),
         )
     )
+
+
+@query(
+    "second_ingest",
+    with_("docs", "bodies", "per_document", "pieces", extra={**_MARKDOWN, **_PUBLISHED})
+    + "SELECT d.document_id AS number, CASE WHEN d.document_id % 100 = 0 THEN 2 ELSE required_clearance END AS required_clearance,"
+    " coalesce(k.clauses, 0) + CASE WHEN d.document_id % 100 = 0 THEN 1 ELSE 0 END AS clauses,"
+    " CASE WHEN d.document_id % 100 = 0 THEN 1 ELSE coalesce(p.chunks, 0) END AS chunks,"
+    " CASE WHEN d.document_id % 100 = 0 THEN 1 ELSE coalesce(p.chunks, 0) END AS vectors,"
+    " CASE WHEN d.document_id % 100 = 0 THEN md5(md5('now ' || d.document_id)) ELSE coalesce(chunks_md5, md5('')) END AS chunks_md5"
+    " FROM docs d LEFT JOIN per_document p USING (document_id) LEFT JOIN pieces USING (document_id)"
+    " LEFT JOIN (SELECT document_id, count(DISTINCT coalesce(code, '')) AS clauses FROM mclauses GROUP BY document_id) k USING (document_id)",
+)
+def second_ingest(spark, folder):
+    """All documents, then some of them again with another text: only their
+    buckets are written again, and the corpus is the old one with those changed."""
+    store = store_at(spark, scratch_path(spark, "corpus"))
+    files = _markdown_files(spark, folder)
+    headed = F.when(F.col("content").startswith("---"), F.col("content")).otherwise(
+        F.concat(
+            F.lit("---\ntitle: t\nclearance: "),
+            F.col("document_id") % 3 + 1,
+            F.lit("\n---\n"),
+            F.substring("content", F.lit(len("clearance: 1\n") + 1), F.length("content")),
+        )
+    )
+    path = F.concat(F.col("document_id"), F.lit(".md")).alias("path")
+    ingest_into(store, files.select(path, headed.alias("content")), corpus.hash_encoder, corpus.HASH_DIM)
+    text = F.concat(
+        F.lit("---\ntitle: t\nclearance: 2\n---\n## 99.99.99 New\nnow "), F.col("document_id")
+    )
+    again = corpus.documents(spark, folder).where(F.col("document_id") % 100 == 0)
+    ingest_into(store, again.select(path, text.alias("content")), corpus.hash_encoder, corpus.HASH_DIM)
+    return _published(store)

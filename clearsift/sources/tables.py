@@ -1,9 +1,6 @@
 """Stored tables as snapshots: merges are pure DataFrame functions, and a new
 snapshot is written beside the old one, which stays readable until then."""
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,43 +35,83 @@ def latest(incoming: DataFrame, keys, order_col: str) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, id_col: str, first: int) -> tuple[DataFrame, int]:
+    """``rows`` with dense ids from ``first``, and the next free id.
+
+    Every partition counts its rows, and its ids follow those of the partitions
+    before it, so nothing is gathered and no two rows can get one id.
+    """
+    rows = cut(rows)
+    place = F.spark_partition_id().alias("__place")
+    counts = sorted(rows.groupBy(place).count().collect())
+    starts, free = [], first
+    for at, many in counts:
+        starts.append((at, free))
+        free += many
+    if free >= 1 << 63:
+        raise OverflowError("ids are used up")
+    starts = rows.sparkSession.createDataFrame(starts, "__place int, __start long")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    found = rows.select("*", place, within.alias("__within")).join(F.broadcast(starts), "__place")
+    return (
+        found.withColumn(id_col, F.col("__start") + F.col("__within")).drop(
+            "__place", "__start", "__within"
+        ),
+        free,
+    )
+
+
+def next_id(table: DataFrame, id_col: str) -> int:
+    """The id behind the greatest one stored."""
+    return max(0, (table.agg(F.max(id_col)).first()[0] or 0)) + 1
+
+
 def upsert(
-    existing: DataFrame, incoming: DataFrame, keys, order_col: str, id_col: str | None = None
+    existing: DataFrame,
+    incoming: DataFrame,
+    keys,
+    order_col: str,
+    id_col: str | None = None,
+    first_id: int | None = None,
 ) -> DataFrame:
     """Insert new keys and overwrite known ones; rows not mentioned stay.
 
-    With ``id_col``, a known key keeps its id and a new key gets the 64-bit
-    hash of the key (ids need no single-task numbering; ``check_ids`` before
-    storing).
+    With ``id_col``, a known key keeps its id and new keys get dense ids from
+    ``first_id``, or behind the greatest one in ``existing``.
     """
     keys = list(keys)
     changes = latest(incoming, keys, order_col).drop(order_col)
     if id_col is not None:
-        held = existing.select(*keys, F.col(id_col).alias("__held"))
-        changes = (
-            changes.join(held, keys, "left")
-            .withColumn(id_col, F.coalesce("__held", F.xxhash64(*keys)))
-            .drop("__held")
-        )
+        first = next_id(existing, id_col) if first_id is None else first_id
+        held = existing.select(*keys, F.col(id_col))
+        changes = cut(changes.join(held, keys, "left"))
+        fresh, _ = numbered(changes.where(F.col(id_col).isNull()).drop(id_col), id_col, first)
+        changes = changes.where(F.col(id_col).isNotNull()).unionByName(fresh)
     kept = existing.join(broadcast_if_small(changes.select(*keys)), keys, "left_anti")
     return kept.unionByName(changes.select(*existing.columns))
 
 
-def upsert_documents(existing: DataFrame, incoming: DataFrame, order_col: str) -> DataFrame:
+def upsert_documents(
+    existing: DataFrame, incoming: DataFrame, order_col: str, first_id: int | None = None
+) -> DataFrame:
     """By source path: the id stays, title, type and permissions are replaced,
     so that loading a document again reclassifies it."""
     normal = incoming.withColumn("allowed_departments", open_as_null("allowed_departments"))
     strange = normal.where(~F.col("doc_type").isin(*DOC_TYPES)).select("doc_type").limit(1).collect()
     if strange:
         raise ValueError(f"unknown document type: {strange[0].doc_type}")
-    return upsert(existing, normal, ["source_path"], order_col, "document_id")
+    return upsert(existing, normal, ["source_path"], order_col, "document_id", first_id)
 
 
 def upsert_clauses(
-    existing: DataFrame, incoming: DataFrame, order_col: str, prune: bool = False
+    existing: DataFrame,
+    incoming: DataFrame,
+    order_col: str,
+    prune: bool = False,
+    first_id: int | None = None,
 ) -> DataFrame:
     """By (document, code).  Codes that vanished stay unless ``prune`` is set."""
-    merged = upsert(existing, incoming, ["document_id", "code"], order_col, "clause_id")
+    merged = upsert(existing, incoming, ["document_id", "code"], order_col, "clause_id", first_id)
     if not prune:
         return merged
     reloaded = incoming.select("document_id").distinct()
@@ -166,40 +203,6 @@ def read_snapshot(spark: SparkSession, root: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Write a new version of every table, then make it the current one.
-
-    Readers find the tables through one row that names their common version and
-    is written last, as a file of its own: before it is there they see all
-    tables of the version before, and afterwards all of the new one.
-    """
-    version = uuid.uuid4().hex
-    for name, table in tables.items():
-        write_snapshot(table, f"{root}/{name}", version)
-    number = (_latest(spark, root) or (0, ""))[0] + 1
-    pointer = spark.createDataFrame([(number, version)], "number long, version string")
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/published")
-    return version
-
-
-def _latest(spark: SparkSession, root: str):
-    try:
-        pointers = spark.read.schema("number long, version string").parquet(f"{root}/published")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return pointers.orderBy(F.desc("number"), F.desc("version")).first()
-
-
-def current(spark: SparkSession, root: str, *names: str) -> list[DataFrame]:
-    """The named tables of the version published last."""
-    found = _latest(spark, root)
-    if found is None:
-        raise FileNotFoundError(f"nothing is published under {root}")
-    return [read_snapshot(spark, f"{root}/{name}", found["version"]) for name in names]
-
-
 def append_records(records: DataFrame, path: str) -> int:
     """Append access records by day and say how many; none is a no-op."""
     dated = records.select(*RECORD_COLUMNS, F.to_date("ts").alias("dt"))

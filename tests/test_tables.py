@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clearsift import schema
 from clearsift.operators import access_log, embedding
-from clearsift.plans.ingest import ingest
+from clearsift.plans.ingest import ingest, ingest_into, store_at
 from clearsift.sources import readers, tables
+from clearsift.sources.store import Conflict, Store
 
 DOCS = (
     "document_id long, title string, source_path string, doc_type string, required_clearance int,"
@@ -146,3 +148,80 @@ def test_recent_limits(spark):
     for limit in (0, 201):
         with pytest.raises(ValueError):
             access_log.recent(rows, limit)
+
+
+def test_dense_ids_follow_the_greatest(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "x").repartition(7)
+    found, free = tables.numbered(rows, "n", 501)
+    assert sorted(r.n for r in found.collect()) == list(range(501, 1501)) and free == 1501
+    again, free = tables.numbered(rows.where("false"), "n", 5)
+    assert again.count() == 0 and free == 5
+    with pytest.raises(OverflowError):
+        tables.numbered(rows, "n", (1 << 63) - 10)
+    held = spark.createDataFrame([(41, "k1", 0), (7, "k2", 0)], "i long, k string, v int")
+    new = spark.createDataFrame([("k2", 1, 1), ("k3", 2, 1), ("k4", 3, 1)], "k string, v int, o int")
+    merged = {r.k: (r.i, r.v) for r in tables.upsert(held, new, ["k"], "o", "i").collect()}
+    assert merged["k1"] == (41, 0) and merged["k2"] == (7, 1)
+    assert {merged["k3"][0], merged["k4"][0]} == {42, 43}
+
+
+def _bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_a_small_load_writes_little_and_readers_see_whole_versions(spark, tmp_path):
+    head = "---\ntitle: T\nclearance: {}\n---\n## 1.1.1 A\n{}"
+    files = spark.range(1000).select(
+        F.concat(F.lit("d"), F.col("id"), F.lit(".md")).alias("path"),
+        F.concat(F.lit(head.format(1, "")), F.repeat(F.md5(F.col("id").cast("string")), 20)).alias("content"),
+    )
+    store = store_at(spark, str(tmp_path / "corpus"))
+    assert ingest_into(store, files, encoder, 3).count() == 1000
+    first, before = store.manifest(), _bytes(tmp_path)
+    one = spark.createDataFrame([("d7.md", head.format(2, "short"))], "path string, content string")
+    ingest_into(store, one, encoder, 3)
+    second = store.manifest()
+    assert (first["number"], second["number"]) == (1, 2)
+    assert _bytes(tmp_path) - before < 0.05 * before
+    old = {r.source_path: r for r in store.read("documents", first).collect()}
+    new = {r.source_path: r for r in store.read("documents", second).collect()}
+    assert len(old) == len(new) == 1000 and old["d7.md"].document_id == new["d7.md"].document_id
+    assert {p for p in old if old[p] != new[p]} == {"d7.md"} and new["d7.md"].required_clearance == 2
+    seven = f"document_id = {new['d7.md'].document_id}"
+    assert [r.text for r in store.read("chunks", second).where(seven).collect()] == ["short"]
+    assert store.read("chunks", first).where(seven).count() == 1
+    chunks = store.read("chunks", second)
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 1000
+    fresh = spark.createDataFrame([("new.md", head.format(3, "text"))], "path string, content string")
+    ingest_into(store, fresh, encoder, 3)
+    ids = {r.source_path: r.document_id for r in store.read("documents", store.manifest()).collect()}
+    assert len(set(ids.values())) == 1001 and ids["new.md"] == max(ids.values())
+
+
+def test_of_two_publishers_the_second_is_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path), {"t": "k"}, buckets=4)
+    start = store.manifest()
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert store.read("t", start, schema=rows.schema).count() == 0
+    held = store.publish(start, {"t": rows})
+    with pytest.raises(Conflict):
+        store.publish(start, {"t": rows.limit(1)})
+    assert store.read("t", store.manifest()).count() == 2
+    touched = store.buckets_of(rows.where("k = 1"), "k")
+    left = store.read("t", held, touched).where("k <> 1")
+    after = store.publish(held, {"t": left}, {"t": touched})
+    assert [r.v for r in store.read("t", after).collect()] == ["b"]
+    assert Store(spark, str(tmp_path), {"t": "k"}, buckets=64).buckets == 4
+
+
+def test_lost_vectors_stop_an_ingest(spark, monkeypatch):
+    from clearsift.plans import ingest as module
+
+    real = module.encode
+    monkeypatch.setattr(module, "encode", lambda rows, *a, **k: real(rows, *a, **k).where("length(text) > 10"))
+    files = spark.createDataFrame(
+        [("a.md", "---\ntitle: T\nclearance: 1\n---\n## 1.1.1 A\nshort\n## 1.1.2 B\nlonger than the others")], "path string, content string"
+    )
+    empty = [spark.createDataFrame([], s) for s in (schema.DOCUMENTS, schema.CLAUSES, schema.CHUNKS)]
+    with pytest.raises(tables.CountMismatch):
+        module.ingest(files, *empty, encoder, 3)
