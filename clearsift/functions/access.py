@@ -28,6 +28,12 @@ def access_keys(allowed_departments) -> Column:
     return F.when(is_open, F.array(F.lit("*"))).otherwise(keys)
 
 
+def signature(required_clearance, access_keys) -> Column:
+    """Clearance and access keys as one text: rows of one signature are visible
+    to the same classes."""
+    return F.concat_ws("|", _col(required_clearance).cast("string"), F.array_join(_col(access_keys), ","))
+
+
 def principal_keys(department) -> Column:
     """Every access key this department opens."""
     return F.array(F.lit("*"), F.concat(F.lit("d:"), _col(department)))

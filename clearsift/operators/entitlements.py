@@ -4,8 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
-from clearsift.functions.access import access_keys, class_key, principal_keys, visible
+from clearsift.functions.access import (
+    access_keys, class_key, principal_keys, signature, visible,
+)
 from clearsift.functions.scale import broadcast_if_small, cut, settle
+from clearsift.schema import SIGNATURE
 
 
 class AccessViolation(Exception):
@@ -68,7 +71,12 @@ def with_class_sets(
 
 
 def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Attach the ``class_keys`` of class sets that are there already."""
+    """Attach the ``class_keys`` of class sets that are there already.  Rows
+    stored by permission signature are read from the folders of signatures that
+    some class may see only; the others are not opened."""
+    if SIGNATURE in rows.columns:
+        seen = sets.select(signature("required_clearance", "access_keys").alias(SIGNATURE)).collect()
+        rows = rows.where(F.col(SIGNATURE).isin([r[0] for r in seen])).drop(SIGNATURE)
     keyed = rows.withColumn("access_keys", access_keys("allowed_departments"))
     return keyed.join(sets, ["required_clearance", "access_keys"]).drop("access_keys")
 

@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from clearsift.functions.access import access_keys
-from clearsift.functions.scale import broadcast_if_small, cut
+from clearsift.functions.scale import broadcast_if_small, cut, scratch_path
 from clearsift.functions.text import chunk_windows
 from clearsift.operators import audits, entitlements, fusion, keyword_search, retrieval
 from clearsift.operators.searches import searches_of
@@ -13,6 +13,7 @@ from clearsift.operators.vector_search import naive_topk, search_topk, vector_to
 from clearsift.plans import corpus
 from clearsift.plans.registry import ints, query
 from clearsift.plans.sql import MANY, customer, vis, with_
+from clearsift.sources import tables
 
 K = 10
 
@@ -242,6 +243,24 @@ def vector_topk_query(spark, folder):
     return hits.select("request_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+@ints("rank")
+@query(
+    "vector_topk_by_signature",
+    with_("vhits", "reqs")
+    + "SELECT request_id, rank, chunk_id FROM vhits JOIN reqs USING (request_id) WHERE reqs.clearance = 1",
+)
+def vector_topk_by_signature(spark, folder):
+    """The same search for the lowest clearance, over chunks stored by permission
+    signature: folders that none of its classes may see are not opened."""
+    path = scratch_path(spark, "by-signature")
+    tables.write_by_signature(corpus.vector_chunks(spark, folder), path)
+    requests = corpus.topic_requests(spark, folder).where(F.col("clearance") == 1)
+    hits = vector_topk(
+        spark.read.parquet(path), requests, corpus.topics(spark, folder), K, corpus.documents(spark, folder)
+    )
+    return hits.select("request_id", "rank", "chunk_id")
+
+
 @ints("rank")
 @query(
     "vector_topk_many",

@@ -67,6 +67,8 @@ ACCESS_RECORDS = _struct(
     ("allowed", T.BooleanType(), False),
     ("session_id", T.StringType(), True),
 )
+# Partition column of rows stored by permission signature.
+SIGNATURE = "signature"
 RECORD_COLUMNS = ACCESS_RECORDS.names
 DOC_TYPES = ("pdf", "docx", "md")
 ROLES = ("member", "auditor", "developer")

@@ -4,9 +4,9 @@ snapshot is written beside the old one, which stays readable until then."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearsift.functions.access import open_as_null
+from clearsift.functions.access import access_keys, open_as_null, signature
 from clearsift.functions.scale import broadcast_if_small, cut
-from clearsift.schema import DOC_TYPES, RECORD_COLUMNS
+from clearsift.schema import DOC_TYPES, RECORD_COLUMNS, SIGNATURE
 
 
 class CountMismatch(Exception):
@@ -203,6 +203,16 @@ def read_snapshot(spark: SparkSession, root: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
+def write_by_signature(rows: DataFrame, path: str) -> None:
+    """Store rows with permission columns in a folder for each permission
+    signature, so that a search opens only the folders its principals may see.
+    For corpora with some thousands of signatures at most."""
+    keys = access_keys("allowed_departments")
+    keyed = rows.withColumn(SIGNATURE, signature("required_clearance", keys))
+    # Rebalancing splits a signature that most rows have.
+    keyed.hint("rebalance", SIGNATURE).write.partitionBy(SIGNATURE).parquet(path)
+
+
 def append_records(records: DataFrame, path: str) -> int:
     """Append access records by day and say how many; none is a no-op."""
     dated = records.select(*RECORD_COLUMNS, F.to_date("ts").alias("dt"))

@@ -9,7 +9,7 @@ from clearsift.functions import scale
 from clearsift.operators import audits, fusion, keyword_search, retrieval, searches
 from clearsift.operators import vector_search as V
 from clearsift.functions.access import class_key
-from clearsift.sources import inverted
+from clearsift.sources import inverted, tables
 
 CHUNKS = (
     "chunk_id long, embedding array<float>, required_clearance int, allowed_departments array<string>"
@@ -339,3 +339,18 @@ def test_candidates_are_counted_in_the_search_itself(worded):
     counted = audits.Candidates()
     V.search_topk(more, requests, queries, 5, searches=found, candidates=counted)[0].count()
     assert counted.compared(chunks, requests).where("scored <> allowed").count() >= 1
+
+
+def test_only_visible_signatures_are_opened(spark, worded, tmp_path):
+    chunks, queries, requests = worded
+    tables.write_by_signature(chunks, str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    low = requests.where("clearance = 1")
+    hits = V.vector_topk(stored, low, queries, 5, chunks)
+    assert ranked_lists(hits) == ranked_lists(V.vector_topk(chunks, low, queries, 5))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [signature" in plan
+    scan = next(line for line in plan.splitlines() if "PartitionFilters: [signature" in line)
+    assert "1|" in scan and "2|" not in scan and "3|" not in scan
+    every = V.vector_topk(stored, requests, queries, 5, chunks)
+    assert ranked_lists(every) == ranked_lists(V.vector_topk(chunks, requests, queries, 5))
