@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
+from clearsift.functions.front_matter import header_fields
 from clearsift.functions.scale import cut, with_fields
 from clearsift.functions.text import chunk_windows, clean_private_glyphs, let, strip
 
@@ -21,52 +22,27 @@ def split_front_matter(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parsed, rejected) from path and content.
 
     Parsed rows carry title, required_clearance, allowed_departments and body.
-    Title and clearance are mandatory and a missing header is a rejection: a
-    default would publish what should be restricted.
+    Title and clearance are mandatory, and a header that is missing or cannot be
+    read is a rejection: a default would publish what should be restricted.
     """
     head = F.regexp_extract("content", C.FRONT_MATTER, 1)
     has_header = F.regexp_like("content", F.lit(C.FRONT_MATTER))
     body = F.regexp_replace("content", C.FRONT_MATTER, "")
+    # Only heads go to Python, never texts.
+    given = files.withColumn("__head", header_fields(head))
     parsed = with_fields(
-        files,
-        _header_value(head, "title").alias("title"),
-        _header_value(head, "clearance").try_cast("int").alias("required_clearance"),
-        _header_list(head, "departments").alias("allowed_departments"),
+        given,
+        F.col("__head.title").alias("title"),
+        F.trim(F.col("__head.clearance")).try_cast("int").alias("required_clearance"),
+        F.col("__head.departments").alias("allowed_departments"),
         body.alias("body"),
-        has_header.alias("__has_header"),
+        (has_header & F.col("__head.error").isNull()).alias("__readable"),
     )
     good = (
-        F.col("__has_header")
-        & F.col("title").isNotNull()
-        & F.col("required_clearance").isNotNull()
+        F.col("__readable") & F.col("title").isNotNull() & F.col("required_clearance").isNotNull()
     )
-    accepted = parsed.where(good).drop("__has_header")
-    return accepted, parsed.where(~good).select(*files.columns)
-
-
-def _header_value(head: Column, key: str) -> Column:
-    """A plain scalar; quotes around it are dropped and a comment cut off."""
-    raw = F.regexp_extract(head, rf"(?dm)^{key}[ \t]*:[ \t]*(.*?)[ \t\r]*$", 1)
-    quoted = F.regexp_extract(raw, r"""\A(?:"([^"]*)"|'([^']*)')""", 0)
-    plain = F.regexp_replace(raw, r"(?:\A|[ \t]+)#.*\z", "")
-    value = F.when(
-        quoted != "", F.substring(quoted, F.lit(2), F.length(quoted) - F.lit(2))
-    ).otherwise(plain)
-    return F.nullif(value, F.lit(""))
-
-
-def _header_list(head: Column, key: str) -> Column:
-    """``[a, b]`` or indented ``- a`` lines; null when absent or empty."""
-    inline = F.regexp_extract(head, rf"(?dm)^{key}[ \t]*:[ \t]*\[(.*?)\]", 1)
-    block = F.regexp_extract(head, rf"(?dm)^{key}[ \t]*:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\n|\z))+)", 1)
-    items = F.when(inline != "", F.split(inline, r",")).otherwise(
-        F.regexp_extract_all(block, F.lit(r"(?dm)^[ \t]*-[ \t]+(.*?)[ \t\r]*$"), F.lit(1))
-    )
-    cleaned = F.filter(
-        F.transform(items, lambda i: F.regexp_replace(F.trim(i), r"""\A["']|["']\z""", "")),
-        lambda i: i != "",
-    )
-    return F.when(F.size(cleaned) > 0, cleaned)
+    accepted = parsed.where(good).drop("__readable", "__head")
+    return accepted, parsed.where(~F.coalesce(good, F.lit(False))).select(*files.columns)
 
 
 def with_clauses(

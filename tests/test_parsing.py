@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from clearsift import constants as C
 from clearsift.functions.text import strip
+from clearsift.functions import front_matter
 from clearsift.operators import parsing as P
 
 
@@ -105,3 +106,60 @@ def test_blank_lines_take_linear_time(spark):
     assert docs.select(F.length(strip("text"))).first()[0] < len(text)
     found = docs.select(F.size(F.regexp_extract_all("text", F.lit(C.PAGED_CLAUSE), F.lit(0)))).first()[0]
     assert found == 2 and time.perf_counter() - started < 5
+
+
+HEADS = [
+    "title: a\nclearance: 1",
+    "title: 'it''s: # no comment'\nclearance: \"2\" # two\ndepartments: ['a, b', \"c\\td\", e f]",
+    "title: plain over\n  two lines\n\n  and a third\nclearance: 1",
+    "title: \"quoted over\n  two lines \\\n  joined\"\nclearance: 1",
+    "title: |\n  literal\n    deeper\n\n  end\nclearance: 1",
+    "title: >-\n  folded\n  text\n\n  end\nclearance: 1\ndepartments:\n- HR\n- \"Dev\"",
+    "owner:\n  name: x\n  title: not this\n  list:\n    - title: nor this\n      clearance: 9\n    - b\ntitle: right\nclearance: 3",
+    "# first\n\ntitle: t  # c\nclearance: 1\ndepartments: [\n  HR,   # one\n  Dev\n]\nextra: {a: 1, b: [x, y], c: 'd'}",
+    "title: ~\nclearance:\ndepartments: []",
+    "departments:\n  - HR\n  -   Dev # two\n  - 'x y'\ntitle:\n  below\nclearance: 2",
+    "title: a#b\nclearance: 1\nurl: http://x/y#z",
+    "title: '한글 제목: 하나'\nclearance: 1\ndepartments: [인사, \"개발\"]",
+    "title: |+\n  kept\n\nclearance: 1",
+    "matrix:\n- - a\n  - b\n- - c\ntitle: t\nclearance: 1",
+]
+
+
+def _as_text(value):
+    if isinstance(value, dict):
+        return {str(k): _as_text(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_as_text(v) for v in value]
+    return None if value is None else str(value)
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_heads_equal_a_full_reader(head):
+    yaml = pytest.importorskip("yaml")
+    assert front_matter.read(head) == _as_text(yaml.safe_load(head))
+    assert front_matter.read(head.replace("\n", "\r\n")) == _as_text(yaml.safe_load(head))
+
+
+@pytest.mark.parametrize(
+    "head",
+    ["", "- a\n- b", "title: a: b\nclearance: 1", "title: 'open\nclearance: 1", "title: a\ntitle: b", "title: &x a",
+     "departments: [a, b\ntitle: c", "\ttitle: a", "title: \"\\q\"", "just text", "title: a\n - b: c\n bad"],
+)
+def test_heads_that_cannot_be_read(head):
+    assert front_matter.fields_of(head)[3]
+
+
+def test_permissions_are_never_guessed(spark):
+    files = [
+        ("a.md", "---\ntitle: x\nclearance: 1\ndepartments: HR\n---\nb"),
+        ("b.md", "---\ntitle: x\nclearance: 1\ndepartments: {HR: 1}\n---\nb"),
+        ("c.md", "---\nmeta:\n  title: x\n  clearance: 1\n---\nb"),
+        ("d.md", "---\ntitle: x\nclearance: [1]\n---\nb"),
+        ("e.md", "---\ntitle: >-\n  of two\n  lines\nclearance: '2'\ndepartments:\n- 'A, B'\n- C # c\n---\nb"),
+    ]
+    parsed, rejected = P.split_front_matter(spark.createDataFrame(files, "path string, content string"))
+    assert [(r.path, r.title, r.required_clearance, r.allowed_departments) for r in parsed.collect()] == [
+        ("e.md", "of two lines", 2, ["A, B", "C"])
+    ]
+    assert rejected.count() == 4
