@@ -20,6 +20,10 @@ BLOCK_CHUNKS = 50_000
 BLOCK_QUERIES = 2_000
 # Distances computed at once, which bounds the memory of one task.
 SCORE_CELLS = 8_000_000
+# Groups of chunks that are bounded as one, and the queries that make one worth it.
+PIVOTS = 64
+QUERIES_PER_PIVOT = 8
+BOUND_SLACK = 1e-7
 # Distances are compared at this many decimals, so equal vectors tie exactly
 # and the tie goes to the smaller chunk id.
 DISTANCE_DECIMALS = 12
@@ -173,49 +177,66 @@ class Nearest:
                 asked.setdefault(key, []).append(number)
         self.queries_of = {key: np.array(numbers) for key, numbers in asked.items()}
         self.best = {}
-
-    def offer(self, ids: np.ndarray, distances: np.ndarray, class_keys) -> None:
-        """Chunks with their distance to every query, where NaN is no result,
-        and the classes that may see them."""
+        # The distance of each class's k-th row for each query that has so many.
+        self.kth = {key: np.full(len(q), np.inf) for key, q in self.queries_of.items()}
+
+    def limits(self) -> np.ndarray:
+        """For each query the distance beyond which no class can use a row."""
+        found = np.full(len(self.query_ids), -np.inf)
+        for key, queries in self.queries_of.items():
+            found[queries] = np.maximum(found[queries], self.kth[key])
+        return found
+
+    def offer(self, ids: np.ndarray, distances: np.ndarray, class_keys, active=None) -> None:
+        """Chunks with their distance to every query, or to the ``active`` ones in
+        order, where NaN is no result, and the classes that may see them."""
         members = class_keys.flatten().dictionary_encode()
         codes = members.indices.to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(ids)), _lengths(class_keys))
         for code, key in enumerate(members.dictionary.to_pylist()):
             queries = self.queries_of.get(key)
-            if queries is not None:
-                mine = rows[codes == code]
-                whole = len(queries) == len(self.query_ids)
-                found = distances[mine] if whole else distances[np.ix_(mine, queries)]
-                self._merge(key, queries, ids[mine], found)
-
-    def _merge(self, key, queries, ids, distances):
-        """Take the rows of a block into one class's nearest, for all its
-        queries at once.  ``best`` holds flat rows in order of query, distance
-        and id, at most ``k`` for each query."""
-        many = len(queries)
-        held = self.best.get(key)
-        bound = np.full(many, np.inf)
+            if queries is None:
+                continue
+            mine = rows[codes == code]
+            part = np.arange(len(queries))
+            if active is not None:
+                places = np.minimum(np.searchsorted(active, queries), len(active) - 1)
+                part = np.flatnonzero(active[places] == queries)
+                found = distances[np.ix_(mine, places[part])]
+            elif len(queries) == len(self.query_ids):
+                found = distances[mine]
+            else:
+                found = distances[np.ix_(mine, queries)]
+            if len(mine) and len(part):
+                self._merge(key, part, ids[mine], found)
+
+    def _merge(self, key, part, ids, distances):
+        """Take the rows of a block into one class's nearest, for all queries at
+        these places of the class at once.  ``best`` holds flat rows in order of
+        query, distance and id, at most ``k`` for each query."""
+        kth = self.kth[key]
+        bound = kth[part]
         if len(ids) > self.k:
-            bound = np.partition(distances, self.k - 1, axis=0)[self.k - 1]
-            bound = np.where(np.isnan(bound), np.inf, bound)
-        if held is not None:
-            numbers, far = held[0], held[1]
-            last = np.flatnonzero(np.diff(numbers, append=many))
-            full = np.bincount(numbers, minlength=many)[numbers[last]] == self.k
-            at = numbers[last][full]
-            bound[at] = np.minimum(bound[at], far[last][full])
+            least = np.partition(distances, self.k - 1, axis=0)[self.k - 1]
+            bound = np.minimum(bound, np.where(np.isnan(least), np.inf, least))
         column, row = np.nonzero((distances <= bound).T)
-        taken, found = ids[row], distances[row, column]
-        if held is not None:
+        if not len(column):
+            return
+        taken, found, column = ids[row], distances[row, column], part[column]
+        if key in self.best:
+            held = self.best[key]
             column = np.concatenate([held[0], column])
             found = np.concatenate([held[1], found])
             taken = np.concatenate([held[2], taken])
         order = np.lexsort((taken, found, column))
         column = column[order]
-        starts = np.searchsorted(column, np.arange(many))
+        starts = np.searchsorted(column, np.arange(len(kth)))
         near = np.arange(len(column)) - starts[column] < self.k
-        order = order[near]
-        self.best[key] = (column[near], found[order], taken[order])
+        column, order = column[near], order[near]
+        self.best[key] = (column, found[order], taken[order])
+        many = np.bincount(column, minlength=len(kth))
+        full = many == self.k
+        kth[full] = found[order][np.cumsum(many)[full] - 1]
 
     def table(self, schema: T.StructType) -> pa.Table:
         query_ids, keys, ids, distances = [], [], [], []
@@ -232,29 +253,75 @@ class Nearest:
 
 
 class _NearestVectors(Nearest):
-    """Nearest by cosine distance."""
+    """Nearest by cosine distance.
+
+    Where there are many queries, chunks are grouped around pivots.  The angle
+    between a query and a pivot, less the widest angle of the group, bounds every
+    distance to the group from below; groups beyond a query's ``k``-th distance
+    in all its classes are not scored for it.  The bound is exact, so are results.
+    """
 
     def __init__(self, searches: pa.Table, k: int):
         super().__init__(searches, k)
         self.matrix = _matrix(searches.column("vector").combine_chunks(), len(self.query_ids))
         self.norms = np.linalg.norm(self.matrix, axis=1)
+        self.groups = min(PIVOTS, len(self.query_ids) // QUERIES_PER_PIVOT)
+        self.pivots, self.scored = None, 0
 
     def add(self, ids, embeddings, class_keys):
         if not self.query_ids:
             return
         step = max(1, SCORE_CELLS // len(self.query_ids))
         for at in range(0, len(ids), step):
-            self._score(
-                ids.slice(at, step), embeddings.slice(at, step), class_keys.slice(at, step)
-            )
-
-    def _score(self, ids, embeddings, class_keys):
-        ids = np.asarray(ids.to_pylist())
-        vectors = _matrix(embeddings, len(ids), self.matrix.shape[1])
-        scale = np.linalg.norm(vectors, axis=1)[:, None] * self.norms[None, :]
+            part = [x.slice(at, step) for x in (ids, embeddings, class_keys)]
+            vectors = _matrix(part[1], len(part[0]), self.matrix.shape[1])
+            ids_of = np.asarray(part[0].to_pylist())
+            if self.groups < 2:
+                self._score(ids_of, vectors, part[2])
+            else:
+                self._score_groups(ids_of, vectors, part[2])
+
+    def _score(self, ids, vectors, class_keys, active=None):
+        matrix, norms = self.matrix, self.norms
+        if active is not None:
+            matrix, norms = matrix[active], norms[active]
+        scale = np.linalg.norm(vectors, axis=1)[:, None] * norms[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            distances = np.round(1.0 - (vectors @ self.matrix.T) / scale, DISTANCE_DECIMALS)
-        self.offer(ids, np.where(scale == 0, np.inf, distances), class_keys)
+            distances = np.round(1.0 - (vectors @ matrix.T) / scale, DISTANCE_DECIMALS)
+        self.scored += distances.size
+        self.offer(ids, np.where(scale == 0, np.inf, distances), class_keys, active)
+
+    def _score_groups(self, ids, vectors, class_keys):
+        norms = np.linalg.norm(vectors, axis=1)
+        zero = np.flatnonzero(norms == 0)
+        if len(zero):  # no direction: behind all others
+            self._score(ids[zero], vectors[zero], class_keys.take(pa.array(zero)))
+        units = vectors / np.where(norms > 0, norms, 1)[:, None]
+        if self.pivots is None:
+            some = np.flatnonzero(norms > 0)
+            if not len(some):
+                return
+            some = some[:: max(1, len(some) // self.groups)][: self.groups]
+            self.pivots = units[some]
+            turned = self.matrix / np.where(self.norms > 0, self.norms, 1)[:, None]
+            self.angles = np.arccos(np.clip(turned @ self.pivots.T, -1, 1))
+            self.angles[self.norms == 0] = 0
+            self.home = self.angles.argmin(axis=1)
+        near = units @ self.pivots.T
+        cells = np.where(norms > 0, near.argmax(axis=1), -1)
+        groups = []
+        for cell in np.unique(cells[cells >= 0]).tolist():
+            rows = np.flatnonzero(cells == cell)
+            width = np.arccos(np.clip(near[rows, cell].min(), -1, 1))
+            least = 1 - np.cos(np.maximum(self.angles[:, cell] - width, 0)) - BOUND_SLACK
+            groups.append((cell, rows, class_keys.take(pa.array(rows)), least))
+        # First each query's own group, which gives it rows to compare with.
+        for first in (True, False):
+            for cell, rows, keys, least in groups:
+                wanted = (self.home == cell) == first
+                active = np.flatnonzero(wanted & (least <= self.limits()))
+                if len(active):
+                    self._score(ids[rows], vectors[rows], keys, active)
 
 
 def _arrow_type(field: T.StructField) -> pa.DataType:

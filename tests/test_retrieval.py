@@ -2,6 +2,7 @@ import dataclasses
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,3 +355,53 @@ def test_only_visible_signatures_are_opened(spark, worded, tmp_path):
     assert "1|" in scan and "2|" not in scan and "3|" not in scan
     every = V.vector_topk(stored, requests, queries, 5, chunks)
     assert ranked_lists(every) == ranked_lists(V.vector_topk(chunks, requests, queries, 5))
+
+
+def _clustered(seed, many, width=0.02):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, 8))
+    rows = centres[rng.integers(0, 20, many)] + width * rng.normal(size=(many, 8))
+    rows[rng.integers(0, many, 5)] = 0.0
+    return rows.astype(np.float32)
+
+
+def test_bounds_skip_most_pairs_and_change_nothing(monkeypatch):
+    chunks, queries = _clustered(1, 4000), _clustered(2, 240)
+    chunks[50:60] = chunks[49]  # ties
+    asked = [["a"], ["b"], ["a", "b"]]
+    searches_ = pa.table(
+        {"query_id": list(range(240)), "vector": [v.astype(float).tolist() for v in queries],
+         "class_keys": [asked[i % 3] for i in range(240)]}
+    )
+    held = pa.array([[["a", "b"], ["b"], ["a"], ["c"]][i % 4] for i in range(4000)])
+    schema = V.T.StructType(
+        [V.T.StructField("query_id", V.T.LongType()), V.T.StructField("class_key", V.T.StringType()),
+         V.T.StructField("chunk_id", V.T.LongType()), V.T.StructField("distance", V.T.DoubleType())]
+    )
+
+    def found(pivots):
+        monkeypatch.setattr(V, "PIVOTS", pivots)
+        nearest = V._NearestVectors(searches_, 5)
+        for at in range(0, 4000, 1500):
+            ids = pa.array(range(at, min(at + 1500, 4000)))
+            vectors = pa.array(chunks[at : at + 1500].tolist(), pa.list_(pa.float32()))
+            nearest.add(ids, vectors, held.slice(at, 1500))
+        return sorted(map(str, nearest.table(schema).to_pylist())), nearest.scored
+
+    plain, all_pairs = found(1)
+    bounded, scored = found(64)
+    assert all_pairs == 4000 * 240 and scored < all_pairs / 2
+    assert bounded == plain and len(plain) == 5 * (240 + 80)
+
+
+def test_many_queries_equal_brute_force(spark):
+    chunks, queries = _clustered(3, 500, 0.3), _clustered(4, 60, 0.3)
+    rows = [(i, v.tolist(), i % 3 + 1, None if i % 2 else ["HR"]) for i, v in enumerate(chunks)]
+    asked = [(i, i % 60, ("HR", "Dev")[i % 2], i % 3 + 1) for i in range(120)]
+    vectors = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(queries)], "query_id long, vector array<double>")
+    requests = requests_of(spark, asked)
+    got = ranked_lists(V.vector_topk(spark.createDataFrame(rows, CHUNKS), requests, vectors, 4))
+    for number, query, department, clearance in asked:
+        if np.any(queries[query]):
+            own = [r for r in rows if any(r[1])]
+            assert got[number] == brute_force(own, queries[query].astype(float), department, clearance, 4)
