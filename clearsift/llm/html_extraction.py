@@ -37,9 +37,11 @@ FURNITURE_WORDS = frozenset(
     "sponsors promo promos promotion sidebar sidebars nav navbar navigation menu menus breadcrumb "
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup login share sharing social comment comments "
-    "disqus replies respond related recommended recommendations pagination pager toolbar widget "
+    "discussion discussions responses reviews feedback cta disqus replies respond related recommended recommendations pagination pager toolbar widget "
     "widgets hidden".split()
 )
+# Words of a class, and the element, that tell who wrote a comment and when.
+SIGNED_WORDS = frozenset("author user username commenter avatar byline posted date datetime".split())
 ARTICLE_WORDS = frozenset("ad ads advert sponsored promo comment comments reply related".split())
 NEUTRAL_WORDS = frozenset("has no with without free layout".split())
 GOOD_WORDS = frozenset("content article post entry story main".split())
@@ -156,6 +158,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tags, parent, last, drop = ["#"], [-1], [0], [False]
+    shapes, signed = [None], [False]
     stack, open_tags = [0], {}
     blocks = []  # node, text, characters in links
     buffer, link_chars = [], 0
@@ -246,6 +249,9 @@ def main_text(page: str | None) -> str:
         parent.append(over)
         last.append(0)
         drop.append(gone)
+        shape, sign = _shape(tag, attributes)
+        shapes.append(shape)
+        signed.append(sign)
         stack.append(node)
         open_tags[tag] = open_tags.get(tag, 0) + 1
     while len(stack) > 1:
@@ -261,7 +267,49 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     keep = _kept_ranges(tags, parent, last, blocks)
-    return "\n\n".join(t for n, t, _ in blocks if any(a <= n < b for a, b in keep))
+    blocks = [(n, t) for n, t, _ in blocks if any(a <= n < b for a, b in keep)]
+    gone = _in_comments(parent, last, shapes, signed, blocks)
+    return "\n\n".join(t for n, t in blocks if not gone[n])
+
+
+def _shape(tag: str, attributes: str):
+    """What repeated elements have in common, and whether this one signs a text."""
+    if tag == "time":
+        return None, True
+    if not attributes:
+        return None, False
+    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE(attributes)}
+    names = found.get("class", "")
+    sign = not SIGNED_WORDS.isdisjoint(w.lower() for w in _WORDS(names))
+    return ((tag, names) if names and tag in ("div", "li", "article", "section") else None), sign
+
+
+def _in_comments(parent, last, shapes, signed, blocks):
+    """Which nodes lie in reader comments without a telling name: two or more
+    siblings of one tag and class, each with a time or author element, behind
+    more text than any of them has."""
+    many = len(parent)
+    chars, signs, runs = [0] * (many + 1), [0] * (many + 1), {}
+    for node, text in blocks:
+        chars[node + 1] += len(text)
+    for node in range(many):
+        chars[node + 1] += chars[node]
+        signs[node + 1] = signs[node] + signed[node]
+    for node, shape in enumerate(shapes):
+        if shape is not None and signs[last[node]] > signs[node + 1]:
+            runs.setdefault((parent[node], shape), []).append(node)
+    change = [0] * (many + 1)
+    for nodes in runs.values():
+        longest = max(chars[last[node]] - chars[node] for node in nodes)
+        if len(nodes) > 1 and chars[nodes[0]] > longest > 0:
+            for node in nodes:
+                change[node] += 1
+                change[last[node]] -= 1
+    gone, depth = [False] * many, 0
+    for node in range(many):
+        depth += change[node]
+        gone[node] = depth > 0
+    return gone
 
 
 def _kept_ranges(tags, parent, last, blocks):
@@ -304,7 +352,7 @@ def _kept_ranges(tags, parent, last, blocks):
         inner = [n for n in range(best, last[best]) if tags[n] in ("article", "main") and chars[n]]
         if inner:
             top = max(inner, key=lambda n: (worth(n), -n))
-    enough = max(10.0, 0.2 * worth(top))
+    enough = 0.2 * worth(top)
     keep, over = [], parent[top]
     if over >= 0:
         links = {}
@@ -315,7 +363,7 @@ def _kept_ranges(tags, parent, last, blocks):
             if node == top:
                 keep.append((node, last[node]))
             elif tags[top] == tags[node] == "article" or (
-                tags[top] != "article" and worth(node) >= enough
+                tags[top] != "article" and worth(node) >= enough > 0
             ):
                 keep.append((node, last[node]))
             elif tags[top] != "article" and tags[node] == "p" and density < 0.25 and chars[node] > 80:

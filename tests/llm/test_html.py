@@ -38,6 +38,30 @@ CASES = [
     ("<p hidden>no</p><p style='display: none'>no</p><p>a&nbsp;&eacute;&#8211;b</p>", "a é–b"),
     ("", ""),
     (None, ""),
+    (
+        f"<body><div><p>{'One of two, alike. ' * 7}</p></div><div><p>{'Two of two, alike. ' * 7}</p></div></body>",
+        ("One of two, alike. " * 7).strip() + "\n\n" + ("Two of two, alike. " * 7).strip(),
+    ),
+    (
+        f"<article><h1>T</h1><p>{'Text of it, long. ' * 9}</p></article><div class='discussion'><div><b>Al</b>"
+        f"<p>{'No, I do not think so. ' * 5}</p></div></div>",
+        "T\n\n" + ("Text of it, long. " * 9).strip(),
+    ),
+    (
+        f"<div class=post><p>{'Text of it, long. ' * 30}</p><section class='reader-responses'><p>{'Well, no. ' * 9}</p></section>"
+        "<div class=cta><p>Get it now, today, for less, at once.</p></div></div>",
+        ("Text of it, long. " * 30).strip(),
+    ),
+    (
+        f"<div><p>{'Text of it, long. ' * 30}</p><ul>" + "".join(
+            f"<li class='entry-{'x'}'><span class=author>A{i}</span><p>{'Well, no, not so. ' * 6}</p></li>" for i in range(3)
+        ) + "</ul></div>",
+        ("Text of it, long. " * 30).strip(),
+    ),
+    (
+        "<div><p>Short lead.</p>" + "".join(f"<div class=day><time>Day {i}</time><p>{'It went on, and on. ' * 9}</p></div>" for i in (1, 2)) + "</div>",
+        "\n\n".join(["Short lead."] + [x for i in (1, 2) for x in (f"Day {i}", ("It went on, and on. " * 9).strip())]),
+    ),
 ]
 
 
@@ -49,7 +73,8 @@ def test_cases(page, text):
 @pytest.mark.parametrize(
     "page",
     ["<" * 400_000, "</b>" * 100_000, "<p><span>" * 50_000, "<div>" * 50_000 + "x", "<!--" * 100_000,
-     "<a x='" + '<p a="b ' * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "&" * 500_000],
+     "<a x='" + '<p a="b ' * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "&" * 500_000,
+     "<div class=a>" * 50_000 + "<time>x", "<p>x" + "<li class=a><time>x" * 50_000],
 )
 def test_broken_pages_take_linear_time(page):
     started = time.process_time()
