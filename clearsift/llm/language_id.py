@@ -14,13 +14,19 @@ from clearsift.llm.batches import small_batches
 PROFILE = 300
 FLUSH_WORDS = 200_000
 _LETTERS = "[^\\W\\d_]+"
+# Figures that the pattern takes for letters: numbers of categories No and Nl.
+_FIGURES = "[^\\W\\d_a-z]"
 
 
 def _words(text: str) -> str:
     """Lower-case letters with one underscore before and after every word."""
     import re
 
-    return "_" + "_".join(re.findall(_LETTERS, text.lower())) + "_"
+    lowered = text.lower()
+    figures = {c for c in set(re.findall(_FIGURES, lowered)) if not c.isalpha()}
+    if figures:
+        lowered = lowered.translate(dict.fromkeys(map(ord, figures), " "))
+    return "_" + "_".join(re.findall(_LETTERS, lowered)) + "_"
 
 
 def _grams(marked: str):

@@ -150,3 +150,10 @@ def test_entropy_and_counts(spark):
     assert math.isclose(row.entropy, -sum(p * math.log2(p) for p in shares))
     assert (row.depth, row.labels, row.parameters, row.hyphens, row.secure) == (2, 3, 2, 1, 1)
     assert math.isclose(row.digit_ratio, 3 / len(url))
+
+
+def test_figures_are_no_letters():
+    tables = language_id.tables_of({"xx": [ord("a")]})
+    for text in ("²", "½ ① Ⅷ", "12 _ ³", "\u0660"):
+        assert language_id.predict(text, tables) == ("und", 0.0)
+    assert language_id.predict("a²a", tables)[0] == "xx" and language_id._words("Aé² ªb") == "_aé_ªb_"
