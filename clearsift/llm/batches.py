@@ -1,4 +1,4 @@
-"""Sizes of what Spark hands to Python at once."""
+"""Sizes of what Spark hands to Python at once, and names of helper columns."""
 
 from pyspark.sql import DataFrame
 
@@ -13,3 +13,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        found.append(name)
+        taken.add(name)
+    return found

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift.functions.scale import cut, with_fields
+from clearsift.llm.batches import unused
 
 NGRAM = 10
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -159,26 +160,27 @@ def clean(
     a digest of it.  Null texts are clean; all columns are kept.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    found = scan(docs, benchmark, [digest.alias("__found")], text_col, **names)
+    own, owner, held, parts = unused(docs, "digest", "found", "spans", "pieces")
+    found = scan(docs, benchmark, [digest.alias("found")], text_col, **names)
     found = cut(
-        found.where("n_hit > 0").groupBy("__found").agg(F.first("spans").alias("__spans"))
+        found.where("n_hit > 0")
+        .groupBy(F.col("found").alias(owner))
+        .agg(F.first("spans").alias(held))
     )
-    keyed = docs.withColumn("__digest", digest)
+    keyed = docs.withColumn(own, digest)
     if remove == "documents":
-        return keyed.join(found, F.col("__digest") == F.col("__found"), "left_anti").drop(
-            "__digest"
-        )
+        return keyed.join(found, F.col(own) == F.col(owner), "left_anti").drop(own)
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(PIECES), 0)
-    joined = keyed.join(found, F.col("__digest") == F.col("__found"), "left")
-    joined = with_fields(joined, F.when(F.col("__spans").isNotNull(), pieces).alias("__pieces"))
-    head = F.when(F.get("__pieces", F.lit(0)).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
+    joined = keyed.join(found, F.col(own) == F.col(owner), "left")
+    joined = with_fields(joined, F.when(F.col(held).isNotNull(), pieces).alias(parts))
+    head = F.when(F.get(parts, F.lit(0)).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
     kept = F.filter(
-        "__pieces",
+        parts,
         lambda p, i: (i < head)
         | ~F.exists(
-            "__spans",
+            held,
             lambda s: (s["start"] <= F.floor((i - head) / 2)) & (F.floor((i - head) / 2) < s["end"]),
         ),
     )
-    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    new = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     return joined.withColumn(text_col, new).select(*docs.columns)
