@@ -30,7 +30,7 @@ from pyspark.sql import Window
 
 from clearsift.functions.scale import cut, scratch_path
 from clearsift.llm import shingles
-from clearsift.llm.batches import small_batches
+from clearsift.llm.batches import small_batches, unused
 from clearsift.llm.components import components, star_labels
 
 SIZE = 5
@@ -463,17 +463,18 @@ def one_of_each(
             F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key")),
         )
     )
-    gone = marked.where(~F.col("stays")).select(F.col("id").alias("__id"), F.col("text_key").alias("__key"))
+    own, owner, key = unused(docs, "own", "id", "key")
+    gone = marked.where(~F.col("stays")).select(F.col("id").alias(owner), F.col("text_key").alias(key))
     if gone.count() <= BROADCAST_NODES:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn("__own", digest_column(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.withColumn(own, digest_column(F.coalesce(F.col(text_col), F.lit(""))))
     kept = keyed.join(
-        gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti"
+        gone, F.col(id_col).eqNullSafe(F.col(owner)) & (F.col(own) == F.col(key)), "left_anti"
     )
     if not marked.where("stays AND times > 1").isEmpty():  # repeated rows
         empty = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
-        kept = kept.where(empty).union(kept.where(~empty).dropDuplicates([id_col, "__own"]))
-    return kept.drop("__own")
+        kept = kept.where(empty).union(kept.where(~empty).dropDuplicates([id_col, own]))
+    return kept.drop(own)
 
 
 def digest_column(text):

@@ -235,10 +235,10 @@ def test_chains_against_plain_dynamic_programming():
             earlier = [
                 score[j] - 0.125 * (x - a + y - b) for j, (a, b) in enumerate(ordered[:i]) if a < x and b < y
             ]
-            score.append(6 + max([0, *earlier]))
+            score.append(passage_dedup.KMER + max([0, *earlier]))
         chains = passage_dedup.chains(list(matches), longest_gap=10**9)
         assert sorted(m for c in chains for m in c) == ordered
-        value = lambda c: 6 * len(c) - sum(
+        value = lambda c: passage_dedup.KMER * len(c) - sum(
             0.125 * (b[0] - a[0] + b[1] - a[1]) for a, b in zip(c, c[1:])
         )
         assert abs(max(map(value, chains)) - max(score)) < 1e-9
@@ -285,3 +285,100 @@ def test_components_of_long_chains(spark):
     near = {r.node: r.component for r in star_labels(frame.where("a <> b")).collect()}
     assert all(got[n] == got[c] for n, c in near.items())
     assert components(frame.where("false")).count() == 0
+
+
+def aligned_brute(one, other, least=50, identity=0.8):
+    """Words of ``one`` in passages it shares with ``other``, which begin and end
+    with an equal word: every pair of places is tried, edits are substitutions."""
+    covered = set()
+    for shift in range(-len(other) + 1, len(one)):
+        low, high = max(0, shift), min(len(one), len(other) + shift)
+        equal = [one[i] == other[i - shift] for i in range(low, high)]
+        sums = np.cumsum([0, *equal])
+        for i in range(len(equal) - least + 1):
+            last = i + least - 1
+            if equal[i] and equal[last] and sums[last + 1] - sums[i] >= identity * least:
+                covered |= set(range(low + i, low + i + least))
+    return covered
+
+
+def test_recall_of_whole_queries(spark):
+    """All words that brute force finds in passages of earlier documents."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    def changed(passage, percent):
+        out = list(passage)
+        for i in rng.sample(range(len(out)), len(out) * percent // 100):
+            out[i] = fresh(1)[0]
+        return out
+
+    passages = [fresh(n) for n in (50, 55, 60, 80, 120)]
+    texts = []
+    for n in range(60):
+        parts = []
+        for passage in rng.sample(passages, rng.randrange(3)):
+            kind = rng.randrange(4)
+            part = changed(passage, rng.choice([0, 5, 10, 15])) if kind else passage[: rng.randrange(20, 49)]
+            parts += fresh(rng.randrange(60)) + part
+        texts.append(parts + fresh(rng.randrange(80)))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    key = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) AS k").collect()}
+    spans = defaultdict(set)
+    for r in passage_dedup.passages(docs).collect():
+        assert key[r.source_id] < key[r.id]
+        spans[r.id] |= set(range(r.start, r.end))
+    expected = {
+        i: set().union(*(aligned_brute(one, texts[j]) for j in range(60) if key[j] < key[i]))
+        for i, one in enumerate(texts)
+    }
+    total = sum(map(len, expected.values()))
+    caught = sum(len(expected[i] & spans[i]) for i in expected)
+    extra = sum(len(spans[i] - expected[i]) for i in expected)
+    print("recall", caught / total, "beyond", extra / total, "of", total)
+    assert total > 2000 and caught >= 0.9 * total and extra <= 0.1 * total
+
+
+def test_partial_quote_in_the_source_itself(spark):
+    """The first document quotes 49 of 60 words before it has the whole passage."""
+    rng = random.Random(41)
+    pairs = []
+    for n in range(6):
+        passage = [f"p{n}.{i}" for i in range(60)]
+        quote, whole = " ".join(passage[:49]), " ".join(passage)
+        source = f"{vocabulary(rng, 40)} {quote} {vocabulary(rng, 40)} {quote} {vocabulary(rng, 30)} {whole} {vocabulary(rng, 9)} {quote}"
+        pairs.append([source, f"{vocabulary(rng, 70)} {whole} {vocabulary(rng, 70)}"])
+    rows = ordered_by_key(spark, [p[0] for p in pairs] + [p[1] for p in pairs])
+    found = {(r.id, r.start, r.end) for r in passage_dedup.passages(frame(spark, rows)).collect()}
+    assert {(i, 70, 130) for i, _ in rows[6:]} <= found
+
+
+def test_hot_seeds_are_resolved_in_their_batch(spark, monkeypatch):
+    """A text of one word, a line in every document and a passage in many."""
+    rng = random.Random(43)
+    line, passage = vocabulary(rng, 25), vocabulary(rng, 55)
+    texts = ["again " * 3000, "again " * 2000 + vocabulary(rng, 50)]
+    texts += [f"{vocabulary(rng, 30)} {line} {vocabulary(rng, 30)}" for _ in range(150)]
+    texts += [f"{vocabulary(rng, 30)} {passage} {vocabulary(rng, 30)}" for _ in range(40)]
+    docs = frame(spark, list(enumerate(texts)), 3)
+    once = {(r.id, r.start, r.end) for r in passage_dedup.passages(docs).collect()}
+    monkeypatch.setattr(passage_dedup, "HOT_LEAST", 32)
+    monkeypatch.setattr(passage_dedup, "HOT_SHARE", 500)
+    hot = {(r.id, r.start, r.end) for r in passage_dedup.passages(docs).collect()}
+    for found in (once, hot):
+        assert len({i for i, a, b in found if i >= 152 and b - a >= 55}) == 39
+        assert not {i for i, _, _ in found if 2 <= i < 152}
+        assert len({i for i, _, _ in found if i < 2}) == 1
+
+
+def test_helper_names_in_the_input_and_long_texts(spark):
+    rng = random.Random(47)
+    long = " ".join(vocabulary(rng, 1000) for _ in range(30))
+    passage = vocabulary(rng, 60)
+    rows = [(1, f"{long} {passage}", 5, "k", "o"), (2, f"{passage} tail of it", 6, "k", "o"), (3, None, 7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __KEY string, __own string")
+    left = {r.doc_id: r for r in passage_dedup.without_passages(docs).collect()}
+    assert sum(passage in (r.text or "") for r in left.values()) == 1 and left[3]["__id"] == 7
+    assert passage_dedup.without_passages(docs).columns == docs.columns
+    assert jaccard_join.one_of_each(docs).columns == docs.columns
