@@ -1,10 +1,13 @@
-"""Connected components of links, as joins until nothing changes."""
+"""Connected components of links by contraction."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clearsift.functions.scale import cut
 
+#: Rows of two numbers that may be broadcast, about 16 MB.
+BROADCAST_ROWS = 500_000
+
 
 def star_labels(links: DataFrame) -> DataFrame:
     """``node``, ``component``: one step towards components, without a loop.
@@ -27,27 +30,54 @@ def star_labels(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for the nodes of
-    ``links`` (``a``, ``b``).  A round gives every node the least label of its
-    neighbours, then that label's own; rounds end when nothing changes."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component"))
-    if both.isEmpty():
-        return labels
-    labels = cut(labels)
-    while True:
-        spread = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
-            .union(labels.select("node", "component", F.col("component").alias("was")))
-            .groupBy("node")
-            .agg(F.min("component").alias("next"), F.max("was").alias("was"))
+    ``links`` (``a``, ``b``).
+
+    A round hooks every node to the first of its neighbours and itself, in an
+    order by hash that is drawn anew each round, and rewrites the links between
+    the nodes hooked to; links within one node go.  So a round leaves a share of
+    the nodes, however long their chains are.  When no link is left the rounds
+    are unrolled from the last, which is the smallest.
+    """
+    left = _different(links.select("a", "b"))
+    rounds = []
+    while not left.isEmpty():
+        hooks = cut(_hooks(left, len(rounds)))
+        rounds.append(hooks)
+        sized = _sized(hooks)
+        left = _different(
+            left.join(sized.select(F.col("node").alias("a"), F.col("hook").alias("x")), "a")
+            .join(sized.select(F.col("node").alias("b"), F.col("hook").alias("y")), "b")
+            .select(F.col("x").alias("a"), F.col("y").alias("b"))
         )
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
-        after = cut(
-            spread.join(jump, "next").select(
-                "node", F.least("next", "further").alias("component"), "was"
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = rounds.pop().withColumnRenamed("hook", "root")
+    for hooks in reversed(rounds):
+        further = found.select(F.col("node").alias("hook"), "root")
+        found = cut(
+            hooks.join(_sized(further), "hook", "left").select(
+                "node", F.coalesce("root", "hook").alias("root")
             )
         )
-        labels = after.select("node", "component")
-        if after.where("component <> was").isEmpty():
-            return labels
+    smallest = cut(found.groupBy("root").agg(F.least("root", F.min("node")).alias("component")))
+    return found.join(_sized(smallest), "root").select("node", "component")
+
+
+def _different(links: DataFrame) -> DataFrame:
+    """Links of two nodes, each once."""
+    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(ordered.where("a <> b").distinct())
+
+
+def _hooks(links: DataFrame, salt: int) -> DataFrame:
+    """``node``, ``hook``: the first of a node and its neighbours in this order."""
+    order = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("n"))
+    near = links.select(F.col("a").alias("node"), order("b").alias("near")).union(
+        links.select("b", order("a"))
+    )
+    first = near.groupBy("node").agg(F.min("near").alias("near"))
+    return first.select("node", F.least("near", order("node"))["n"].alias("hook"))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
