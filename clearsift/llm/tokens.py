@@ -3,7 +3,9 @@
 The tokenizer is a vocabulary file of its own library; only its words are
 remembered between texts.  A word of a plain Latin text is looked up in a
 bounded store, unknown words of a batch are encoded together, and every other
-text goes to the tokenizer whole, so ids are always the tokenizer's own.
+text goes to the tokenizer whole, so ids are always the tokenizer's own.  The
+store has two halves: when the newer is full it becomes the older, and words of
+the older that are met again move over, so words in use are never forgotten.
 """
 
 import os
@@ -11,7 +13,9 @@ import re
 
 import numpy as np
 
-STORE_WORDS = 150_000
+STORE_WORDS = 300_000
+# Unknown words encoded in one call; longer texts cost it more a word.
+LEARNED = 500
 # Splits plain texts as the tokenizer itself does; other texts never come here.
 _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 # Anything but printable ASCII, ASCII white space and letters of Latin-1 and
@@ -33,13 +37,21 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._whole = Tokenizer.from_file(path)
+        # The same model for words that are split and lower-cased already.
+        self._words = Tokenizer(self._whole.model)
+        self._words.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
         self._ends = np.zeros(self._whole.get_vocab_size(), dtype=bool)
         for token, number in self._whole.get_vocab().items():
             self._ends[number] = token.endswith("</w>")
-        self._known = {}
+        self._known, self._older = {}, {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(
@@ -47,11 +59,10 @@ class WordTokenizer:
         )
 
     def _learn(self, words: list[str]) -> None:
-        if len(self._known) + len(words) > STORE_WORDS:
-            self._known.clear()
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            ids = self._encode(" ".join(part))
+        for start in range(0, len(words), LEARNED):
+            part = words[start : start + LEARNED]
+            encoded = self._words.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(encoded[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self._ends[ids]) + 1
             if len(cuts) != len(part):
                 for word in part:
@@ -68,14 +79,15 @@ class WordTokenizer:
         for text in texts:
             plain = text is not None and "<|" not in text and not _OTHER(text)
             split.append(_UNITS(text.lower()) if plain else None)
-        missing = set().union(*(s for s in split if s)).difference(self._known)
+        asked = set().union(*(s for s in split if s))
+        missing = asked.difference(self._known)
         if missing:
-            before = len(self._known)
-            self._learn(sorted(missing))
-            if len(self._known) < before + len(missing):  # the store was emptied
-                again = set().union(*(s for s in split if s)).difference(self._known)
-                for word in again:
-                    self._known[word] = self._encode(word).tobytes()
+            if len(self._known) + len(missing) > STORE_WORDS // 2:
+                self._older, self._known, missing = self._known, {}, asked
+            known, older = self._known, self._older
+            for word in missing.intersection(older):
+                known[word] = older[word]
+            self._learn(sorted(missing.difference(known)))
         get = self._known.__getitem__
         out = []
         for text, units in zip(texts, split):
