@@ -163,7 +163,7 @@ def _with_codes(spark, folder, hits):
 def violation_records(spark, folder):
     """One blocked record per id that a broken retriever let through."""
     try:
-        entitlements.enforce(_unfiltered_hits(spark, folder))
+        found = entitlements.violations(entitlements.enforce(_unfiltered_hits(spark, folder)))
     except entitlements.AccessViolation as refused:
         found = refused.rows  # all of them, to be recorded before anything is answered
     records = access_log.violation_records(found, corpus.topic_requests(spark, folder))
