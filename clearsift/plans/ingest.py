@@ -52,11 +52,23 @@ def load_documents(
     files: DataFrame, documents: DataFrame, first_id: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The documents after loading ``files``, and the parsed files with their id."""
+    return merge_documents(parsed_files(files), documents, first_id)
+
+
+def parsed_files(files: DataFrame) -> DataFrame:
+    """One parsed row per path, stored.  The files are stored first, as each way
+    of parsing and each refusal would read them all again."""
     order = [F.col("modified")] if "modified" in files.columns else []
     files = latest(
         files.withColumn("__order", F.struct(*order, F.md5("content"))), ["path"], "__order"
     ).drop("__order", "modified")
-    parsed = cut(parse_files(files).withColumn("loaded", F.lit(1)))
+    return cut(parse_files(cut(files)).withColumn("loaded", F.lit(1)))
+
+
+def merge_documents(
+    parsed: DataFrame, documents: DataFrame, first_id: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """As ``load_documents``, for files that are parsed already."""
     merged = cut(
         upsert_documents(
             documents,
@@ -150,10 +162,11 @@ def ingest_into(store: Store, files: DataFrame, encoder, dim: int = C.EMBEDDING_
     """
     version = store.manifest()
     ids = version["next_ids"]
-    places = {"documents": store.buckets_of(files, "path")}
+    parsed = parsed_files(files)
+    places = {"documents": store.buckets_of(parsed, "path")}
     documents = store.read("documents", version, places["documents"], DOCUMENTS)
     first = ids.get("documents", 1)
-    merged, loaded = load_documents(files, documents, first)
+    merged, loaded = merge_documents(parsed, documents, first)
     places["clauses"] = places["chunks"] = store.buckets_of(loaded, "document_id")
     clauses, chunks, report, after = load_parts(
         loaded,
