@@ -1,6 +1,6 @@
 """Hybrid entitled search and what is done with its hits."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
@@ -169,8 +169,21 @@ def evidence_blocks(hits: DataFrame, requests: DataFrame) -> DataFrame:
 
 def record_blocks(events: DataFrame, requests: DataFrame) -> DataFrame:
     """One labelled text block of log events per request (at most 50 events)."""
+    return _blocks(events, requests, record_entry(), "\n", C.RECORD_LABEL, C.NO_RECORDS)
+
+
+def listed_blocks(lists: DataFrame) -> DataFrame:
+    """As ``record_blocks`` for requests that have their events as a list, with
+    the ``entry`` of each; nothing is shuffled."""
+    body = F.array_join(F.transform("events", lambda e: e["entry"]), "\n")
+    block = F.when(F.size("events") > 0, wrapped(C.RECORD_LABEL, body))
+    return lists.select("request_id", F.coalesce(block, F.lit(C.NO_RECORDS)).alias("block"))
+
+
+def record_entry() -> Column:
+    """A log event as a line of a block."""
     time = F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(C.UNKNOWN_TIME))
-    entry = F.concat(
+    return F.concat(
         time,
         F.lit(" ["),
         neutralize("host", C.RECORD_HOST_MAX),
@@ -179,7 +192,6 @@ def record_blocks(events: DataFrame, requests: DataFrame) -> DataFrame:
         F.lit(" "),
         neutralize("raw"),
     )
-    return _blocks(events, requests, entry, "\n", C.RECORD_LABEL, C.NO_RECORDS)
 
 
 def _blocks(rows, requests, entry, separator, label, nothing) -> DataFrame:

@@ -67,7 +67,7 @@ def _stored_before(parsed):
 )
 def load_logs(spark, folder):
     """Rows to insert: each line delivered twice, half of them stored before."""
-    parsed = _parsed(spark, folder)
+    parsed = cut(_parsed(spark, folder))
     twice = parsed.unionByName(parsed)
     accepted = logs.accepted_events(twice, corpus.hosts(spark, folder), _stored_before(parsed))
     return accepted.groupBy("file").agg(
@@ -84,7 +84,7 @@ def load_logs(spark, folder):
 )
 def load_report(spark, folder):
     """Parsed, skipped and inserted lines per file; refused files insert nothing."""
-    parsed, hosts = _parsed(spark, folder), corpus.hosts(spark, folder)
+    parsed, hosts = cut(_parsed(spark, folder)), corpus.hosts(spark, folder)
     accepted = logs.accepted_events(parsed, hosts, _stored_before(parsed))
     return logs.load_report(parsed, accepted, hosts)
 
@@ -144,8 +144,14 @@ def _log_hits(spark, folder):
 )
 def record_blocks(spark, folder):
     """One bounded, labelled block of events per log question."""
-    requests, found = _log_hits(spark, folder)
-    return retrieval.record_blocks(found, requests).select(
+    requests, _ = logs.valid_since(corpus.log_requests(spark, folder))
+    found = logs.query_log_lists(
+        corpus.log_events(spark, folder),
+        corpus.hosts(spark, folder),
+        requests,
+        retrieval.record_entry().alias("entry"),
+    )
+    return retrieval.listed_blocks(found).select(
         "request_id", F.md5("block").alias("block_md5")
     )
 
