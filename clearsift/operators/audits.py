@@ -9,6 +9,9 @@ from clearsift.functions.access import access_keys, class_key, visible
 from clearsift.functions.scale import broadcast_if_small
 from clearsift.operators.entitlements import class_sets, principal_classes
 
+# Rows of result lists that one task sorts.
+SORTED_ROWS = 1_000_000
+
 
 def result_counts(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits per request, zero included."""
@@ -36,12 +39,18 @@ def order_conflicts(hits: DataFrame) -> DataFrame:
 
     All result lists of a query must follow a single total order (distance,
     then chunk id).  Then any two principals keep the relative order of the
-    chunks both see, without comparing principals pair by pair.
+    chunks both see, without comparing principals pair by pair.  Lists are sorted
+    in parts of about ``SORTED_ROWS`` rows, however many there are.
     """
+    parts = hits.count() // SORTED_ROWS + 1
+    least = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = hits.select("request_id", "query_id", "chunk_id", "rank", "distance").repartition(
+        max(parts, least), "request_id"
+    )
     in_list = Window.partitionBy("request_id").orderBy("rank")
     place = F.struct("distance", "chunk_id")
     inversions = (
-        hits.withColumn("previous", F.lag(place).over(in_list))
+        lists.withColumn("previous", F.lag(place).over(in_list))
         .groupBy("query_id")
         .agg(
             F.count_if(F.col("previous") >= place).alias("inversions"),
