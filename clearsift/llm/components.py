@@ -7,6 +7,8 @@ from clearsift.functions.scale import cut
 
 #: Rows of two numbers that may be broadcast, about 16 MB.
 BROADCAST_ROWS = 500_000
+#: Links that one task solves at once, about 3 MB; more are contracted first.
+SOLVED = 200_000
 
 
 def star_labels(links: DataFrame) -> DataFrame:
@@ -35,12 +37,13 @@ def components(links: DataFrame) -> DataFrame:
     A round hooks every node to the first of its neighbours and itself, in an
     order by hash that is drawn anew each round, and rewrites the links between
     the nodes hooked to; links within one node go.  So a round leaves a share of
-    the nodes, however long their chains are.  When no link is left the rounds
-    are unrolled from the last, which is the smallest.
+    the nodes, however long their chains are.  When at most ``SOLVED`` links are
+    left, whatever their number was, a union-find joins them, and the rounds are
+    unrolled from the last, which is the smallest.
     """
     left = _different(links.select("a", "b"))
     rounds = []
-    while not left.isEmpty():
+    while left.count() > SOLVED:
         hooks = cut(_hooks(left, len(rounds)))
         rounds.append(hooks)
         sized = _sized(hooks)
@@ -49,9 +52,10 @@ def components(links: DataFrame) -> DataFrame:
             .join(sized.select(F.col("node").alias("b"), F.col("hook").alias("y")), "b")
             .select(F.col("x").alias("a"), F.col("y").alias("b"))
         )
+    found = _solved(left)
     if not rounds:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = rounds.pop().withColumnRenamed("hook", "root")
+        return found.withColumnRenamed("root", "component")
+    found = cut(found)
     for hooks in reversed(rounds):
         further = found.select(F.col("node").alias("hook"), "root")
         found = cut(
@@ -63,6 +67,31 @@ def components(links: DataFrame) -> DataFrame:
     return found.join(_sized(smallest), "root").select("node", "component")
 
 
+def _solved(links: DataFrame) -> DataFrame:
+    """``node``, ``root`` (the smallest node reachable) of a few links."""
+
+    def solve(batches):
+        from pyarrow import RecordBatch, array
+
+        root = {}
+
+        def find(node):
+            while root.setdefault(node, node) != node:
+                root[node] = node = root[root[node]]
+            return node
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield RecordBatch.from_arrays(
+            [array(nodes, "int64"), array([find(n) for n in nodes], "int64")], names=["node", "root"]
+        )
+
+    return links.coalesce(1).mapInArrow(solve, "node long, root long")
+
+
 def _different(links: DataFrame) -> DataFrame:
     """Links of two nodes, each once."""
     ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

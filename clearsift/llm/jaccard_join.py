@@ -32,6 +32,7 @@ from clearsift.functions.scale import cut, scratch_path
 from clearsift.llm import shingles
 from clearsift.llm.batches import small_batches, unused
 from clearsift.llm.components import components, star_labels
+from clearsift.sources import files
 
 SIZE = 5
 PERCENT = 80
@@ -89,9 +90,14 @@ def _frequent(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
 
 
 def shingle_sets(
-    docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, percent: int = PERCENT
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    size: int = SIZE,
+    percent: int = PERCENT,
+    path: str | None = None,
 ) -> DataFrame:
-    """A stored table of ``row`` (a number for each row), ``id``, ``text_key``
+    """A stored table (under ``path``) of ``row`` (a number for each row), ``id``, ``text_key``
     (digest of the text), ``n``, ``digest`` (of the set, null without words),
     ``grp`` (hash of prefix and size), ``prefix`` and ``rest`` (the set in the
     common order, parted)."""
@@ -154,7 +160,7 @@ def shingle_sets(
                 )
                 row_number += part.num_rows
 
-    path = scratch_path(spark, "shingle-sets")
+    path = path or scratch_path(spark, "shingle-sets")
     docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         sets, schema
     ).write.parquet(path)
@@ -423,6 +429,7 @@ def similar_documents(
     text_col: str = "text",
     size: int = SIZE,
     percent: int = PERCENT,
+    path: str | None = None,
 ) -> DataFrame:
     """One row per document: ``id``, ``text_key``, ``n_shingles``, ``node`` and
     ``component_id``, the smallest id reachable by links, its own included.
@@ -430,9 +437,9 @@ def similar_documents(
     A null text and a text without words have an empty set, no node and no
     links; rows of equal sets are linked; null ids take part, but are never a
     component's id unless it has no other; an empty table stays empty; other
-    columns are left out.
+    columns are left out.  The sets are stored under ``path`` and read by the result.
     """
-    sets = shingle_sets(docs, id_col, text_col, size, percent)
+    sets = shingle_sets(docs, id_col, text_col, size, percent, path)
     nodes = nodes_of(sets)
     joined = link_components(sets, nodes, percent)
     named = cut(
@@ -454,7 +461,11 @@ def one_of_each(
     """``docs`` with one row of each component: that with the smallest id, and
     of rows with equal id that with the smallest digest.  Rows without words
     stay; null ids come first; all columns are kept."""
-    found = cut(similar_documents(docs, id_col, text_col, **options).where("node IS NOT NULL"))
+    spark = docs.sparkSession
+    path = scratch_path(spark, "shingle-sets")
+    found = similar_documents(docs, id_col, text_col, path=path, **options)
+    found = cut(found.where("node IS NOT NULL"))
+    files.remove(spark, path)  # as large as the texts
     best = found.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("best"))
     marked = found.groupBy("component", "id", "text_key").agg(F.count("*").alias("times"))
     marked = cut(

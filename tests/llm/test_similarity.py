@@ -3,11 +3,14 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
 
+from clearsift.functions.scale import shared_dir
+from clearsift.llm import components as components_module
 from clearsift.llm import jaccard_join, passage_dedup, shingles
 from clearsift.llm.components import components, star_labels
 
@@ -287,6 +290,31 @@ def test_components_of_long_chains(spark):
     assert components(frame.where("false")).count() == 0
 
 
+def test_components_in_rounds_and_at_once(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(a, a + rng.choice([1, 1, 1, 5])) for a in rng.sample(range(2000), 1200)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    tracker = spark.sparkContext.statusTracker()
+
+    def found():
+        before = len(tracker.getJobIdsForGroup(None))
+        got = {r.node: r.component for r in components(frame).collect()}
+        return got, len(tracker.getJobIdsForGroup(None)) - before
+
+    at_once, jobs = found()
+    assert jobs < 10
+    monkeypatch.setattr(components_module, "SOLVED", 3)
+    assert found()[0] == at_once and len(at_once) == len({n for link in links for n in link})
+
+
+def test_shingle_sets_go_with_their_step(spark):
+    held = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(held.glob("shingle-sets-*"))
+    kept = jaccard_join.one_of_each(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")]))
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
+    assert set(held.glob("shingle-sets-*")) == before
+
+
 def aligned_brute(one, other, least=50, identity=0.8):
     """Words of ``one`` in passages it shares with ``other``, which begin and end
     with an equal word: every pair of places is tried, edits are substitutions."""
