@@ -1,7 +1,7 @@
 """Encoding text with a caller-supplied model, in Arrow batches."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +39,10 @@ def encode(
         + [T.StructField("embedding", T.ArrayType(T.FloatType()))]
     )
 
-    def run(frames):
-        for frame in frames:
-            vectors = []
-            texts = frame.pop("__text").tolist()
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(len(keep)).to_pylist()
+            vectors = [np.zeros((0, dim), dtype=np.float32)]
             for at in range(0, len(texts), batch_size):
                 raw = np.asarray(
                     encoder([prefix + t for t in texts[at : at + batch_size]]), dtype=np.float64
@@ -50,10 +50,13 @@ def encode(
                 if raw.ndim != 2 or raw.shape[1] != dim:
                     raise ValueError(f"the encoder must return {dim} columns: {raw.shape}")
                 norms = np.linalg.norm(raw, axis=1, keepdims=True)
-                vectors.extend((raw / np.where(norms == 0, 1.0, norms)).astype(np.float32))
-            yield frame.assign(embedding=pd.Series(vectors, index=frame.index, dtype=object))
+                vectors.append((raw / np.where(norms == 0, 1.0, norms)).astype(np.float32))
+            edges = np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(edges, np.concatenate(vectors).ravel())
+            columns = [batch.column(number) for number in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=schema.names)
 
-    return narrow.mapInPandas(run, schema)
+    return narrow.mapInArrow(run, schema)
 
 
 def pending(rows: DataFrame, vectors: DataFrame, text_col: str) -> DataFrame:

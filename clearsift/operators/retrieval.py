@@ -17,7 +17,7 @@ from clearsift.sources.inverted import InvertedTable
 
 def hybrid_search(
     chunks: DataFrame,
-    posting: DataFrame | InvertedTable,
+    posting: DataFrame | InvertedTable | None,
     requests: DataFrame,
     queries: DataFrame,
     k: int = C.DEFAULT_K,
@@ -27,7 +27,8 @@ def hybrid_search(
 
     Every retriever hands over ``5 k`` candidates per distinct (query, class);
     requests only join the fused lists.  ``queries`` has query_id, query and
-    vector.  ``k`` is held within 1..20.
+    vector.  ``k`` is held within 1..20.  Without ``posting`` the words of the
+    chunks' texts are searched (see ``search_keyword``).
     """
     k = max(1, min(k, C.MAX_K))
     candidates = k * C.CANDIDATE_MULTIPLIER
@@ -55,7 +56,7 @@ def asked_k(hits: DataFrame, requests: DataFrame) -> DataFrame:
 
 def policy_search(
     chunks: DataFrame,
-    posting: DataFrame | InvertedTable,
+    posting: DataFrame | InvertedTable | None,
     documents: DataFrame,
     clauses: DataFrame,
     requests: DataFrame,

@@ -445,8 +445,9 @@ def quality_report(spark, folder):
 )
 def evaluate_hybrid(spark, folder):
     """Hybrid search scored per question against the document of the same number."""
-    requests, hits = _hybrid(spark, folder)
-    codes = corpus.text_chunks(spark, folder).select(
+    chunks = corpus.stored_chunks(spark, folder)
+    requests, hits = _hybrid(spark, folder, chunks=chunks)
+    codes = chunks.select(
         "chunk_id", "document_id", F.col("clause_code").alias("code")
     )
     golden = requests.select("request_id", "query_id")

@@ -27,6 +27,8 @@ TOPICS = 10
 # within Spark's limits reaches in windows of 750 characters.
 PARTS = 1 << 22
 HASH_DIM = 64
+# Words whose places a task remembers.
+PLACES = 500_000
 SEVERAL = 3
 YEAR = 2024
 
@@ -146,7 +148,7 @@ def encoded_chunks(spark, folder, keep=CHUNK_KEYS) -> DataFrame:
 
 def stored_chunks(spark, folder) -> DataFrame:
     """Chunks with text and vector, written once: search and hydration read them."""
-    return cut(encoded_chunks(spark, folder, [*CHUNK_KEYS, "text"]))
+    return cut(encoded_chunks(spark, folder, [*CHUNK_KEYS, "clause_code", "doc_title", "text"]))
 
 
 def stored_postings(spark, folder) -> DataFrame:
@@ -293,19 +295,28 @@ def encoded_queries(spark, folder) -> DataFrame:
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
+class _Places(dict):
+    """The place of a word, behind all others if its sign is negative."""
+
+    def __missing__(self, word):
+        if len(self) >= PLACES:
+            self.clear()
+        number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        place = self[word] = number % HASH_DIM + HASH_DIM * (number // HASH_DIM % 2)
+        return place
+
+
+_PLACES = _Places()
+
+
 def hash_encoder(texts) -> np.ndarray:
     """A stand-in for a model: signed feature hashing of words."""
-    places = {}
-    out = np.zeros((len(texts), HASH_DIM))
-    for row, text in enumerate(texts):
-        for word in _WORD.findall(text.lower()):
-            place = places.get(word)
-            if place is None:
-                number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-                place = (number % HASH_DIM, 1 - 2 * (number // HASH_DIM % 2))
-                places[word] = place
-            out[row, place[0]] += place[1]
-    return out
+    found = [[_PLACES[word] for word in _WORD.findall(text.lower())] for text in texts]
+    row = np.repeat(np.arange(len(texts)), [len(places) for places in found])
+    flat = np.array([place for places in found for place in places], dtype=np.int64)
+    times = np.bincount(row * 2 * HASH_DIM + flat, minlength=len(texts) * 2 * HASH_DIM)
+    times = times.reshape(len(texts), 2 * HASH_DIM).astype(np.float64)
+    return times[:, :HASH_DIM] - times[:, HASH_DIM:]
 
 
 # ------------------------------------------------------------------- logs

@@ -292,6 +292,27 @@ def test_scores_by_joins_equal_those_added_in_tasks(worded, monkeypatch):
     assert answers() == expected
 
 
+def test_words_are_searched_in_the_texts_as_in_an_index(worded, monkeypatch):
+    chunks, queries, requests = worded
+    posting = keyword_search.postings(chunks)
+
+    def answers(index):
+        best, _ = keyword_search.search_keyword(index, chunks, requests, queries, 7)
+        return {(r.query_id, r.class_key, r["rank"]): (r.chunk_id, r.score) for r in best.collect()}
+
+    def totals():
+        return {r[0]: (r[1], round(r[2], 6)) for r in keyword_search.match_totals(chunks, queries).collect()}
+
+    scores = keyword_search.keyword_scores(posting, keyword_search.request_terms(queries))
+    counted = scores.groupBy("query_id").agg(F.count("*"), F.sum("score")).collect()
+    expected, sums = answers(posting), {r[0]: (r[1], round(r[2], 6)) for r in counted}
+    assert len(expected) > 100 and answers(None) == expected and totals() == sums
+    monkeypatch.setattr(keyword_search, "KNOWN_WORDS", 2)
+    assert answers(None) == expected
+    monkeypatch.setattr(keyword_search, "ASKED_TERMS", 1)  # by joins
+    assert answers(None) == expected and totals() == sums
+
+
 def test_hybrid_search_equals_its_parts(worded):
     chunks, queries, requests = worded
     posting = keyword_search.postings(chunks)
