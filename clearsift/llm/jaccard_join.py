@@ -99,8 +99,9 @@ def shingle_sets(
 ) -> DataFrame:
     """A stored table (under ``path``) of ``row`` (a number for each row), ``id``, ``text_key``
     (digest of the text), ``n``, ``digest`` (of the set, null without words),
-    ``grp`` (hash of prefix and size), ``prefix`` and ``rest`` (the set in the
-    common order, parted)."""
+    ``grp`` (hash of prefix and size), ``prefix`` (the head of the set in the
+    common order) and ``text`` (UTF-8).  A whole set takes more room than its
+    text, so the few that are compared are made from it again."""
     spark = small_batches(docs).sparkSession
     last = spark.sparkContext.broadcast(_frequent(docs, text_col, size))
     schema = T.StructType(
@@ -112,7 +113,7 @@ def shingle_sets(
             T.StructField("digest", T.BinaryType()),
             T.StructField("grp", T.LongType()),
             T.StructField("prefix", T.ArrayType(T.LongType(), False)),
-            T.StructField("rest", T.ArrayType(T.LongType(), False)),
+            T.StructField("text", T.BinaryType()),
         ]
     )
 
@@ -146,7 +147,7 @@ def shingle_sets(
                     key = shingles.digest(prefix.tobytes(), n.to_bytes(8, "little"))
                     values = (
                         hashlib.md5(raw).digest(), n, shingles.digest(tokens.tobytes()) if n else None,
-                        int.from_bytes(key[:8], "little", signed=True), prefix, ordered[cut_at:],
+                        int.from_bytes(key[:8], "little", signed=True), prefix, raw,
                     )
                     for column, value in zip(columns, values):
                         column.append(value)
@@ -163,7 +164,7 @@ def shingle_sets(
     path = path or scratch_path(spark, "shingle-sets")
     docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         sets, schema
-    ).write.parquet(path)
+    ).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -172,14 +173,14 @@ def _sized(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_NODES else rows
 
 
-def _with_sets(rows: DataFrame, sets: DataFrame, node: str, out: str) -> DataFrame:
-    """``rows`` with the set of the node in column ``node``: nodes are row
+def _with_texts(rows: DataFrame, sets: DataFrame, node: str, out: str) -> DataFrame:
+    """``rows`` with the text of the node in column ``node``: nodes are row
     numbers of the stored sets."""
-    tokens = sets.select(F.col("row").alias(node), F.concat("prefix", "rest").alias(out))
-    return tokens.join(_sized(rows), node)
+    texts = sets.select(F.col("row").alias(node), F.col("text").alias(out))
+    return texts.join(_sized(rows), node)
 
 
-def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
+def _links_in_blocks(placed: DataFrame, size: int, percent: int) -> DataFrame:
     """Nodes ``b`` of each block connected to ``a``, the first of their cluster.
     Every node is compared with the first and the newest member of at most TRIES
     clusters of the block, and joins the first it is similar to."""
@@ -190,11 +191,11 @@ def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
         block, clusters, found = None, [], []
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            nodes, tokens = batch.column(2).to_pylist(), batch.column(3)
+            nodes, texts = batch.column(2).to_pylist(), batch.column(3)
             for i, key in enumerate(keys):
                 if key != block:
                     block, clusters = key, []
-                own = np.sort(tokens[i].values.to_numpy())
+                own = shingles.shingle_set(texts[i].as_buffer(), size)
                 home = None
                 for number, cluster in enumerate(clusters[:TRIES]):
                     for node, members in cluster:
@@ -221,28 +222,28 @@ def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
     ordered = placed.repartition("key", "part").sortWithinPartitions(
         "key", "part", "own", "node"
     )
-    return ordered.select("key", "part", "node", "tokens").mapInArrow(link, "a long, b long")
+    return ordered.select("key", "part", "node", "text").mapInArrow(link, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` (stored) whose whole sets are similar."""
 
     def check(batches):
         from pyarrow import array
 
+        last, own = None, None  # pairs of one ``a`` mostly follow each other
         for batch in batches:
-            one, other = batch.column(2), batch.column(3)
-            yes = [
-                similar(
-                    np.sort(one[i].values.to_numpy()), np.sort(other[i].values.to_numpy()), percent
-                )
-                for i in range(batch.num_rows)
-            ]
+            nodes, one, other = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
+            yes = []
+            for i, node in enumerate(nodes):
+                if node != last:
+                    last, own = node, shingles.shingle_set(one[i].as_buffer(), size)
+                yes.append(similar(own, shingles.shingle_set(other[i].as_buffer(), size), percent))
             yield batch.select([0, 1]).filter(array(yes, "bool"))
 
-    # The set of ``b`` travels once for each pair, that of ``a`` once.
-    first = _with_sets(cut(pairs.select("a").distinct()), sets, "a", "one")
-    second = _with_sets(pairs, sets, "b", "other").select("a", "b", "other")
+    # The text of ``b`` travels once for each pair, that of ``a`` once.
+    first = _with_texts(cut(pairs.select("a").distinct()), sets, "a", "one")
+    second = _with_texts(pairs, sets, "b", "other").select("a", "b", "other")
     return (
         second.join(first, "a")
         .select("a", "b", "one", "other")
@@ -292,7 +293,9 @@ def nodes_of(sets: DataFrame) -> DataFrame:
     )
 
 
-def link_components(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def link_components(
+    sets: DataFrame, nodes: DataFrame, size: int = SIZE, percent: int = PERCENT
+) -> DataFrame:
     """``node``, ``component`` (smallest node) of all nodes with a link."""
     own = nodes.select("node")
     rows = sets.join(_sized(own), F.col("row") == F.col("node"))
@@ -325,7 +328,7 @@ def link_components(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -
     )
     by_token = busy.select("node", F.col("best")[0]["token"].alias("key"), "own")
     placed = cut(_in_blocks(by_token.union(by_group)))
-    links = cut(_links_in_blocks(_with_sets(placed, sets, "node", "tokens"), percent).distinct())
+    links = cut(_links_in_blocks(_with_texts(placed, sets, "node", "text"), size, percent).distinct())
     joined = cut(star_labels(links))
 
     def labelled(rows):
@@ -345,7 +348,7 @@ def link_components(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -
     )
     some = some.join(mixed.where("least <> most"), "key").select("node", "key", "own")
     placed = cut(_in_blocks(some))
-    more = _links_in_blocks(_with_sets(placed, sets, "node", "tokens"), percent)
+    more = _links_in_blocks(_with_texts(placed, sets, "node", "text"), size, percent)
     links = cut(links.union(more).distinct())
     between = cut(_between(links, joined))
     merged = star_labels(between).select(
@@ -410,7 +413,7 @@ def link_components(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -
         .distinct()
     )
     # Labels so far are parts of components; what links parts joins them.
-    parts = cut(_between(links.union(_verified(expanded, sets, percent)), joined))
+    parts = cut(_between(links.union(_verified(expanded, sets, size, percent)), joined))
     whole = components(parts).select(
         F.col("node").alias("component"), F.col("component").alias("whole")
     )
@@ -441,7 +444,7 @@ def similar_documents(
     """
     sets = shingle_sets(docs, id_col, text_col, size, percent, path)
     nodes = nodes_of(sets)
-    joined = link_components(sets, nodes, percent)
+    joined = link_components(sets, nodes, size, percent)
     named = cut(
         nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )

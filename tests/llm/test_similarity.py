@@ -410,3 +410,25 @@ def test_helper_names_in_the_input_and_long_texts(spark):
     assert sum(passage in (r.text or "") for r in left.values()) == 1 and left[3]["__id"] == 7
     assert passage_dedup.without_passages(docs).columns == docs.columns
     assert jaccard_join.one_of_each(docs).columns == docs.columns
+
+
+def test_texts_are_stored_and_not_whole_sets(spark):
+    """Eight bytes a shingle would take more room than the texts themselves."""
+    rng = random.Random(8)
+    rows = [(i, vocabulary(rng, 400)) for i in range(300)]
+    path = Path(shared_dir(spark), "stored-sets-of-a-test")
+    sets = jaccard_join.shingle_sets(frame(spark, rows), "doc_id", "text", path=str(path))
+    assert sum(r.n for r in sets.collect()) == 300 * 396
+    assert sum(p.stat().st_size for p in path.rglob("*.parquet")) < 8 * 300 * 396
+
+
+def test_texts_are_cut_in_one_pass(spark):
+    """The cutting function ran for the filter and again for the result."""
+    rng = random.Random(9)
+    passage = vocabulary(rng, 80)
+    rows = [(i, f"{vocabulary(rng, 30)} {passage} {vocabulary(rng, 30)}") for i in range(4)]
+    kept = passage_dedup.without_passages(frame(spark, rows))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(r.n_chars == len(r.text) for r in kept.collect()) == [True] * 4
+    assert sum(passage in r.text for r in kept.collect()) == 1
