@@ -194,6 +194,40 @@ def test_partial_quotes_do_not_hide_a_passage(spark):
         assert sum(" ".join(passage) in r.text for r in left) == 1
 
 
+def test_quotes_around_the_source_do_not_hide_an_edited_passage(spark):
+    """First, and right before, come documents that quote too little of it."""
+    rng = random.Random(22)
+    passage = [f"p{i}" for i in range(60)]
+    other = [f"e{i}" if i in (9, 25, 44) else w for i, w in enumerate(passage)]
+    around = lambda part: f"{vocabulary(rng, 70)} {' '.join(part)} {vocabulary(rng, 70)}"
+    quotes = [passage[:34], passage[28:]]
+    texts = [around(p) for p in (*quotes, other, *quotes, passage, passage)]
+    rows = ordered_by_key(spark, texts)
+    found = passage_dedup.passages(frame(spark, rows)).collect()
+    source, first, second = rows[2][0], rows[5][0], rows[6][0]
+    assert [(r.start, r.end, r.source_id, r.source_start) for r in found if r.id == first] == [(70, 130, source, 70)]
+    assert {(r.start, r.end) for r in found if r.id == second} == {(70, 130)}
+    assert {r.id for r in found} == {first, second}
+    left = passage_dedup.without_passages(frame(spark, rows)).collect()
+    assert not any(" ".join(passage) in r.text for r in left)
+
+
+def test_keys_of_two_seeds():
+    """Each pair of a document's seeds at the given distance, one of them fresh."""
+    rng = np.random.default_rng(3)
+    docs = [np.sort(rng.choice(200, 40, replace=False)) for _ in range(5)]
+    of, places = np.repeat(np.arange(5), 40), np.concatenate(docs)
+    seeds, fresh = rng.integers(0, 30, 200), rng.random(200) < 0.3
+    keys, owner = passage_dedup._keys(of, seeds, places, fresh, 15, 54)
+    expected = {
+        (int(passage_dedup._key(seeds[i : i + 1], seeds[j : j + 1])[0]), int(of[i]))
+        for i in range(200)
+        for j in range(200)
+        if of[i] == of[j] and 15 <= places[j] - places[i] <= 54 and (fresh[i] or fresh[j])
+    }
+    assert sorted(zip(keys.tolist(), owner.tolist())) == sorted(expected)
+
+
 def test_a_passage_twice_in_one_document(spark):
     rng = random.Random(23)
     passage = vocabulary(rng, 60)
