@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clearsift import constants as C
-from clearsift.functions.scale import cut
+from clearsift.functions.scale import cut, discard
 from clearsift.operators.embedding import encode, wrong_dimension
 from clearsift.operators.parsing import chunk_rows, clause_rows, parse_files
 from clearsift.schema import CHUNKS, CLAUSES, DOCUMENTS
@@ -62,13 +62,16 @@ def parsed_files(files: DataFrame) -> DataFrame:
     files = latest(
         files.withColumn("__order", F.struct(*order, F.md5("content"))), ["path"], "__order"
     ).drop("__order", "modified")
-    return cut(parse_files(cut(files)).withColumn("loaded", F.lit(1)))
+    files = cut(files)
+    parsed = cut(parse_files(files).withColumn("loaded", F.lit(1)))
+    discard(files)
+    return parsed
 
 
 def merge_documents(
     parsed: DataFrame, documents: DataFrame, first_id: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """As ``load_documents``, for files that are parsed already."""
+    """As ``load_documents``, for ``parsed_files``, which are not kept."""
     merged = cut(
         upsert_documents(
             documents,
@@ -86,7 +89,9 @@ def merge_documents(
         )
     )
     ids = merged.select("document_id", F.col("source_path").alias("path"))
-    return merged, cut(parsed.join(ids, "path"))
+    loaded = cut(parsed.join(ids, "path"))
+    discard(parsed)
+    return merged, loaded
 
 
 def load_parts(
@@ -105,19 +110,14 @@ def load_parts(
         "clauses": next_id(clauses, "clause_id"), "chunks": next_id(chunks, "chunk_id"),
     }
     rows = clause_rows(loaded)
-    merged_clauses = cut(
-        upsert_clauses(
-            clauses, rows.withColumnRenamed("position", "n"), "n", first_id=first["clauses"]
-        )
+    # Texts are stored once on their way to a clause and once with their vectors.
+    merged_clauses = upsert_clauses(
+        clauses, rows.withColumnRenamed("position", "n"), "n", first_id=first["clauses"]
     )
-    pieces, free = numbered(
-        chunk_rows(
-            rows.join(clause_ids(merged_clauses), ["document_id", "code"]).select(
-                "document_id", "clause_id", "position", "text"
-            )
-        ),
-        "chunk_id",
-        first["chunks"],
+    pieces = chunk_rows(
+        rows.join(clause_ids(merged_clauses), ["document_id", "code"]).select(
+            "document_id", "clause_id", "position", "text"
+        )
     )
     made, given = Observation(), Observation()
     many = F.count(F.lit(1)).alias("n")
@@ -135,6 +135,7 @@ def load_parts(
         require_paired(pieces, encoded.where("embedding IS NOT NULL"))
     if not wrong_dimension(encoded, dim).isEmpty():
         raise ValueError(f"vectors must have {dim} elements")
+    encoded, free = numbered(encoded, "chunk_id", first["chunks"], stored=True)
     merged_chunks = replace_chunks(chunks, encoded.select(*CHUNK_COLUMNS), loaded)
     counted = (
         loaded.select("document_id", F.size("clauses").alias("clauses"))

@@ -35,13 +35,16 @@ def latest(incoming: DataFrame, keys, order_col: str) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, id_col: str, first: int) -> tuple[DataFrame, int]:
+def numbered(
+    rows: DataFrame, id_col: str, first: int, stored: bool = False
+) -> tuple[DataFrame, int]:
     """``rows`` with dense ids from ``first``, and the next free id.
 
     Every partition counts its rows, and its ids follow those of the partitions
-    before it, so nothing is gathered and no two rows can get one id.
+    before it, so nothing is gathered and no two rows can get one id.  Rows are
+    stored first, unless they are ``stored``: a ``cut``, or some rows of one.
     """
-    rows = cut(rows)
+    rows = rows if stored else cut(rows)
     place = F.spark_partition_id().alias("__place")
     counts = sorted(rows.groupBy(place).count().collect())
     starts, free = [], first
@@ -85,7 +88,8 @@ def upsert(
         first = next_id(existing, id_col) if first_id is None else first_id
         held = existing.select(*keys, F.col(id_col))
         changes = cut(changes.join(held, keys, "left"))
-        fresh, _ = numbered(changes.where(F.col(id_col).isNull()).drop(id_col), id_col, first)
+        unknown = changes.where(F.col(id_col).isNull()).drop(id_col)
+        fresh, _ = numbered(unknown, id_col, first, stored=True)
         changes = changes.where(F.col(id_col).isNotNull()).unionByName(fresh)
     kept = existing.join(broadcast_if_small(changes.select(*keys)), keys, "left_anti")
     return kept.unionByName(changes.select(*existing.columns))
